@@ -86,7 +86,7 @@ def _touch_by_label_table(relevant: DataFrame, keys: list[str], qualifying: Colu
         F.min(F.when(qualifying, F.col("hit_datetime"))).alias("first_view"),
         F.max("hit_datetime").alias("last_hit"),
     )
-    flagged = flag_members(by_label, "event_label", labels, "listed")
+    flagged = flag_members(by_label, "event_label", labels, "listed", spread=keys)
     return flagged.groupBy(*keys).agg(
         F.min("first_view").alias("first_view"),
         F.max("last_hit").alias("last_hit"),

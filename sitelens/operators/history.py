@@ -7,10 +7,12 @@ combine, so a key with very many rows is reduced before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.skew import split_join
+from sitelens.operators.skew import salted_join
 
 
 def query_hash(question: Column) -> Column:
@@ -76,10 +78,12 @@ def conversation_history(messages: DataFrame, session_id=None) -> DataFrame:
     return wanted.orderBy("session_id", "timestamp", "turn")
 
 
-def lookup_by_hash(questions: DataFrame, stored: DataFrame) -> DataFrame:
+def lookup_by_hash(
+    questions: DataFrame, stored: DataFrame, question_id: Sequence[str] = ("session_id", "turn")
+) -> DataFrame:
     """The stored SQL of each question's hash; unknown questions keep NULLs."""
     asked = questions.withColumn("query_hash", query_hash(F.col("natural_language_query")))
-    return split_join(asked, stored.select("query_hash", "sql_query", "complexity"), "query_hash")
+    return salted_join(asked, stored.select("query_hash", "sql_query", "complexity"), "query_hash", spread=question_id)
 
 
 def session_info(sessions: DataFrame, session_id) -> DataFrame:

@@ -18,7 +18,8 @@ NOT_A_PAGE = ("Totals", "nan", "")
 
 def crawled_path_flag(pages: DataFrame, links: DataFrame, name: str = "page_path_check") -> DataFrame:
     """Flag page rows whose path is among the crawled links (scheme removed, lower-cased)."""
-    return flag_members(pages, "page_path", links.select(path_key(F.col("link")).alias("page_path")), name)
+    crawled = links.select(path_key(F.col("link")).alias("page_path"))
+    return flag_members(pages, "page_path", crawled, name, spread=["market_code", "page_path"])
 
 
 def keep_rule(

@@ -126,40 +126,42 @@ def _mentions(question: Column, table: str, info: Mapping) -> Column:
     return reduce(Column.__or__, [question.contains(t.lower()) for t in terms])
 
 
+def _relevant_tables(question: Column, catalog: Mapping[str, Mapping]) -> Column:
+    """Names of the tables a question mentions; all of them if it mentions none."""
+    lowered = F.lower(question)
+    asked = F.coalesce(F.length(question) > 0, F.lit(False))
+    named = [F.when(asked & _mentions(lowered, t, info), F.lit(t)) for t, info in catalog.items()]
+    hits = F.array_compact(F.array(*named))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(*[F.lit(t) for t in catalog]))
+
+
 def match_tables(questions: DataFrame, catalog: Mapping[str, Mapping], question: str = "question") -> DataFrame:
     """One row per question and relevant table; a question matching none gets every table.
 
     The catalog is a driver-side dictionary of table contracts, so matching is a
     projection of the questions: no join and no pair of question and word.
     """
-    lowered = F.lower(F.col(question))
-    asked = F.coalesce(F.length(F.col(question)) > 0, F.lit(False))
-    hits = F.array_compact(
-        F.array(*[F.when(asked & _mentions(lowered, t, info), F.lit(t)) for t, info in catalog.items()])
-    )
-    every = F.array(*[F.lit(t) for t in catalog])
-    matched = F.when(F.size(hits) > 0, hits).otherwise(every)
-    return questions.select("*", F.explode(matched).alias("table_name"))
+    return questions.select("*", F.explode(_relevant_tables(F.col(question), catalog)).alias("table_name"))
 
 
-def select_catalog(matched: DataFrame, schema: Mapping, key: str = "question_id") -> DataFrame:
+def select_catalog(questions: DataFrame, schema: Mapping, question: str = "question") -> DataFrame:
     """Per question the definitions of its tables, and always all metrics and relationships.
 
-    ``schema`` has "tables", "metrics" and "relationships"; definitions are JSON text.
+    ``schema`` has "tables", "metrics" and "relationships"; definitions are JSON
+    text. Like the matching, a projection without join or shuffle.
     """
-    spark = matched.sparkSession
-    tables = spark.createDataFrame(
-        [(name, _as_json(info)) for name, info in schema["tables"].items()], "table_name string, definition string"
-    )
-    chosen = matched.select(key, "table_name").join(F.broadcast(tables), "table_name").select(
-        key, F.lit("table").alias("kind"), F.col("table_name").alias("name"), "definition"
+    tables = schema["tables"]
+    definitions = F.create_map(*[F.lit(x) for name, info in tables.items() for x in (name, _as_json(info))])
+    chosen = F.transform(
+        _relevant_tables(F.col(question), tables),
+        lambda t: F.struct(F.lit("table").alias("kind"), t.alias("name"), definitions[t].alias("definition")),
     )
     fixed = [("metric", name, _as_json(info)) for name, info in schema.get("metrics", {}).items()]
     fixed += [("relationship", f"{r['from']} -> {r['to']}", _as_json(r)) for r in schema.get("relationships", [])]
-    if not fixed:
-        return chosen
-    always = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("kind", "name", "definition"))]) for row in fixed])
-    return chosen.unionByName(matched.select(key).distinct().select(key, F.inline(always)))
+    always = [F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("kind", "name", "definition"))]) for row in fixed]
+    entries = F.concat(chosen, F.array(*always)) if always else chosen
+    others = [c for c in questions.columns if c != question]
+    return questions.select(*others, F.inline(entries))
 
 
 def _as_json(info) -> str:

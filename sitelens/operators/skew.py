@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it owns more than 1/HOT_KEYS of the rows, so there are
 # fewer than HOT_KEYS hot keys whatever the data is: that bounds the broadcast.
 HOT_KEYS = 1000
+# Parts a hot key is split into.
+SALTS = 32
 
 
 def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
@@ -24,51 +26,45 @@ def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
     return sizes.where(F.col("_n") * most > total.scalar()).select(key)
 
 
-def split_join(facts: DataFrame, dims: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
-    """Left join ``facts`` to ``dims`` (unique per key) without a skewed shuffle.
+def salted_join(
+    facts: DataFrame,
+    dims: DataFrame,
+    key: str,
+    spread: Sequence[str],
+    most: int = HOT_KEYS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Left join ``facts`` to ``dims`` (unique per key) with hot keys split.
 
-    Rows of hot keys meet a broadcast of the few matching dim rows and are not
-    shuffled at all; the rest takes an ordinary shuffle join; rows with a NULL
-    key match nothing and skip the join.
+    Rows of a hot key are dealt over ``salts`` parts by a hash of the ``spread``
+    columns (a row's identity, so the same on every retry of a task); only the
+    dim rows of hot keys are repeated, once per part. NULL keys, which match
+    nothing, are dealt out too.
     """
-    hot = F.broadcast(hot_keys(facts, key, most))
+    hot = F.broadcast(hot_keys(facts, key, most).withColumn("_hot", F.lit(True)))
+    dealt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    split = F.col("_hot").isNotNull() | F.col(key).isNull()
+    salted = facts.join(hot, key, "left").withColumn("_salt", F.when(split, dealt).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = dims.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     extra = [c for c in dims.columns if c != key]
-    types = dict(dims.dtypes)
-    hot_dims = F.broadcast(dims.join(hot, key, "left_semi"))
-    keyed = facts.where(F.col(key).isNotNull())
-    from_hot = keyed.join(hot, key, "left_semi").join(hot_dims, key, "left")
-    from_cold = keyed.join(hot, key, "left_anti").join(dims, key, "left")
-    unkeyed = facts.where(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(types[c]).alias(c) for c in extra]
-    )
-    columns = [*facts.columns, *extra]
-    return (
-        from_hot.select(*columns)
-        .unionByName(from_cold.select(*columns))
-        .unionByName(unkeyed.select(*columns))
-    )
+    return salted.join(repeated, [key, "_salt"], "left").select(*facts.columns, *extra)
 
 
 def flag_members(
-    facts: DataFrame, key: str, members: DataFrame, name: str, most: int = HOT_KEYS
+    facts: DataFrame, key: str, members: DataFrame, name: str, spread: Sequence[str], most: int = HOT_KEYS
 ) -> DataFrame:
     """Add ``name`` = 1 where ``key`` occurs in the one-column ``members``, else 0."""
     column = members.columns[0]
     known = members.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct()
-    joined = split_join(facts, known.withColumn("_member", F.lit(1)), key, most)
+    joined = salted_join(facts, known.withColumn("_member", F.lit(1)), key, spread, most)
     return joined.withColumn(name, F.coalesce("_member", F.lit(0))).drop("_member")
 
 
-def _time_slice(ts: str, width: str) -> Column:
-    return F.date_trunc(width, F.col(ts))
-
-
-def _same(left: str, right: str, columns: Sequence[str]) -> Column:
-    """Null-safe equality on all of ``columns`` between two aliased frames."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return condition
+def _sliced(df: DataFrame, keys: Sequence[str], ts: str, width: str) -> DataFrame:
+    """Add the key as one struct, in which NULLs compare equal, and the time slice; no time sorts first."""
+    slice_start = F.coalesce(F.date_trunc(width, F.col(ts)), F.lit("0001-01-01").cast("timestamp"))
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_slice", slice_start)
 
 
 def numbered(
@@ -80,25 +76,17 @@ def numbered(
     slices of the key is added. Only slice counts are ever grouped by the bare
     key, so a hot key is spread over as many tasks as it has slices.
     """
-    keys = list(keys)
-    slices = [*keys, "_slice"]
-    rows = df.withColumn("_slice", _time_slice(ts, width))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _sliced(df, keys, ts, width)
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*slices)
+        rows.groupBy("_key", "_slice")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .select("_key", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*slices).orderBy(ts, *order)
+    inside = Window.partitionBy("_key", "_slice").orderBy(ts, *order)
     local = rows.withColumn("_local", F.row_number().over(inside))
-    return (
-        local.alias("l")
-        .join(offsets.alias("o"), _same("l", "o", slices))
-        .select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            (F.col("l._local") + F.col("o._before")).cast("bigint").alias(name),
-        )
+    return local.join(offsets, ["_key", "_slice"]).select(
+        *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name)
     )
 
 
@@ -117,25 +105,17 @@ def preceding(
     non-empty slice; values travel inside a struct so that a NULL on the
     preceding row stays a NULL.
     """
-    keys = list(keys)
-    slices = [*keys, "_slice"]
-    rows = df.withColumn("_slice", _time_slice(ts, width)).withColumn("_boxed", F.struct(F.col(value).alias("v")))
-    along = Window.partitionBy(*keys).orderBy("_slice")
+    rows = _sliced(df, keys, ts, width).withColumn("_boxed", F.struct(F.col(value).alias("v")))
+    along = Window.partitionBy("_key").orderBy("_slice")
     carried = (
-        rows.groupBy(*slices)
+        rows.groupBy("_key", "_slice")
         .agg(F.max_by("_boxed", F.struct(ts, *order)).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(along))
-        .drop("_last")
+        .select("_key", "_slice", F.lag("_last").over(along).alias("_carried"))
     )
-    inside = Window.partitionBy(*slices).orderBy(ts, *order)
+    inside = Window.partitionBy("_key", "_slice").orderBy(ts, *order)
     local = rows.withColumn("_local", F.lag("_boxed").over(inside))
-    return (
-        local.alias("l")
-        .join(carried.alias("o"), _same("l", "o", slices))
-        .select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            F.coalesce("l._local", "o._carried")["v"].alias(name),
-        )
+    return local.join(carried, ["_key", "_slice"]).select(
+        *df.columns, F.coalesce("_local", "_carried")["v"].alias(name)
     )
 
 
@@ -154,11 +134,11 @@ def joined_text(
     Slices are joined first, so the ordering work of a hot key is spread; the
     joined text itself is one value and has to fit one row.
     """
-    keys = list(keys)
     ordering = ", ".join([ts, *order])
-    rows = df.select(*keys, ts, *order, text, _time_slice(ts, width).alias("_slice"))
-    pieces = rows.groupBy(*keys, "_slice").agg(
-        F.expr(f"listagg({text}, '{separator}') within group (order by {ordering})").alias("_piece")
+    pieces = (
+        _sliced(df.select(*keys, ts, *order, text), keys, ts, width)
+        .groupBy(*keys, "_slice")
+        .agg(F.expr(f"listagg({text}, '{separator}') within group (order by {ordering})").alias("_piece"))
     )
     return pieces.groupBy(*keys).agg(
         F.expr(f"listagg(_piece, '{separator}') within group (order by _slice)").alias(name)

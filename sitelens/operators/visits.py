@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.skew import numbered, preceding, split_join
+from sitelens.operators.skew import numbered, preceding, salted_join
 
 IN_TIME_ORDER = ("hit_datetime", "hit_id")
 
@@ -102,7 +102,7 @@ def first_touch(sessions: DataFrame, column: str = "channel_grouping") -> DataFr
     firsts = sessions.groupBy("visitor_id").agg(
         F.min_by(column, F.struct("visit_start_datetime", "session_id")).alias(name)
     )
-    return split_join(sessions, firsts, "visitor_id")
+    return salted_join(sessions, firsts, "visitor_id", spread=["session_id"])
 
 
 def page_visits(hits: DataFrame) -> DataFrame:

@@ -665,9 +665,7 @@ def match_tables(spark, root):
 
 @query
 def select_catalog(spark, root):
-    schema = default_schema()
-    matched = retrieval.match_tables(_questions(spark, root), schema["tables"])
-    return retrieval.select_catalog(matched, schema).select("question_id", "kind", "name")
+    return retrieval.select_catalog(_questions(spark, root), default_schema()).select("question_id", "kind", "name")
 
 
 # --- captured requests, links and pages ------------------------------------------------------------

@@ -89,26 +89,27 @@ def session(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lookup_interaction(spark: SparkSession) -> DataFrame:
-    rows = [
-        (1, "Gallery view", 1, 0),
-        (5, "Configuration start", 1, 0),
-        (11, "Configuration complete", 1, 0),
-        (20, "Test drive request", 0, 1),
-        (21, "Brochure download", 1, 1),
-    ]
-    return spark.createDataFrame(
-        rows, "interaction_id int, interaction_desc string, engagement_flag int, enquiry_flag int"
-    )
+    """Five literal rows, which Spark knows to be small."""
+    return spark.sql("""
+        SELECT * FROM VALUES
+          (1, 'Gallery view', 1, 0),
+          (5, 'Configuration start', 1, 0),
+          (11, 'Configuration complete', 1, 0),
+          (20, 'Test drive request', 0, 1),
+          (21, 'Brochure download', 1, 1)
+        AS t(interaction_id, interaction_desc, engagement_flag, enquiry_flag)
+    """)
 
 
 def lookup_market(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("US", "United States", "North America"),
-        ("CA", "Canada", "North America"),
-        ("GB", "United Kingdom", "Europe"),
-        ("DE", "Germany", "Europe"),
-    ]
-    return spark.createDataFrame(rows, "market_code string, market_name string, region string")
+    return spark.sql("""
+        SELECT * FROM VALUES
+          ('US', 'United States', 'North America'),
+          ('CA', 'Canada', 'North America'),
+          ('GB', 'United Kingdom', 'Europe'),
+          ('DE', 'Germany', 'Europe')
+        AS t(market_code, market_name, region)
+    """)
 
 
 # Which hits fire which interaction: interaction_id -> condition on the hit.

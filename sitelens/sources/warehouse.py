@@ -47,21 +47,24 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> dict:
 
 
 def describe_table(df: DataFrame, created: DataFrame | None = None) -> DataFrame:
-    """One row per column: name, type, description and the table's row count.
+    """One row per column: position, name, type, description and the table's row count.
 
-    Descriptions come from the column comments. For a table read from files,
-    ``created`` defaults to the newest file's modification time when the frame
-    is a plain scan.
+    Descriptions come from the column comments. ``created`` is a one-value frame,
+    such as ``file_created`` of a plain file scan.
     """
-    spark = df.sparkSession
-    fields = [
-        (i, f.name, f.dataType.simpleString(), f.metadata.get("comment")) for i, f in enumerate(df.schema.fields)
-    ]
-    described = spark.createDataFrame(fields, "position int, column_name string, data_type string, description string")
-    counted = described.withColumn("num_rows", df.agg(F.count("*").alias("n")).scalar())
-    if created is not None:
-        counted = counted.withColumn("created", created.scalar())
-    return counted
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("data_type"),
+                F.lit(f.metadata.get("comment")).cast("string").alias("description"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    described = df.agg(F.count("*").alias("num_rows")).select(F.inline(rows), "num_rows")
+    return described if created is None else described.withColumn("created", created.scalar())
 
 
 def file_created(scan: DataFrame) -> DataFrame:
