@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.operators.skew import numbered, preceding, salted_join
@@ -36,9 +36,7 @@ def session_totals(hits: DataFrame, first: Sequence[str] = ()) -> DataFrame:
 
 def session_build(hits: DataFrame) -> DataFrame:
     """Session totals with the visitor's session number and returning flag."""
-    order = numbered(
-        session_totals(hits), ["visitor_id"], "visit_start_datetime", ["session_id"], "session_number", width="day"
-    )
+    order = numbered(session_totals(hits), ["visitor_id"], "visit_start_datetime", ["session_id"], "session_number")
     return order.withColumn("returning_visitor", F.when(F.col("session_number") > 1, 1).otherwise(0))
 
 
@@ -108,18 +106,27 @@ def first_touch(sessions: DataFrame, column: str = "channel_grouping") -> DataFr
 def page_visits(hits: DataFrame) -> DataFrame:
     """One row per session, market and page, with a flag where the session ended.
 
-    Everything page-level is computed from this small form of the hits; the
-    window runs over a session's distinct pages, not over its hits.
+    Everything page-level is computed from this reduced form of the hits. A
+    session's last place is one row from an aggregate; it meets the rows on
+    session and place, so a session of very many pages is spread over tasks.
     """
-    order = F.struct(*IN_TIME_ORDER)
-    pages = hits.groupBy("session_id", "market_code", "page_path").agg(F.max(order).alias("_last"))
-    ended = F.max("_last").over(Window.partitionBy("session_id"))
-    return pages.select("session_id", "market_code", "page_path", (F.col("_last") == ended).alias("exited"))
+    place = F.struct("market_code", "page_path")  # compares NULLs as equal
+    placed = hits.select("session_id", place.alias("place"), *IN_TIME_ORDER)
+    seen = placed.select("session_id", "place").distinct()
+    last = placed.groupBy("session_id").agg(F.max_by("place", F.struct(*IN_TIME_ORDER)).alias("place"))
+    return seen.join(last.withColumn("ended", F.lit(True)), ["session_id", "place"], "left").select(
+        "session_id", "place.*", F.col("ended").isNotNull().alias("exited")
+    )
+
+
+def with_session_columns(seen: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Add a session's columns to its page rows, splitting sessions of very many pages."""
+    return salted_join(seen, sessions, "session_id", spread=["market_code", "page_path"])
 
 
 def page_metrics(hits: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions seen, bounced and ended per market and page."""
-    seen = page_visits(hits).join(sessions.select("session_id", "bounced_session"), "session_id")
+    seen = with_session_columns(page_visits(hits), sessions.select("session_id", "bounced_session"))
     return seen.groupBy("market_code", "page_path").agg(
         F.count("*").alias("SessionsCount"),
         F.count(F.when(F.col("bounced_session") == 1, 1)).alias("sessions_bounced"),

@@ -17,75 +17,66 @@ from sitelens.operators.weblog import extract_links
 from sitelens.sources.warehouse import scan_table
 
 
-def _pick(value: Column, *names: str | None) -> Column:
-    """names[value], the last name for anything else."""
-    chain = None
-    for i, name in enumerate(names[:-1]):
-        chain = F.when(value == i, name) if chain is None else chain.when(value == i, name)
-    return chain.otherwise(names[-1])
+HIT_COLUMNS = """
+    cast(event_id AS string) AS hit_id,
+    if(event_type IN ('view', 'error', 'signup'), 'PAGE', 'EVENT') AS hit_type,
+    concat(user_id, '-', replace(cast(cast(ts AS date) AS string), '-', '')) AS session_id,
+    user_id AS visitor_id,
+    k,
+    ts AS hit_datetime,
+    cast(ts AS date) AS visit_start_date,
+    if(user_id % 4 = 3, 'Beta', 'Alpha') AS brand,
+    CASE user_id % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'DE' WHEN 3 THEN 'CA' ELSE 'IT' END AS market_code,
+    host_name,
+    page_group,
+    CASE WHEN page_group = 'homepage' THEN concat(host_name, '/index.html', if(k % 2 = 1, '?ref=x', ''))
+         ELSE concat(host_name, '/', page_group, '/index.html') END AS page_path,
+    CASE WHEN event_type = 'click' AND k < 40 THEN 'BUILD YOUR OWN :: cta-content'
+         WHEN event_type = 'click' AND k < 70 THEN 'FIND OUT MORE :: cta-content'
+         WHEN event_type = 'purchase' AND k < 50 THEN 'CHECK AVAILABILITY :: secondary-link None' END AS event_label,
+    if(k % 10 = 0, 'configurator', 'other') AS content_group_4
+"""
+PLACED_COLUMNS = """
+    *,
+    CASE user_id % 3 WHEN 0 THEN 'www.alpha.example' WHEN 1 THEN 'buildyour.alpha.example'
+         ELSE 'www.beta.example' END AS host_name,
+    CASE k % 6 WHEN 0 THEN 'homepage' WHEN 1 THEN 'inspire' WHEN 2 THEN 'summary' WHEN 3 THEN 'models'
+         WHEN 4 THEN 'forms' ELSE 'offers' END AS page_group
+"""
 
 
 def hit(spark: SparkSession, root: str) -> DataFrame:
     """One row per event; hit_number is added only by the operators that need it."""
-    events = scan_table(spark, root, "events")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    visitor = F.col("user_id")
-    base = events.select(
-        F.col("event_id").cast("string").alias("hit_id"),
-        F.when(F.col("event_type").isin("view", "error", "signup"), "PAGE").otherwise("EVENT").alias("hit_type"),
-        "event_type",
-        F.concat(visitor.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        visitor.alias("visitor_id"),
-        k.alias("k"),
-        F.col("ts").alias("hit_datetime"),
-        F.col("ts").cast("date").alias("visit_start_date"),
+    return spark.sql(
+        f"""
+        SELECT {HIT_COLUMNS} FROM (
+          SELECT {PLACED_COLUMNS} FROM (
+            SELECT event_id, ts, user_id, event_type, cast(regexp_extract(props, '[0-9]+', 0) AS int) AS k
+            FROM {{events}}))
+        """,
+        events=scan_table(spark, root, "events"),
     )
-    v, kk = F.col("visitor_id"), F.col("k")
-    placed = base.select(
-        "*",
-        F.when(v % 4 == 3, "Beta").otherwise("Alpha").alias("brand"),
-        _pick(v % 5, "US", "GB", "DE", "CA", "IT").alias("market_code"),
-        _pick(v % 3, "www.alpha.example", "buildyour.alpha.example", "www.beta.example").alias("host_name"),
-        _pick(kk % 6, "homepage", "inspire", "summary", "models", "forms", "offers").alias("page_group"),
-    )
-    group, host, kind = F.col("page_group"), F.col("host_name"), F.col("event_type")
-    home = F.concat(host, F.lit("/index.html"), F.when(kk % 2 == 1, "?ref=x").otherwise(""))
-    inner = F.concat(host, F.lit("/"), group, F.lit("/index.html"))
-    return placed.select(
-        "*",
-        F.when(group == "homepage", home).otherwise(inner).alias("page_path"),
-        F.when((kind == "click") & (kk < 40), "BUILD YOUR OWN :: cta-content")
-        .when((kind == "click") & (kk < 70), "FIND OUT MORE :: cta-content")
-        .when((kind == "purchase") & (kk < 50), "CHECK AVAILABILITY :: secondary-link None")
-        .alias("event_label"),
-        F.when(kk % 10 == 0, "configurator").otherwise("other").alias("content_group_4"),
-    ).drop("event_type")
+
+
+# Traffic columns follow from k, the number on the session's first hit.
+SESSION_COLUMNS = """
+    * EXCEPT (k),
+    CASE visitor_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device_category,
+    CASE k % 4 WHEN 0 THEN 'Paid Search' WHEN 1 THEN 'Organic' WHEN 2 THEN 'Paid Social' ELSE 'Direct' END AS channel_grouping,
+    CASE k % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'bing' WHEN 2 THEN 'facebook' ELSE '(direct)' END AS source,
+    CASE k % 4 WHEN 0 THEN 'cpc' WHEN 1 THEN 'organic' WHEN 2 THEN 'display' ELSE '(none)' END AS medium,
+    CASE k % 3 WHEN 0 THEN 'https://www.alpha.example/' WHEN 1 THEN 'https://search.example/' END AS referrer,
+    CASE WHEN k % 7 = 0 THEN NULL
+         WHEN k % 7 < 5 THEN concat(market_code, if(k % 2 = 0, '_nv_', '_'), 'lr_l5', k % 3, '0_',
+           CASE k % 3 WHEN 0 THEN 'dis' WHEN 1 THEN 'psoc' ELSE 'vod' END, '_do_conv_gmc', 1 + k % 9, '000')
+         ELSE 'brandx' END AS campaign
+"""
 
 
 def session(spark: SparkSession, root: str) -> DataFrame:
     """Sessions with totals from their hits and traffic columns from the first hit."""
     built = visits.session_totals(hit(spark, root), first=["k"]).withColumnRenamed("first_k", "k")
-    k, v = F.col("k"), F.col("visitor_id")
-    named = F.concat(
-        F.col("market_code"),
-        F.when(k % 2 == 0, "_nv_").otherwise("_"),
-        F.lit("lr_l5"),
-        (k % 3).cast("string"),
-        F.lit("0_"),
-        _pick(k % 3, "dis", "psoc", "vod"),
-        F.lit("_do_conv_gmc"),
-        (1 + k % 9).cast("string"),
-        F.lit("000"),
-    )
-    return built.select(
-        "*",
-        _pick(v % 3, "mobile", "desktop", "tablet").alias("device_category"),
-        _pick(k % 4, "Paid Search", "Organic", "Paid Social", "Direct").alias("channel_grouping"),
-        _pick(k % 4, "google", "bing", "facebook", "(direct)").alias("source"),
-        _pick(k % 4, "cpc", "organic", "display", "(none)").alias("medium"),
-        _pick(k % 3, "https://www.alpha.example/", "https://search.example/", None).alias("referrer"),
-        F.when(k % 7 == 0, None).when(k % 7 < 5, named).otherwise("brandx").alias("campaign"),
-    ).drop("k")
+    return spark.sql(f"SELECT {SESSION_COLUMNS} FROM {{built}}", built=built)
 
 
 def lookup_interaction(spark: SparkSession) -> DataFrame:
@@ -138,7 +129,7 @@ SPECIFIC_ENQUIRIES = (20,)
 
 def classify(events: DataFrame) -> DataFrame:
     """The interactions of event hits by the rules above."""
-    nameplate = _pick(F.col("k") % 4, "RANGE", "DISCO", "DEFEND", "NONE")
+    nameplate = F.expr("CASE k % 4 WHEN 0 THEN 'RANGE' WHEN 1 THEN 'DISCO' WHEN 2 THEN 'DEFEND' ELSE 'NONE' END")
     rules = {i: rule() for i, rule in INTERACTION_RULES.items()}
     return interactions.hit_interactions(events, rules, nameplate)
 
@@ -169,22 +160,20 @@ def session_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 def collect_log(spark: SparkSession, root: str) -> DataFrame:
     """Captured analytics requests, one per page."""
-    page = F.col("page_id")
-    label = F.concat(
-        F.lit("&ep.event_label=FIND%20OUT+MORE%20"), (page % 5).cast("string"), F.lit("&ep.event_action=url_action")
-    )
-    body = F.concat(F.lit("ep.event_label=EXPLORE%20"), (page % 6).cast("string"), F.lit("&ep.event_category=nav%3A%20cta"))
-    return scan_table(spark, root, "pages").select(
-        page.alias("request_id"),
-        F.when(page % 7 == 6, "Network.responseReceived").otherwise("Network.requestWillBeSent").alias("method"),
-        F.concat(
-            F.lit("https://stats.example/"),
-            _pick(page % 3, "g/collect", "mp/collect", "static/app.js"),
-            F.lit("?v=2"),
-            F.when(page % 4 < 2, label).otherwise(""),
-        ).alias("url"),
-        F.when(page % 5 < 3, body).alias("body"),
-        F.concat(F.lit("BUTTON "), (page % 3).cast("string")).alias("button_text"),
+    return spark.sql(
+        """
+        SELECT page_id AS request_id,
+          if(page_id % 7 = 6, 'Network.responseReceived', 'Network.requestWillBeSent') AS method,
+          concat('https://stats.example/',
+            CASE page_id % 3 WHEN 0 THEN 'g/collect' WHEN 1 THEN 'mp/collect' ELSE 'static/app.js' END, '?v=2',
+            if(page_id % 4 < 2,
+               concat('&ep.event_label=FIND%20OUT+MORE%20', page_id % 5, '&ep.event_action=url_action'), '')) AS url,
+          CASE WHEN page_id % 5 < 3
+               THEN concat('ep.event_label=EXPLORE%20', page_id % 6, '&ep.event_category=nav%3A%20cta') END AS body,
+          concat('BUTTON ', page_id % 3) AS button_text
+        FROM {pages}
+        """,
+        pages=scan_table(spark, root, "pages"),
     )
 
 

@@ -20,6 +20,8 @@ def build_session(app_name: str = "sitelens", master: str | None = None, **conf)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Recording a Python call site per column makes building a wide plan several times slower.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

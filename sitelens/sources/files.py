@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.catalog import CONTRACTS
+
 
 def write_csv(df: DataFrame, path: str, by_market: bool = False, mode: str = "overwrite") -> None:
     """CSV files with a header; one folder per market on request."""
@@ -79,6 +81,13 @@ def write_layout(
     shuffled.sortWithinPartitions(partition_by, *cluster_by).write.mode(mode).partitionBy(partition_by).parquet(path)
 
 
+def write_table(df: DataFrame, path: str, table: str, files_per_partition: int = 1) -> None:
+    """Write a table in the layout its contract names; cluster columns it lacks are left out."""
+    layout = CONTRACTS[table]
+    cluster = [c for c in layout["cluster_by"] if c in df.columns]
+    write_layout(df, path, layout["partition_by"], cluster, files_per_partition)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> None:
     """A catalog table bucketed by ``key``, so that joins and groupings on it need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by).format("parquet").saveAsTable(table)
