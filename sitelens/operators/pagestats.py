@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.ratios import ratio
 from sitelens.functions.urls import path_key
 from sitelens.operators.skew import flag_members
-from sitelens.operators.visits import page_visits, with_session_columns
+from sitelens.operators.visits import page_visits
 
 # Page paths of total and blank rows.
 NOT_A_PAGE = ("Totals", "nan", "")
@@ -62,7 +62,7 @@ def page_metric_stats(
         .join(enquired, "session_id", "left")
         .join(converted, "session_id", "left")
     )
-    seen = with_session_columns(page_visits(hits), per_session)
+    seen = page_visits(hits, per_session)
     count = F.count("*")
 
     def rate(condition: Column) -> Column:

@@ -20,7 +20,7 @@ def session_totals(hits: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     page = F.when(F.col("hit_type") == "PAGE", 1)
     event = F.when(F.col("hit_type") == "EVENT", 1)
     carried = [F.min_by(c, F.struct(*IN_TIME_ORDER)).alias(f"first_{c}") for c in first]
-    totals = hits.groupBy("session_id", "visitor_id", "visit_start_date", "brand", "market_code").agg(
+    totals = hits.groupBy("visitor_id", "visit_start_date", "session_id", "brand", "market_code").agg(
         F.min("hit_datetime").alias("visit_start_datetime"),
         F.max("hit_datetime").alias("last_hit_datetime"),
         F.count("*").alias("total_hits"),
@@ -103,30 +103,27 @@ def first_touch(sessions: DataFrame, column: str = "channel_grouping") -> DataFr
     return salted_join(sessions, firsts, "visitor_id", spread=["session_id"])
 
 
-def page_visits(hits: DataFrame) -> DataFrame:
-    """One row per session, market and page, with a flag where the session ended.
+def page_visits(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row per session, market and page, with the session's columns and a flag where it ended.
 
-    Everything page-level is computed from this reduced form of the hits. A
-    session's last place is one row from an aggregate; it meets the rows on
-    session and place, so a session of very many pages is spread over tasks.
+    Everything page-level is computed from this reduced form of the hits. The
+    rows of a session with very many pages are split for both joins: they meet
+    the session's columns by salted key, and its last place, one row from an
+    aggregate, by session and place.
     """
     place = F.struct("market_code", "page_path")  # compares NULLs as equal
     placed = hits.select("session_id", place.alias("place"), *IN_TIME_ORDER)
     seen = placed.select("session_id", "place").distinct()
     last = placed.groupBy("session_id").agg(F.max_by("place", F.struct(*IN_TIME_ORDER)).alias("place"))
-    return seen.join(last.withColumn("ended", F.lit(True)), ["session_id", "place"], "left").select(
-        "session_id", "place.*", F.col("ended").isNotNull().alias("exited")
+    attributed = salted_join(seen, sessions, "session_id", spread=["place"])
+    return attributed.join(last.withColumn("ended", F.lit(True)), ["session_id", "place"], "left").select(
+        "place.*", F.col("ended").isNotNull().alias("exited"), *sessions.columns
     )
 
 
-def with_session_columns(seen: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Add a session's columns to its page rows, splitting sessions of very many pages."""
-    return salted_join(seen, sessions, "session_id", spread=["market_code", "page_path"])
-
-
 def page_metrics(hits: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions seen, bounced and ended per market and page."""
-    seen = with_session_columns(page_visits(hits), sessions.select("session_id", "bounced_session"))
+    seen = page_visits(hits, sessions.select("session_id", "bounced_session"))
     return seen.groupBy("market_code", "page_path").agg(
         F.count("*").alias("SessionsCount"),
         F.count(F.when(F.col("bounced_session") == 1, 1)).alias("sessions_bounced"),

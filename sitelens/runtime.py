@@ -49,6 +49,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
+    """Write ``df`` to the checkpoint folder and continue from its files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
