@@ -9,9 +9,14 @@ from sitelens.runtime import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="8g"
+        "tests",
+        "local[8]",
+        spark_sql_shuffle_partitions="8",
+        spark_ui_enabled="false",
+        spark_driver_memory="8g",
+        spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
