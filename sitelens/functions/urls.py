@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,15 @@ def landing_class(host: Column, path: Column, excluded_host: str) -> Column:
     return F.when(is_home, "homepage").otherwise("other")
 
 
-def configurator_page(host: Column, path: Column, group: Column, host_pattern: str, host_name: str) -> Column:
-    """True on the pages of the product configurator."""
-    on_site = host.like(host_pattern) | (host == host_name)
-    choosing = on_site & (path.like("%inspire%") | path.like("%curatedchoices%"))
-    closing = on_site & (path.like("%summary%") | path.like("%jdxpayoff%"))
-    return choosing | closing | (on_site & (group == "configurator"))
+# Path words and content group of configurator pages.
+CONFIGURATOR_PATHS = ("inspire", "curatedchoices", "summary", "jdxpayoff")
+CONFIGURATOR_GROUP = "configurator"
+
+
+def configurator_page(host: Column, path: Column, group: Column, host_word: str, host_name: str) -> Column:
+    """True on the pages of the product configurator: its hosts' pages told by path word or content group."""
+    by_path = reduce(Column.__or__, [path.contains(word) for word in CONFIGURATOR_PATHS])
+    return (host.contains(host_word) | (host == host_name)) & (by_path | (group == CONFIGURATOR_GROUP))
 
 
 def path_key(url: Column) -> Column:

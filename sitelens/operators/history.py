@@ -72,10 +72,10 @@ def store_messages(messages: DataFrame, path: str) -> None:
     days.write.mode("append").partitionBy("day").parquet(path)
 
 
-def conversation_history(messages: DataFrame, session_id=None) -> DataFrame:
+def conversation_history(messages: DataFrame, session_id=None, tie_break: str = "turn") -> DataFrame:
     """Messages in time order: of one session, or of all, session by session."""
     wanted = messages if session_id is None else messages.where(F.col("session_id") == session_id)
-    return wanted.orderBy("session_id", "timestamp", "turn")
+    return wanted.orderBy("session_id", "timestamp", tie_break)
 
 
 def lookup_by_hash(

@@ -41,10 +41,10 @@ def total_pageviews(hits: DataFrame) -> DataFrame:
     return row_count(pages, "total_pageviews")
 
 
-def config_sessions(hits: DataFrame, host_pattern: str, host_name: str) -> DataFrame:
+def config_sessions(hits: DataFrame, host_word: str, host_name: str) -> DataFrame:
     """Sessions with a configurator page view."""
     wanted = configurator_page(
-        F.col("host_name"), F.col("page_path"), F.col("content_group_4"), host_pattern, host_name
+        F.col("host_name"), F.col("page_path"), F.col("content_group_4"), host_word, host_name
     )
     found = hits.where((F.col("hit_type") == "PAGE") & wanted)
     return found.select("session_id").distinct().agg(F.count("*").alias("sessions_with_config"))

@@ -28,7 +28,7 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
     vector cannot crowd a block because blocks depend on the id alone.
     """
     query_blocks = _block_count(queries, block_rows)
-    corpus_blocks = _block_count(corpus, block_rows)
+    corpus_blocks = query_blocks if corpus is queries else _block_count(corpus, block_rows)
     vector = F.col("embedding").cast("array<double>").alias("embedding")
 
     def blocked(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:

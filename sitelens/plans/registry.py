@@ -133,7 +133,7 @@ def total_pageviews(spark, root):
 
 @query
 def config_sessions(spark, root):
-    return reports.config_sessions(_hits(spark, root), "%buildyour%", "www.range.example")
+    return reports.config_sessions(_hits(spark, root), "buildyour", "www.range.example")
 
 
 @query

@@ -1,4 +1,4 @@
-"""Click-through after a page view: linear form, literal form and by hand."""
+"""Click-through after a page view: linear form, pairwise form and by hand."""
 
 import random
 from datetime import datetime, timedelta
@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.operators.funnel import page_ctr, page_ctr_literal
+from sitelens.operators.funnel import page_ctr, page_ctr_pairwise
 from sitelens.plans import views
 from sitelens.plans.registry import CTR_LABELS, FUNNEL_PAGES
 from tests.conftest import rows
@@ -55,7 +55,7 @@ def test_by_hand(spark):
     # visitor 5's click on q is after its view of p, and q itself is viewed: it counts on q
     expected[1] = ("US", "q", "mobile", "Direct", "(none)", 1, 1, 0)
     assert rows(got) == expected
-    assert rows(page_ctr_literal(hits, sessions, ["p", "q"], ["GO"], **ARGS)) == expected
+    assert rows(page_ctr_pairwise(hits, sessions, ["p", "q"], ["GO"], **ARGS)) == expected
 
 
 @pytest.fixture(scope="module")
@@ -79,10 +79,10 @@ def busy(spark):
     return spark.createDataFrame(data, HIT).cache(), spark.createDataFrame(attributes, SESSION).cache()
 
 
-def test_linear_equals_literal_on_hot_session(busy):
+def test_linear_equals_pairwise_on_hot_session(busy):
     linear = rows(page_ctr(*busy, ["p", "q", "r"], ["GO"], **ARGS))
     assert len(linear) > 10
-    assert linear == rows(page_ctr_literal(*busy, ["p", "q", "r"], ["GO"], **ARGS))
+    assert linear == rows(page_ctr_pairwise(*busy, ["p", "q", "r"], ["GO"], **ARGS))
 
 
 def test_label_table_equals_label_list(spark, busy):
@@ -95,7 +95,7 @@ def test_known_totals_on_given_tables(spark):
     hits, sessions = views.hit(spark, root), views.session(spark, root)
     args = (FUNNEL_PAGES, CTR_LABELS, "2024-01-01", "2024-01-28", "Alpha", ("US", "CA", "GB"))
     linear = page_ctr(hits, sessions, *args)
-    assert rows(linear) == rows(page_ctr_literal(hits, sessions, *args))
+    assert rows(linear) == rows(page_ctr_pairwise(hits, sessions, *args))
     in_groups = hits.where(F.col("page_group").isin("homepage", "models")).select("page_path").distinct()
     listed = [r.page_path for r in in_groups.collect()]
     sums = page_ctr(hits, sessions, listed, *args[1:]).agg(

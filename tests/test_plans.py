@@ -63,7 +63,7 @@ def test_funnel_scans_only_the_days_asked_for(stored):
 
 
 def test_config_sessions_pushes_filters(stored):
-    text = plan(reports.config_sessions(stored[0].where("brand = 'Alpha'"), "%buildyour%", "x"))
+    text = plan(reports.config_sessions(stored[0].where("brand = 'Alpha'"), "buildyour", "x"))
     assert "EqualTo(brand,Alpha)" in text and "EqualTo(hit_type,PAGE)" in text
 
 
