@@ -20,12 +20,22 @@ SALTS = 32
 
 
 def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
-    """The keys owning more than 1/most of the rows; always fewer than ``most``."""
-    sizes = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    """The keys (NULL among them) owning more than 1/most of the rows; always fewer than ``most``."""
+    sizes = facts.groupBy(key).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
     return sizes.where(F.col("_n") * most > total.scalar()).select(key)
 
 
+def _marked(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add ``_hot`` = true on rows of hot keys.
+
+    Null-safe, so that no filter on the key is inferred: the facts counted for
+    the hot keys keep the same plan as the facts joined, and Spark shares their shuffle.
+    """
+    marks = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
+    return df.join(marks, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
+
+
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -41,12 +51,12 @@ def salted_join(
     dim rows of hot keys are repeated, once per part. NULL keys, which match
     nothing, are dealt out too.
     """
-    hot = F.broadcast(hot_keys(facts, key, most).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(facts, key, most)
     dealt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     split = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salted = facts.join(hot, key, "left").withColumn("_salt", F.when(split, dealt).otherwise(0)).drop("_hot")
+    salted = _marked(facts, key, hot).withColumn("_salt", F.when(split, dealt).otherwise(0)).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = dims.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    repeated = _marked(dims, key, hot).withColumn("_salt", F.explode(parts)).drop("_hot")
     extra = [c for c in dims.columns if c != key]
     return salted.join(repeated, [key, "_salt"], "left").select(*facts.columns, *extra)
 
@@ -61,22 +71,26 @@ def flag_members(
     return joined.withColumn(name, F.coalesce("_member", F.lit(0))).drop("_member")
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], ts: str, width: str) -> DataFrame:
-    """Add the key as one struct, in which NULLs compare equal, and the time slice; no time sorts first."""
-    slice_start = F.coalesce(F.date_trunc(width, F.col(ts)), F.lit("0001-01-01").cast("timestamp"))
-    return df.withColumn("_key", F.struct(*keys)).withColumn("_slice", slice_start)
+def _sliced(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Add the key as one struct, in which NULLs compare equal, and the minute; no time sorts first.
+
+    The minute is plain arithmetic on the time, so it depends on no time zone.
+    """
+    minute = F.col(ts) - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), F.col(ts)))
+    earliest = F.lit("0001-01-01").cast(dict(df.dtypes)[ts])
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_slice", F.coalesce(minute, earliest))
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], name: str, width: str = "minute"
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], name: str
 ) -> DataFrame:
     """``row_number`` per ``keys`` ordered by ``ts`` and then ``order``.
 
-    Rows are numbered inside (keys, time slice); the count of all earlier
-    slices of the key is added. Only slice counts are ever grouped by the bare
+    Rows are numbered inside (keys, minute); the count of all earlier
+    minutes of the key is added. Only slice counts are ever grouped by the bare
     key, so a hot key is spread over as many tasks as it has slices.
     """
-    rows = _sliced(df, keys, ts, width)
+    rows = _sliced(df, keys, ts)
     earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("_key", "_slice")
@@ -97,7 +111,6 @@ def preceding(
     order: Sequence[str],
     value: str,
     name: str,
-    width: str = "minute",
 ) -> DataFrame:
     """``lag(value)`` per ``keys`` ordered by ``ts`` and then ``order``.
 
@@ -105,7 +118,7 @@ def preceding(
     non-empty slice; values travel inside a struct so that a NULL on the
     preceding row stays a NULL.
     """
-    rows = _sliced(df, keys, ts, width).withColumn("_boxed", F.struct(F.col(value).alias("v")))
+    rows = _sliced(df, keys, ts).withColumn("_boxed", F.struct(F.col(value).alias("v")))
     along = Window.partitionBy("_key").orderBy("_slice")
     carried = (
         rows.groupBy("_key", "_slice")
@@ -127,7 +140,6 @@ def joined_text(
     text: str,
     separator: str,
     name: str,
-    width: str = "minute",
 ) -> DataFrame:
     """One row per ``keys`` with its texts joined in time order, NULLs skipped.
 
@@ -136,7 +148,7 @@ def joined_text(
     """
     ordering = ", ".join([ts, *order])
     pieces = (
-        _sliced(df.select(*keys, ts, *order, text), keys, ts, width)
+        _sliced(df.select(*keys, ts, *order, text), keys, ts)
         .groupBy(*keys, "_slice")
         .agg(F.expr(f"listagg({text}, '{separator}') within group (order by {ordering})").alias("_piece"))
     )

@@ -29,9 +29,8 @@ def session_totals(hits: DataFrame, first: Sequence[str] = ()) -> DataFrame:
         F.when(F.count(event) > 0, 1).otherwise(0).alias("got_interaction_event"),
         *carried,
     )
-    return totals.withColumn(
-        "time_on_site_seconds", F.timestamp_diff("SECOND", F.col("visit_start_datetime"), F.col("last_hit_datetime"))
-    )
+    spent = (F.col("last_hit_datetime") - F.col("visit_start_datetime")).cast("interval second")
+    return totals.withColumn("time_on_site_seconds", spent.cast("bigint"))
 
 
 def session_build(hits: DataFrame) -> DataFrame:
