@@ -12,9 +12,9 @@ from sitelens.functions.campaigns import campaign_components, campaign_objective
 from sitelens.functions.ratios import minutes
 from sitelens.functions.urls import configurator_page, landing_class
 from sitelens.operators.scope import in_scope
-from sitelens.operators.skew import HOT_KEYS, hot_keys, joined_text, numbered
+from sitelens.operators.skew import joined_text, numbered
 
-# Page views of a huge session that decide its place among equally common sequences.
+# Page views of a session whose text is kept while sequences are compared.
 OPENING_PAGES = 1000
 
 
@@ -149,48 +149,40 @@ def landing_like(hits: DataFrame, path_like: str) -> DataFrame:
     return found.groupBy("page_path").agg(F.count("*").alias("hits"))
 
 
-def page_sequences(hits: DataFrame, most: int = 10, few: int = HOT_KEYS) -> DataFrame:
+def page_sequences(hits: DataFrame, most: int = 10, opening_pages: int = OPENING_PAGES) -> DataFrame:
     """The most common page-group sequences of sessions.
 
-    A session with more than 1/few of all page views is never gathered to be
-    compared: its sequence is told apart by length and two positional hashes, and
-    text is only built for those of the final rows that need it. Such a sequence is longer
-    than any other session's, so the two kinds cannot be equal. Ties are ordered by
-    text; between the huge sequences by their first ``OPENING_PAGES`` pages.
+    A session is never gathered to be compared: its sequence is told apart by its
+    length, two hashes of (position, group) and its opening pages, all of bounded
+    size and combined before the shuffle. The opening is the whole text of all but
+    huge sessions; for those the text is built only if they are among the final rows.
+    Ties are ordered by text, between huge sequences by their opening.
     """
-    by_session = ["session_id"]
     pages = hits.where(F.col("hit_type") == "PAGE").select("session_id", "hit_datetime", "hit_id", "page_group")
-    grouped = pages.where(F.col("page_group").isNotNull())
-    huge = F.broadcast(hot_keys(grouped, "session_id", few))
-
-    texts = (
-        pages.join(huge, by_session, "left_anti")
-        .groupBy(*by_session)
-        .agg(F.expr("listagg(page_group, ' > ') within group (order by hit_datetime, hit_id)").alias("sequence"))
-    )
-    usual = texts.groupBy("sequence").agg(F.count("*").alias("n")).withColumn("example", F.lit(None).cast("string"))
-
+    grouped = F.col("page_group").isNotNull()
+    # Pages without a group take no place in the sequence, so they are numbered apart.
     placed = numbered(
-        grouped.join(huge, by_session, "left_semi"), by_session, "hit_datetime", ["hit_id"], "position"
+        pages.withColumn("grouped", grouped), ["session_id", "grouped"], "hit_datetime", ["hit_id"], "position"
     )
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "position", "page_group")).alias(f"mark_{seed}") for seed in (1, 2)]
-    opening = f"listagg(if(position <= {OPENING_PAGES}, page_group, NULL), ' > ') within group (order by position)"
-    unusual = (
-        placed.groupBy(*by_session)
-        .agg(F.count("*").alias("length"), *marks, F.expr(opening).alias("opening"))
-        .groupBy("length", "mark_1", "mark_2")
-        .agg(F.first("opening").alias("sequence"), F.count("*").alias("n"), F.min("session_id").alias("example"))
-        .select("sequence", "n", "example")
+    marks = [
+        F.bit_xor(F.when(grouped, F.xxhash64(F.lit(seed), "position", "page_group"))).alias(f"mark_{seed}")
+        for seed in (1, 2)
+    ]
+    opening = f"listagg(if(position <= {opening_pages}, page_group, NULL), ' > ') within group (order by position)"
+    sequences = (
+        placed.groupBy("session_id")
+        .agg(F.count("page_group").alias("length"), *marks, F.expr(opening).alias("opening"))
+        .groupBy("length", "mark_1", "mark_2", "opening")
+        .agg(F.count("*").alias("n"), F.min("session_id").alias("example"))
     )
-
-    top = usual.unionByName(unusual).orderBy(F.desc("n"), "sequence", "example").limit(most)
-    examples = F.broadcast(top.select(F.col("example").alias("session_id")))
+    top = sequences.orderBy(F.desc("n"), "opening", "length", "example").limit(most)
+    cut = F.broadcast(top.where(F.col("length") > opening_pages).select(F.col("example").alias("session_id")))
     whole = joined_text(
-        grouped.join(examples, by_session, "left_semi"), by_session, "hit_datetime", ["hit_id"], "page_group", " > ", "whole"
-    )
+        pages.join(cut, "session_id", "left_semi"), ["session_id"], "hit_datetime", ["hit_id"], "page_group", " > ", "whole"
+    ).withColumnRenamed("session_id", "example")
     return (
-        top.join(whole.withColumnRenamed("session_id", "example"), "example", "left")
-        .select(F.coalesce("whole", "sequence").alias("page_sequence"), F.col("n").alias("sequence_count"))
+        top.join(whole, "example", "left")
+        .select(F.coalesce("whole", "opening").alias("page_sequence"), F.col("n").alias("sequence_count"))
         .orderBy(F.desc("sequence_count"), "page_sequence")
     )
 
