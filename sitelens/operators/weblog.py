@@ -63,6 +63,14 @@ def _unescaped(text: Column) -> Column:
     return text
 
 
+# Comments, scripts and styles: what looks like an element inside them is not one.
+NOT_MARKUP = r"(?is)<!--.*?-->|<script(?=[\s>]).*?</script\s*>|<style(?=[\s>]).*?</style\s*>"
+
+
+def _markup(html: Column) -> Column:
+    return F.regexp_replace(html, NOT_MARKUP, "")
+
+
 HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 
 
@@ -75,7 +83,7 @@ def extract_links(pages: DataFrame, base: Column | None = None) -> DataFrame:
     """
     site = site_of(F.col("url")) if base is None else base
     found = pages.select(
-        "page_id", "url", site.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("raw")
+        "page_id", "url", site.alias("base"), F.explode(F.regexp_extract_all(_markup(F.col("html")), F.lit(HREF), 1)).alias("raw")
     )
     href = _unescaped(_unquoted(F.col("raw")))
     link = F.when(href.startswith("/"), F.concat("base", href)).when(href.startswith("http"), href)
@@ -114,7 +122,8 @@ def clickable(pages: DataFrame, text: str | None = None) -> DataFrame:
     text is the element's content with tags removed. Whether an element is
     visible cannot be told from stored HTML.
     """
-    parts = pages.select(
+    marked = pages.select("page_id", _markup(F.col("html")).alias("html"))
+    parts = marked.select(
         "page_id", *[F.regexp_extract_all("html", F.lit(ELEMENT), i).alias(n) for i, n in ((1, "t"), (2, "a"), (3, "c"))]
     )
     found = parts.select("page_id", F.explode(F.arrays_zip("t", "a", "c")).alias("e"))

@@ -1,6 +1,8 @@
 """Column functions on the awkward values."""
 
+import random
 from datetime import date
+from urllib.parse import parse_qs
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,13 @@ def test_two_proportion_z(spark):
     assert z == pytest.approx(1.9803, abs=1e-4)
     assert one(spark, ratios.two_proportion_z(*map(F.col, "abcd")), a=0, b=100, c=0, d=100) is None
     assert one(spark, ratios.two_proportion_z(*map(F.col, "abcd")), a=0, b=0, c=1, d=10) is None
+
+
+def test_parameter_equals_the_standard_parser(spark):
+    """Random form-encoded strings against urllib's parse_qs."""
+    rng = random.Random(8)
+    pieces = ["ep.event_label", "ep.event_action", "=", "&", "+", "%20", "%", "%C3%A9", "a", "b c", "x", "%4", "=&", ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(800)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", urls.parameter(F.col("t"), "ep.event_label").alias("v")).collect()
+    assert {r.t: r.v for r in got} == {t: parse_qs(t).get("ep.event_label", [None])[0] for t in texts}

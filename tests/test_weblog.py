@@ -1,9 +1,13 @@
 """Captured requests, links, clickable elements and reachable pages."""
 
+import re
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitelens.operators import crawl, pagestats, weblog
+from sitelens.sources import warehouse
 from tests.conftest import rows
 
 LOG = "request_id long, method string, url string, body string, button_text string"
@@ -58,6 +62,37 @@ def test_extract_links(spark):
     ]
 
 
+class Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        href = dict(attrs).get("href")
+        if tag == "a" and href:
+            self.found.append(href)
+
+
+def test_links_of_given_pages_equal_an_html_parser(spark):
+    pages = warehouse.scan_table(spark, "/root/testdata/sf0.001", "pages")
+    expected = []
+    for page in pages.collect():
+        base = re.match(r"https?://[^/?#]+", page.url).group(0)
+        parser = Anchors()
+        parser.feed(page.html)
+        links = [base + h if h.startswith("/") else h for h in parser.found if h.startswith(("/", "http"))]
+        expected += [(page.page_id, page.url, link) for link in links if link.startswith(base)]
+    assert rows(weblog.extract_links(pages)) == sorted(expected, key=lambda r: tuple(map(lambda x: (False, str(x)), r)))
+
+
+def test_comments_and_scripts_hold_no_links(spark):
+    html = """<!-- <a href="/c">c</a> --><script>x = '<a href="/s">s</a>';</script><style>a{}</style>
+      <a href="/yes" class="cta">yes</a><!-- <button class="cta">b</button> -->"""
+    pages = spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")
+    assert rows(weblog.extract_links(pages).select("link")) == [("https://h.example/yes",)]
+    assert rows(weblog.clickable(pages).select("tag_name", "text")) == [("a", "yes")]
+
+
 def test_all_and_distinct_links(spark):
     gb = spark.createDataFrame([("a",), ("b",)], "link string")
     de = spark.createDataFrame([("b",)], "link string")
