@@ -53,25 +53,21 @@ def parse_fallback(log: DataFrame) -> DataFrame:
 
 
 def _unquoted(value: Column) -> Column:
-    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+    return F.btrim(value, F.lit("\"'"))
 
 
 def _unescaped(text: Column) -> Column:
     """The common character references, '&amp;' last so that nothing is decoded twice."""
+    plain = text
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
-# Comments, scripts and styles: what looks like an element inside them is not one.
-NOT_MARKUP = r"(?is)<!--.*?-->|<script(?=[\s>]).*?</script\s*>|<style(?=[\s>]).*?</style\s*>"
-
-
-def _markup(html: Column) -> Column:
-    return F.regexp_replace(html, NOT_MARKUP, "")
-
-
-HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+# What looks like an element inside a comment, script or style is not one: these are matched
+# whole in the same pass, and leave the captured groups empty.
+SKIPPED = r"!--.*?-->|(?:script|style)(?=[\s>]).*?</(?:script|style)\s*>"
+HREF = rf"(?is)<(?:{SKIPPED}|a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))"
 
 
 def extract_links(pages: DataFrame, base: Column | None = None) -> DataFrame:
@@ -83,15 +79,13 @@ def extract_links(pages: DataFrame, base: Column | None = None) -> DataFrame:
     """
     site = site_of(F.col("url")) if base is None else base
     found = pages.select(
-        "page_id", "url", site.alias("base"), F.explode(F.regexp_extract_all(_markup(F.col("html")), F.lit(HREF), 1)).alias("raw")
-    )
+        "page_id", "url", site.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("raw")
+    ).where("raw <> ''")
     href = _unescaped(_unquoted(F.col("raw")))
-    link = F.when(href.startswith("/"), F.concat("base", href)).when(href.startswith("http"), href)
-    return (
-        found.select("page_id", "url", "base", link.alias("link"))
-        .where(F.col("link").startswith(F.col("base")))
-        .drop("base")
-    )
+    inside = href.startswith("/")
+    link = F.when(inside, F.concat("base", href)).otherwise(href)
+    on_site = inside | (href.startswith("http") & href.startswith(F.col("base")))
+    return found.where(on_site).select("page_id", "url", link.alias("link"))
 
 
 def all_links(by_market: dict[str, DataFrame]) -> DataFrame:
@@ -105,7 +99,7 @@ def distinct_links(links: DataFrame) -> DataFrame:
 
 
 # The content is matched by lookahead, so elements nested in it are found too.
-ELEMENT = r"(?is)<(button|a|span)(?=[\s>/])([^>]*)>(?=(.*?)</\1\s*>)"
+ELEMENT = rf"(?is)<(?:{SKIPPED}|(button|a|span)(?=[\s>/])([^>]*)>(?=(.*?)</\1\s*>))"
 
 
 def _attribute(attributes: Column, name: str) -> Column:
@@ -122,11 +116,10 @@ def clickable(pages: DataFrame, text: str | None = None) -> DataFrame:
     text is the element's content with tags removed. Whether an element is
     visible cannot be told from stored HTML.
     """
-    marked = pages.select("page_id", _markup(F.col("html")).alias("html"))
-    parts = marked.select(
+    parts = pages.select(
         "page_id", *[F.regexp_extract_all("html", F.lit(ELEMENT), i).alias(n) for i, n in ((1, "t"), (2, "a"), (3, "c"))]
     )
-    found = parts.select("page_id", F.explode(F.arrays_zip("t", "a", "c")).alias("e"))
+    found = parts.select("page_id", F.explode(F.arrays_zip("t", "a", "c")).alias("e")).where("e.t <> ''")
     content = F.regexp_replace("e.c", r"(?s)<[^>]*>", " ")
     shown = F.trim(F.regexp_replace(_unescaped(content), r"[\s\u00a0]+", " "))
     elements = found.select(
