@@ -7,35 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.operators.skew import dealt, hot_keys, parts_by_default, repeated
 from sitelens.runtime import cut_lineage
 
-# A page may own a third of all links; its links are spread over this many parts.
-LINK_PARTS = 16
 # Up to this many new pages are sent to every task instead of shuffling all links to them.
 BROADCAST_PAGES = 100_000
 
 
 def link_closure(
-    edges: DataFrame, start: Sequence | DataFrame, parts: int = LINK_PARTS, broadcast_pages: int = BROADCAST_PAGES
+    edges: DataFrame, start: Sequence | DataFrame, broadcast_pages: int = BROADCAST_PAGES, most: int | None = None
 ) -> DataFrame:
     """All pages reachable from the start pages, each once with its link distance.
 
     Breadth first. Each round joins only the newest pages with the links and
-    drops those already seen. A round is written to the checkpoint folder, so it
-    is computed once and a lost executor costs one round. While the newest pages
-    are counted to be few they are broadcast and the links stay where they are;
-    beyond that both sides are shuffled by (source, part of target), so that a
-    page with very many links is read by many tasks.
+    drops those already seen. A round is checkpointed, so no round replays the
+    ones before and a lost executor costs one round. While the newest pages are
+    counted to be few they are broadcast and the links stay where they are;
+    beyond that both sides are shuffled by source, with the links of a page
+    that owns very many dealt over several parts.
     """
     spark = edges.sparkSession
     src_type = dict(edges.dtypes)["src"]
-    part = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int").alias("part")
-    links = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", part).distinct())
+    distinct = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    hot = cut_lineage(hot_keys(distinct, "src", most or parts_by_default(spark)))
+    links = cut_lineage(dealt(distinct, "src", hot, ["dst"]))
     if isinstance(start, DataFrame):
         first = start.select(F.col(start.columns[0]).alias("page")).distinct()
     else:
         first = spark.createDataFrame([(s,) for s in start], f"page {src_type}").distinct()
-    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     frontier = cut_lineage(first.withColumn("depth", F.lit(0)))
     seen = frontier
     depth = 0
@@ -45,7 +44,7 @@ def link_closure(
         if newest <= broadcast_pages:
             reached = links.join(F.broadcast(sources), "src", "left_semi")
         else:
-            reached = links.join(sources.select("src", every_part), ["src", "part"], "left_semi")
+            reached = links.join(repeated(sources, "src", hot), ["src", "salt"], "left_semi")
         fresh = reached.select(F.col("dst").alias("page")).distinct().join(seen, "page", "left_anti")
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)

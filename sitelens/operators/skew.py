@@ -9,60 +9,72 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it owns more than 1/HOT_KEYS of the rows, so there are
 # fewer than HOT_KEYS hot keys whatever the data is: that bounds the broadcast.
 HOT_KEYS = 1000
-# Parts a hot key is split into.
-SALTS = 32
 
 
 def hot_keys(facts: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
-    """The keys (NULL among them) owning more than 1/most of the rows; always fewer than ``most``."""
+    """The keys (NULL among them) owning more than 1/most of the rows; always fewer than ``most``.
+
+    ``parts`` says into how many parts of at most 1/most of the rows a key divides;
+    over all keys these are fewer than 2 x ``most``.
+    """
     sizes = facts.groupBy(key).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    return sizes.where(F.col("_n") * most > total.scalar()).select(key)
+    total = sizes.agg(F.sum("_n").alias("_total")).scalar()
+    share = F.col("_n") * most
+    return sizes.where(share > total).select(key, F.ceil(share / total).cast("int").alias("parts"))
 
 
 def _marked(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Add ``_hot`` = true on rows of hot keys.
+    """Add ``_parts``, NULL on rows of ordinary keys.
 
     Null-safe, so that no filter on the key is inferred: the facts counted for
     the hot keys keep the same plan as the facts joined, and Spark shares their shuffle.
     """
-    marks = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
+    marks = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.col("parts").alias("_parts")))
     return df.join(marks, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
 
 
+def dealt(df: DataFrame, key: str, hot: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """Add ``salt``: the part of its key each row goes to, by a hash of the ``spread`` columns.
+
+    Those columns are a row's identity, so the part is the same on every retry of a task.
+    """
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    return _marked(df, key, hot).withColumn("salt", part).drop("_parts")
+
+
+def repeated(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add ``salt``: rows of hot keys once per part of the key, all others once."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return _marked(df, key, hot).withColumn("salt", every).drop("_parts")
+
+
+def parts_by_default(spark: SparkSession) -> int:
+    """No part of a key shall be larger than 1/1000 of the rows or an average shuffle partition."""
+    return max(HOT_KEYS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def salted_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    key: str,
-    spread: Sequence[str],
-    most: int = HOT_KEYS,
-    salts: int = SALTS,
+    facts: DataFrame, dims: DataFrame, key: str, spread: Sequence[str], most: int | None = None
 ) -> DataFrame:
     """Left join ``facts`` to ``dims`` (unique per key) with hot keys split.
 
-    Rows of a hot key are dealt over ``salts`` parts by a hash of the ``spread``
-    columns (a row's identity, so the same on every retry of a task); only the
-    dim rows of hot keys are repeated, once per part. NULL keys, which match
-    nothing, are dealt out too.
+    Rows of a hot key are dealt over its parts and only the dim rows of hot keys
+    are repeated, once per part. NULL keys match nothing and are dealt the same way.
     """
-    hot = hot_keys(facts, key, most)
-    dealt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    split = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salted = _marked(facts, key, hot).withColumn("_salt", F.when(split, dealt).otherwise(0)).drop("_hot")
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = _marked(dims, key, hot).withColumn("_salt", F.explode(parts)).drop("_hot")
+    hot = hot_keys(facts, key, most or parts_by_default(facts.sparkSession))
     extra = [c for c in dims.columns if c != key]
-    return salted.join(repeated, [key, "_salt"], "left").select(*facts.columns, *extra)
+    joined = dealt(facts, key, hot, spread).join(repeated(dims, key, hot), [key, "salt"], "left")
+    return joined.select(*facts.columns, *extra)
 
 
 def flag_members(
-    facts: DataFrame, key: str, members: DataFrame, name: str, spread: Sequence[str], most: int = HOT_KEYS
+    facts: DataFrame, key: str, members: DataFrame, name: str, spread: Sequence[str], most: int | None = None
 ) -> DataFrame:
     """Add ``name`` = 1 where ``key`` occurs in the one-column ``members``, else 0."""
     column = members.columns[0]
