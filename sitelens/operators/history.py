@@ -68,7 +68,7 @@ def query_upsert(asked: DataFrame, stored: DataFrame | None = None) -> DataFrame
 
 def store_messages(messages: DataFrame, path: str) -> None:
     """Append messages to the history files, partitioned by day."""
-    days = messages.withColumn("day", F.to_date("timestamp"))
+    days = messages.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
     days.write.mode("append").partitionBy("day").parquet(path)
 
 

@@ -13,10 +13,11 @@ from sitelens.catalog import CONTRACTS
 
 def write_csv(df: DataFrame, path: str, by_market: bool = False, mode: str = "overwrite") -> None:
     """CSV files with a header; one folder per market on request."""
-    writer = df.write.mode(mode).option("header", True)
     if by_market:
-        writer = writer.partitionBy("market_code")
-    writer.csv(path)
+        writer = df.hint("rebalance", "market_code").write.partitionBy("market_code")
+    else:
+        writer = df.write
+    writer.mode(mode).option("header", True).csv(path)
 
 
 def append_feedback(feedback: DataFrame, path: str) -> None:
@@ -63,29 +64,23 @@ def read_request_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_layout(
-    df: DataFrame,
-    path: str,
-    partition_by: str,
-    cluster_by: Sequence[str] = (),
-    files_per_partition: int = 1,
-    mode: str = "overwrite",
+    df: DataFrame, path: str, partition_by: str, cluster_by: Sequence[str] = (), mode: str = "overwrite"
 ) -> None:
     """Parquet partitioned by a date column and sorted by the cluster columns inside files.
 
-    Each date is spread over ``files_per_partition`` writers by hash of the row, so
-    one heavy date is not written by one task; sorting gives every file narrow
-    min/max ranges that filters on the cluster columns can skip by.
+    Rows are gathered by date for few files each; the rebalance lets Spark split a
+    heavy date over several writers and merge light ones. Sorting gives every file
+    narrow min/max ranges that filters on the cluster columns can skip by.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
-    shuffled = df.repartition(F.col(partition_by), spread)
-    shuffled.sortWithinPartitions(partition_by, *cluster_by).write.mode(mode).partitionBy(partition_by).parquet(path)
+    gathered = df.hint("rebalance", partition_by)
+    gathered.sortWithinPartitions(partition_by, *cluster_by).write.mode(mode).partitionBy(partition_by).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, table: str, files_per_partition: int = 1) -> None:
+def write_table(df: DataFrame, path: str, table: str) -> None:
     """Write a table in the layout its contract names; cluster columns it lacks are left out."""
     layout = CONTRACTS[table]
     cluster = [c for c in layout["cluster_by"] if c in df.columns]
-    write_layout(df, path, layout["partition_by"], cluster, files_per_partition)
+    write_layout(df, path, layout["partition_by"], cluster)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> None:

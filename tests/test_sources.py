@@ -93,7 +93,7 @@ def test_layout_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "session")
     data = [(f"s{i}", date(2024, 1, 1 + i % 5), "US" if i % 2 else "GB") for i in range(100)]
     df = spark.createDataFrame(data, "session_id string, visit_start_date date, market_code string")
-    files.write_layout(df, path, "visit_start_date", ["market_code"], files_per_partition=2)
+    files.write_layout(df, path, "visit_start_date", ["market_code"])
     back = spark.read.parquet(path)
     one_day = back.where("visit_start_date = DATE '2024-01-03'")
     assert rows(back.select(*df.columns)) == rows(df)
