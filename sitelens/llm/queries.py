@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate
+from sitelens.llm import decontaminate, pii, secrets
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.OP2_SQL,
