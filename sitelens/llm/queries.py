@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate, pii, secrets
+from sitelens.llm import decontaminate, packing, pii, secrets
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_packing": packing.op4_packing,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLE = {
