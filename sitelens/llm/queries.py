@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate, packing, pii, secrets, token_files, toxicity
+from sitelens.llm import decontaminate, packing, pii, secrets, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_packing": packing.op4_packing,
+    "op5_topk": topk.op5_topk,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLE = {
+    "op5_topk": topk.OP5_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
 }
