@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate, packing, pii, secrets, token_files, topk, toxicity
+from sitelens.llm import decontaminate, html_text, packing, pii, secrets, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_html_text": html_text.op3_html_text,
     "op4_packing": packing.op4_packing,
     "op5_topk": topk.op5_topk,
     "op8_toxicity": toxicity.op8_toxicity,
