@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.runtime import cut_lineage
+from sitelens.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut_lineage", "lower_ascii", "plain", "table", "word_bytes"]
+__all__ = ["arrow_rows", "cut_lineage", "lower_ascii", "plain", "shared_folder", "table", "word_bytes", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -28,6 +29,23 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new place in the folder that ``spark.checkpoint.dir`` names."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    Like a checkpoint, but compressed, and the optimiser knows no more of the
+    rows than their types: in a loop, what it derives grows with every round.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

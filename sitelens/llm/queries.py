@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate, html_text, packing, pii, secrets, token_files, topk, toxicity
+from sitelens.llm import decontaminate, html_text, jaccard, packing, pii, secrets, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_text": html_text.op3_html_text,
     "op4_packing": packing.op4_packing,
     "op5_topk": topk.op5_topk,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,

@@ -10,7 +10,6 @@ block, decode independently.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm import rans
-from sitelens.llm.common import plain, table
+from sitelens.llm.common import plain, shared_folder, table
 from sitelens.llm.pieces import pieces, tokenizer_path
-from sitelens.runtime import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
@@ -33,13 +31,16 @@ RAW = "part int, number int, first long, tokens long, docs array<long>, lengths
 FILE = "part int, number int, first long, tokens long, block binary"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+def id_width(path: str) -> int:
+    """Bytes that hold any id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
 
 
 def _tokenise(path: str, spaced: bool, end: int, limit: int):
-    last = np.array([end], "<u4").tobytes()
+    width = id_width(path)
+    last = np.array([end], f"<u{width}").tobytes()
     schema = pa.schema(
         [("part", pa.int32()), ("number", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64())]
         + [(n, pa.list_(pa.int64())) for n in ("docs", "lengths")]
@@ -49,7 +50,7 @@ def _tokenise(path: str, spaced: bool, end: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sitelens.llm.common import batch
 
-        encode, part = pieces(path, spaced), TaskContext.get().partitionId()
+        encode, part = pieces(path, spaced, width), TaskContext.get().partitionId()
         number = first = size = 0
         docs: list = []
         held: list[bytes] = []
@@ -57,27 +58,24 @@ def _tokenise(path: str, spaced: bool, end: int, limit: int):
 
         def block(final: bool):
             nonlocal counts
-            ids = np.frombuffer(b"".join(held), "<u4")
-            if len(ids):
-                own = np.bincount(ids)
-                wide = max(len(own), len(counts))
-                counts = np.pad(counts, (0, wide - len(counts))) + np.pad(own, (0, wide - len(own)))
-            width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-            met = np.flatnonzero(counts) if final else []
-            times = counts[met] if final else []
-            row = (part, number, first, len(ids), docs, [len(h) // 4 for h in held], width)
-            return batch([(*row, ids.astype(f"<u{width}").tobytes(), list(met), list(times))], schema)
+            data = b"".join(held)
+            own = np.bincount(np.frombuffer(data, f"<u{width}"), minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+            met = np.flatnonzero(counts) if final else np.zeros(0, np.int64)
+            row = (part, number, first, len(data) // width, docs, [len(h) // width for h in held], width, data)
+            return batch([(*row, met, counts[met])], schema)
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids = encode(text.as_py()) + last
-                if held and size + len(ids) // 4 > limit:
+                if held and size + len(ids) // width > limit:
                     yield block(False)
                     number, first, size = number + 1, first + size, 0
                     docs, held = [], []
                 docs.append(doc)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
         if held:
             yield block(True)
 
