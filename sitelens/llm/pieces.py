@@ -4,7 +4,8 @@ The tokenizers cut a text into pieces before they look at the vocabulary, and
 no merge crosses a cut. A text is cut here only where the tokenizer cuts as
 well: before a space that follows a word, and between letters and the ASCII
 signs after them. Each distinct word goes to the tokenizer once per worker;
-its ids are kept as bytes. The memory is emptied when it is full.
+its ids are kept as bytes. What is remembered is bounded: a full memory is
+emptied and fills again.
 """
 
 from __future__ import annotations
@@ -22,24 +23,26 @@ SPACE = (
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Besides the space and the line feed; any of them is rare.
 RARE = SPACE.replace(" ", "").replace("\n", "")
+RARE_ASCII = "\t\x0b\x0c\r"
 WORDS = re.compile(f"[^{SPACE}]+")
 #: Python's split() takes these for white space, the tokenizers don't.
 CONTROL = re.compile("[\x1c-\x1f]")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SURE = "؀"  # letters below are letters in every version of Unicode
-KNOWN = 900_000
+KNOWN, PARTS = 900_000, 1_200_000
 
 
 class Pieces:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = KNOWN):
+    def __init__(self, path: str, spaced: bool, width: int = 4, limit: int = KNOWN):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.limit = spaced, limit
+        self.width, self.kind = width, f"<u{width}"
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab()
@@ -51,7 +54,7 @@ class Pieces:
         got = self.parts.get(piece)
         if got is None:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            got = self.parts[piece] = np.array(ids, "<u4").tobytes()
+            got = self.parts[piece] = np.array(ids, self.kind).tobytes()
         return got
 
     def encode_letters(self, words: list[str]) -> None:
@@ -59,12 +62,13 @@ class Pieces:
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             text = " " + " ".join(some) if self.spaced else " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(some):
                 raise ValueError("the tokenizer joins words across a space")
-            cuts = [*(4 * edges).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * edges + 4).tolist()]
-            raw = ids.tobytes()
+            cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
+            cuts = [self.width * c for c in cuts]
+            raw = ids.astype(self.kind).tobytes()
             self.parts.update(zip(map(self.lead, some), map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def lead(self, word: str) -> str:
@@ -80,6 +84,8 @@ class Pieces:
     def learn(self, words: set[str]) -> None:
         cut = {w: self.ends(w) for w in words}
         new = {c[0] for c in cut.values() if c and c[0].isalpha()}
+        if len(self.parts) + len(new) > PARTS:
+            self.parts.clear()
         self.encode_letters([w for w in new if self.lead(w) not in self.parts])
         for word, c in cut.items():
             if c:
@@ -94,7 +100,7 @@ class Pieces:
         if not self.spaced:
             return b"", WORDS.findall(text) if CONTROL.search(text) else text.split()
         # Where a space follows white space, splitting at single spaces would cut a run in two.
-        if "  " in text or "\n " in text or text[-1] == " " or any(c in text for c in RARE):
+        if "  " in text or "\n " in text or text[-1] == " " or any(c in text for c in (RARE_ASCII if text.isascii() else RARE)):
             return b"".join(map(self.encode, PIECES.findall(text))), []
         first, *words = text.split(" ")
         return b"".join(map(self.encode, PIECES.findall(first))), words
@@ -108,19 +114,18 @@ class Pieces:
             new = {w for w, i in zip(words, ids) if i is None}
             if len(self.words) + len(new) > self.limit:  # what is emptied is wanted again
                 self.words.clear()
-                self.parts.clear()
                 new = set(words)
             self.learn(new)
             ids = list(map(self.words.__getitem__, words))
         return first + b"".join(ids)
 
 
-_KEPT: dict[tuple[str, bool], Pieces] = {}
+_KEPT: dict[tuple[str, bool, int], Pieces] = {}
 
 
-def pieces(path: str, spaced: bool) -> Pieces:
+def pieces(path: str, spaced: bool, width: int = 4) -> Pieces:
     """One per worker process; what it learnt serves the tasks that follow there."""
-    key = (tokenizer_path(path), spaced)
+    key = (tokenizer_path(path), spaced, width)
     if key not in _KEPT:
         _KEPT[key] = Pieces(*key)
     return _KEPT[key]

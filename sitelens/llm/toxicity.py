@@ -9,6 +9,7 @@ trouble is.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,8 @@ from pyspark.sql.types import StructType
 from sitelens.llm.common import plain, table
 
 #: The bounded sample that the model is fitted on: documents of each label, and the longest text taken.
-SAMPLE = {1: 1500, 0: 3500}
-SAMPLE_CHARS = 20_000
+SAMPLE = {1: 1200, 0: 2400}
+SAMPLE_CHARS = 8_000
 THRESHOLD = 0.7
 SIZE = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -42,15 +43,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
-def telling(place: np.ndarray, doc: np.ndarray, y: np.ndarray, least: float = 4.5) -> np.ndarray:
-    """Places met in a surely larger share of the toxic documents than of the others."""
-    pairs = np.unique(place.astype(np.int64) * len(y) + doc)
-    toxic = np.bincount(pairs // len(y), y[pairs % len(y)], minlength=SIZE)
-    every = np.bincount(pairs // len(y), minlength=SIZE)
-    n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    share = np.clip(every / (n1 + n0), 1e-9, 1 - 1e-9)
-    surplus = toxic / n1 - (every - toxic) / n0
-    return (every >= 3) & (surplus > least * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))
+def telling(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int, least: float = 4.5) -> np.ndarray:
+    """Places met in a surely larger share of the n1 toxic documents than of the n0 others, from how many have them."""
+    every = toxic + other
+    share = np.clip(every / max(1, n1 + n0), 1e-9, 1 - 1e-9)
+    surplus = toxic / max(1, n1) - other / max(1, n0)
+    return (every >= 3) & (surplus > least * np.sqrt(share * (1 - share) * (1 / max(1, n1) + 1 / max(1, n0))))
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -60,27 +58,29 @@ def fit(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.
     without any has the bias alone.
     """
     known: dict[str, np.ndarray] = {}
+    met = np.zeros((2, SIZE))
+    for text, label in zip(texts, labels):
+        words = set(WORD.findall(text.lower()))
+        for w in words - known.keys():
+            known[w] = np.array(features(w), np.int32)
+        if words:
+            met[label, np.unique(np.concatenate([known[w] for w in words]))] += 1
+    tells = telling(met[1], met[0], sum(labels), len(labels) - sum(labels))
+    known = {w: own for w, f in known.items() if len(own := f[tells[f]])}
     places: list[np.ndarray] = []
     of_doc: list[int] = []
     for d, text in enumerate(texts):
         low = text.lower()
         for s, e in sentences(low):
-            own = []
-            for w in set(WORD.findall(low, s, e)):
-                if w not in known:
-                    known[w] = np.array(features(w), np.int32)
-                own.append(known[w])
-            if own:
-                of_doc.append(d)
-                places.append(np.concatenate(own))
+            own = [known[w] for w in set(WORD.findall(low, s, e)) if w in known]
+            of_doc.append(d)
+            places.append(np.concatenate(own) if own else np.zeros(0, np.int32))
     weights, bias = np.zeros(SIZE), -7.0
     if not of_doc:
         return weights, bias
     y, doc = np.array(labels, float), np.array(of_doc, np.int32)
     sentence = np.repeat(np.arange(len(doc), dtype=np.int32), list(map(len, places)))
     place = np.concatenate(places)
-    keep = telling(place, doc[sentence], y)[place]
-    place, sentence = place[keep], sentence[keep]
     used, place = np.unique(place, return_inverse=True)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both labels weigh alike
     w, b = np.zeros(len(used)), bias
@@ -116,22 +116,24 @@ class Scorer:
             got = self.known[word] = float(self.weights[features(word)].sum())
         return got
 
-    def sentence(self, low: str, start: int, end: int) -> float:
-        z = self.bias + sum(map(self.word, set(WORD.findall(low, start, end))))
-        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
-
     def document(self, text: str | None, over: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of the text, and its sentences of at least ``over``."""
         low = (text or "").lower()
         if len(low) != len(text or ""):  # a few letters grow in lower case; positions must not
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        weights = {w: v for w in set(WORD.findall(low)) if (v := self.word(w))}
+        spans = sentences(low)
+        without = math.log1p(-1 / (1 + math.exp(-self.bias)))  # of a sentence without any weight
         clean, bad = 0.0, []
-        for s, e in sentences(low):
-            p = self.sentence(low, s, e)
-            clean += np.log1p(-min(p, 1 - 1e-9))
+        if not weights:
+            return -math.expm1(len(spans) * without), bad
+        for s, e in spans:
+            z = sum(weights.get(w, 0.0) for w in set(WORD.findall(low, s, e)))
+            p = 1 / (1 + math.exp(-min(30.0, self.bias + z)))
+            clean += math.log1p(-min(p, 1 - 1e-9)) if z else without
             if p >= over:
-                bad.append((s, e, float(p)))
-        return float(-np.expm1(clean)), bad
+                bad.append((s, e, p))
+        return -math.expm1(clean), bad
 
 
 def fold(doc_id: str):
