@@ -35,14 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Like a checkpoint, but compressed, and the optimiser knows no more of the
     rows than their types: in a loop, what it derives grows with every round.
     """
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

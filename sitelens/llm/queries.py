@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelens.llm import decontaminate, html_text, jaccard, packing, pii, secrets, token_files, topk, toxicity
+from sitelens.llm import decontaminate, html_text, jaccard, lm, packing, pii, secrets, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_topk": topk.op5_topk,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_lm": lm.op7_lm,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
