@@ -9,16 +9,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import decontaminate
-from sitelens.llm.common import table
+from sitelens.llm import decontaminate, jaccard, packing, secrets, toxicity
+from sitelens.llm.common import keyed, table, written
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labels, does not reject."""
+    found = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    return found.where("predicted = 0").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id."""
+    own = keyed(docs)
+    kept = jaccard.near_duplicates(own, key="_key").where("first").select(F.col("row").alias("_key"))
+    return own.join(kept, "_key", "left_semi").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with [secret] in place of every secret and linked credential; n_chars follows the text."""
+    found = secrets.find_secrets(docs)
+    text = secrets.masked(F.col("text"), F.col("secrets"))
+    found = found.withColumn("text", text).withColumn(
+        "n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    )
+    return found.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each but the last written before the next begins."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut_lineage", "lower_ascii", "plain", "shared_folder", "table", "word_bytes", "written"]
+__all__ = ["arrow_rows", "cut_lineage", "keyed", "lower_ascii", "plain", "shared_folder", "table", "word_bytes", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -46,6 +47,19 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def keyed(df: DataFrame, key: str = "_key") -> DataFrame:
+    """``df`` with a column that names each row by file and place; what is no file is written first.
+
+    Other than a number given while reading, it stays the same however the
+    files are split.
+    """
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    try:
+        return df.select("*", place.alias(key))
+    except AnalysisException:
+        return written(df).select("*", place.alias(key))
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

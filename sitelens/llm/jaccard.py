@@ -63,9 +63,13 @@ def opened48(data: bytes) -> np.ndarray:
     return (upper << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n)
 
 
-def sets(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def sets(documents: DataFrame, size: int = SIZE, key: str | None = None) -> DataFrame:
     """(row, doc_id, node, n_shingles) of every document; node is null for an empty set."""
-    own = plain(documents, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    if key:
+        own = plain(documents, doc_id="long", text="string", **{key: "string"}).withColumnRenamed(key, "row")
+    else:
+        row = F.monotonically_increasing_id().cast("string")
+        own = plain(documents, doc_id="long", text="string").withColumn("row", row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +86,7 @@ def sets(documents: DataFrame, size: int = SIZE) -> DataFrame:
                 }
             )
 
-    return own.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, node binary, n_shingles long")
+    return own.select("row", "doc_id", "text").mapInArrow(run, "row string, doc_id long, node binary, n_shingles long")
 
 
 def packs(documents: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
@@ -363,15 +367,16 @@ def links(documents: DataFrame, size: int = SIZE, reducer: int = REDUCER) -> Dat
     return found.unionByName(linked(written(verified(rest, kept))))
 
 
-def near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = SIZE, key: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, first): every row of ``documents`` with its group.
 
+    ``row`` is the column ``key``, which must tell the rows apart, or else a number.
     ``component_id`` is the smallest doc_id in the group, null if it has none;
     ``first`` marks one row per group, that of the smallest doc_id (of equal
-    ones the first read). Null, empty and blank texts have no shingles and are
+    ones that of the smallest row). Null, empty and blank texts have no shingles and are
     groups of their own; repeated rows have equal sets and share a group.
     """
-    rows = written(sets(documents, size))
+    rows = written(sets(documents, size, key))
     roots = components(links(documents, size))
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(smallest.alias("least"))
