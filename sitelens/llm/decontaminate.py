@@ -160,13 +160,15 @@ def find_contamination(
     met = found.groupBy("doc_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))).alias("ranges"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("hits"),
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to", "spans")))).alias("ranges"),
     )
-    covered = F.size(
-        F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["hit_from"], r["hit_to"] - 1))))
+    met = met.withColumn("ranges", merged("ranges")).select(
+        "doc_row",
+        "n_words",
+        "item_ids",
+        F.aggregate("ranges", F.lit(0), lambda n, r: n + r["hit_to"] - r["hit_from"]).cast("long").alias("n_hit"),
+        F.transform("ranges", lambda r: r["spans"]).alias("hits"),
     )
-    met = met.withColumn("n_hit", F.when(F.size("ranges") > 0, covered).otherwise(0).cast("long"))
     return rows.join(met, "doc_row").select(
         *(f"`{c}`" for c in kept),
         "n_words",
@@ -177,6 +179,25 @@ def find_contamination(
     )
 
 
+def merged(ranges):
+    """Sorted (hit_from, hit_to, spans) with those joined that touch or overlap."""
+
+    def join(done, r):
+        last = F.try_element_at(done, F.lit(-1))
+        span = F.struct(
+            last["spans"]["start"].alias("start"), F.greatest(last["spans"]["end"], r["spans"]["end"]).alias("end")
+        )
+        wider = F.struct(
+            last["hit_from"].alias("hit_from"), F.greatest(last["hit_to"], r["hit_to"]).alias("hit_to"), span.alias("spans")
+        )
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(r["hit_from"] <= last["hit_to"], F.concat(rest, F.array(wider))).otherwise(
+            F.concat(done, F.array(r))
+        )
+
+    return F.aggregate(ranges, F.slice(ranges, 1, 0), join)
+
+
 def _one_scan(documents: DataFrame, kept: list[str], text, shared) -> DataFrame:
     """All in one pass over the rows, no shuffle: the columns travel with the text."""
     own = documents.select(*(f"`{c}`" for c in kept), text.alias("_text"))
