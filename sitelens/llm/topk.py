@@ -129,7 +129,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, shard: list, k: int):
 
 
 def opened(row, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(row[n], "<i8").reshape(-1, row["dim"]) if n == "vectors" else np.frombuffer(row[n], "<i8") for n in names]
+    shape = (len(row["ids"]) // 8, row["dim"])
+    return [np.frombuffer(row[n], "<i8").reshape(shape if n == "vectors" else -1) for n in names]
 
 
 def top_k(
@@ -150,7 +151,7 @@ def top_k(
     )
     # Which chunk meets which shard: keys alone, one row for chunk x shard vectors.
     grid = asked.select("dim", "q_part", "q_number").join(index.select("dim", "part", "shard").distinct(), "dim")
-    keys = ["q_part", "q_number", "part", "shard"]
+    keys = ["q_part", "q_number", "dim", "part", "shard"]
 
     def run(key, chunk_rows: pd.DataFrame, shard_rows: pd.DataFrame) -> pd.DataFrame:
         row = chunk_rows.iloc[0]
@@ -170,8 +171,8 @@ def top_k(
         )
         return out[out["score"] > NONE]
 
-    left = grid.drop("dim").join(asked, ["q_part", "q_number"]).groupBy(*keys)
-    right = grid.join(index.drop("dim", "number"), ["part", "shard"])
+    left = grid.join(asked, ["dim", "q_part", "q_number"]).groupBy(*keys)
+    right = grid.join(index.drop("number"), ["dim", "part", "shard"])
     right = right.toDF(*right.columns).groupBy(*keys)  # names of its own: both sides come from one index
     found = left.cogroup(right).applyInPandas(run, FOUND)
     best = Window.partitionBy("q_part", "q_number", "q_place").orderBy(F.desc("score"), "vec_id")
