@@ -10,21 +10,15 @@ from pyspark.sql import functions as F
 from sitelens.operators.skew import dealt, hot_keys, parts_by_default, repeated
 from sitelens.runtime import cut_lineage
 
-# Up to this many new pages are sent to every task instead of shuffling all links to them.
-BROADCAST_PAGES = 100_000
 
-
-def link_closure(
-    edges: DataFrame, start: Sequence | DataFrame, broadcast_pages: int = BROADCAST_PAGES, most: int | None = None
-) -> DataFrame:
+def link_closure(edges: DataFrame, start: Sequence | DataFrame, most: int | None = None) -> DataFrame:
     """All pages reachable from the start pages, each once with its link distance.
 
     Breadth first. Each round joins only the newest pages with the links and
     drops those already seen. A round is checkpointed, so no round replays the
-    ones before and a lost executor costs one round. While the newest pages are
-    counted to be few they are broadcast and the links stay where they are;
-    beyond that both sides are shuffled by source, with the links of a page
-    that owns very many dealt over several parts.
+    ones before and a lost executor costs one round. The links of a page that
+    owns very many are dealt over several parts; whether the newest pages are
+    shuffled or sent whole is Spark's choice by their size.
     """
     spark = edges.sparkSession
     src_type = dict(edges.dtypes)["src"]
@@ -38,13 +32,10 @@ def link_closure(
     frontier = cut_lineage(first.withColumn("depth", F.lit(0)))
     seen = frontier
     depth = 0
-    while newest := frontier.count():
+    while not frontier.isEmpty():
         depth += 1
         sources = frontier.select(F.col("page").alias("src"))
-        if newest <= broadcast_pages:
-            reached = links.join(F.broadcast(sources), "src", "left_semi")
-        else:
-            reached = links.join(repeated(sources, "src", hot), ["src", "salt"], "left_semi")
+        reached = links.join(repeated(sources, "src", hot), ["src", "salt"], "left_semi")
         fresh = reached.select(F.col("dst").alias("page")).distinct().join(seen, "page", "left_anti")
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)

@@ -23,7 +23,8 @@ def session_upsert(stored: DataFrame, touches: DataFrame) -> DataFrame:
     """Sessions after ``touches`` (session_id, timestamp, metadata).
 
     A known session only moves its last interaction; a new one starts at its
-    first touch and keeps that touch's metadata.
+    first touch and keeps that touch's metadata (of touches at one time, the
+    smallest).
     """
     old = stored.select("session_id", "created_at", "last_interaction", "metadata", F.lit(0).alias("arrival"))
     new = touches.select(
@@ -33,7 +34,7 @@ def session_upsert(stored: DataFrame, touches: DataFrame) -> DataFrame:
         "metadata",
         F.lit(1).alias("arrival"),
     )
-    first = F.struct("arrival", "created_at")
+    first = F.struct("arrival", "created_at", "metadata")
     return (
         old.unionByName(new)
         .groupBy("session_id")

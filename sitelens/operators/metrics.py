@@ -13,34 +13,26 @@ CONFIG_START = 5
 CONFIG_COMPLETE = 11
 
 
-def interaction_visitors(
-    hits: DataFrame, hit_rows: DataFrame, lookup: DataFrame, by: Sequence[str] = ("market_code",)
-) -> DataFrame:
+def interaction_visitors(hit_rows: DataFrame, lookup: DataFrame, by: Sequence[str] = ("market_code",)) -> DataFrame:
     """Visitors who enquired, engaged, started and completed a configuration.
 
-    Interactions are reduced to one flag row per hit before meeting the hits on
-    the unique hit id, then to one row per visitor; the distinct counts become
+    Interaction rows carry their hit's visitor, market and day, so the hits are
+    not read. They are reduced to one row per visitor; the distinct counts become
     plain sums, so several of them cost one pass and no row expansion.
     """
     kind = F.col("interaction_id")
-    per_hit = (
-        hit_rows.select("hit_id", "interaction_id")
-        .join(lookup.select("interaction_id", "enquiry_flag", "engagement_flag"), "interaction_id", "left")
-        .groupBy("hit_id")
-        .agg(
-            F.max(F.coalesce("enquiry_flag", F.lit(0))).alias("enquired"),
-            F.max(F.coalesce("engagement_flag", F.lit(0))).alias("engaged"),
-            F.max(F.when(kind == CONFIG_START, 1).otherwise(0)).alias("started"),
-            F.max(F.when(kind == CONFIG_COMPLETE, 1).otherwise(0)).alias("completed"),
-        )
-    )
-    flags = ["enquired", "engaged", "started", "completed"]
+    flags = {
+        "enquired": F.coalesce("enquiry_flag", F.lit(0)),
+        "engaged": F.coalesce("engagement_flag", F.lit(0)),
+        "started": F.when(kind == CONFIG_START, 1).otherwise(0),
+        "completed": F.when(kind == CONFIG_COMPLETE, 1).otherwise(0),
+    }
     per_visitor = (
-        hits.where(F.col("visitor_id").isNotNull())
-        .select("hit_id", "visitor_id", *by)
-        .join(per_hit, "hit_id")
+        hit_rows.where(F.col("visitor_id").isNotNull())
+        .select("interaction_id", "visitor_id", *by)
+        .join(lookup.select("interaction_id", "enquiry_flag", "engagement_flag"), "interaction_id", "left")
         .groupBy(*by, "visitor_id")
-        .agg(*[F.max(f).alias(f) for f in flags])
+        .agg(*[F.max(flag).alias(name) for name, flag in flags.items()])
     )
     counted = per_visitor.groupBy(*by).agg(
         F.count_if(F.col("enquired") == 1).alias("enquired_visitors"),
@@ -52,10 +44,10 @@ def interaction_visitors(
 
 
 def visitor_metric(
-    hits: DataFrame, hit_rows: DataFrame, lookup: DataFrame, metric: str, by: Sequence[str] = ("market_code",)
+    hit_rows: DataFrame, lookup: DataFrame, metric: str, by: Sequence[str] = ("market_code",)
 ) -> DataFrame:
     """One of the metrics; Catalyst drops the flags the others would need."""
-    return interaction_visitors(hits, hit_rows, lookup, by).select(*by, metric)
+    return interaction_visitors(hit_rows, lookup, by).select(*by, metric)
 
 
 def visitors(sessions: DataFrame, name: str = "visitor_count") -> DataFrame:

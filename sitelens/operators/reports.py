@@ -14,9 +14,6 @@ from sitelens.functions.urls import configurator_page, landing_class
 from sitelens.operators.scope import in_scope
 from sitelens.operators.skew import joined_text, numbered
 
-# Page views of a session whose text is kept while sequences are compared.
-OPENING_PAGES = 1000
-
 
 def row_count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias(name))
@@ -149,14 +146,13 @@ def landing_like(hits: DataFrame, path_like: str) -> DataFrame:
     return found.groupBy("page_path").agg(F.count("*").alias("hits"))
 
 
-def page_sequences(hits: DataFrame, most: int = 10, opening_pages: int = OPENING_PAGES) -> DataFrame:
+def page_sequences(hits: DataFrame, most: int = 10) -> DataFrame:
     """The most common page-group sequences of sessions.
 
     A session is never gathered to be compared: its sequence is told apart by its
-    length, two hashes of (position, group) and its opening pages, all of bounded
-    size and combined before the shuffle. The opening is the whole text of all but
-    huge sessions; for those the text is built only if they are among the final rows.
-    Ties are ordered by text, between huge sequences by their opening.
+    length and two hashes of (position, group) over all its pages, of bounded size
+    and combined before the shuffle. Text is built for the final rows alone. Of
+    sequences met equally often those with the smaller session id come first.
     """
     pages = hits.where(F.col("hit_type") == "PAGE").select("session_id", "hit_datetime", "hit_id", "page_group")
     grouped = F.col("page_group").isNotNull()
@@ -168,22 +164,21 @@ def page_sequences(hits: DataFrame, most: int = 10, opening_pages: int = OPENING
         F.bit_xor(F.when(grouped, F.xxhash64(F.lit(seed), "position", "page_group"))).alias(f"mark_{seed}")
         for seed in (1, 2)
     ]
-    opening = f"listagg(if(position <= {opening_pages}, page_group, NULL), ' > ') within group (order by position)"
     sequences = (
         placed.groupBy("session_id")
-        .agg(F.count("page_group").alias("length"), *marks, F.expr(opening).alias("opening"))
-        .groupBy("length", "mark_1", "mark_2", "opening")
+        .agg(F.count("page_group").alias("length"), *marks)
+        .groupBy("length", "mark_1", "mark_2")
         .agg(F.count("*").alias("n"), F.min("session_id").alias("example"))
     )
-    top = sequences.orderBy(F.desc("n"), "opening", "length", "example").limit(most)
-    cut = F.broadcast(top.where(F.col("length") > opening_pages).select(F.col("example").alias("session_id")))
+    top = sequences.orderBy(F.desc("n"), "example").limit(most)
+    shown = F.broadcast(top.select(F.col("example").alias("session_id")))  # ``most`` rows
     whole = joined_text(
-        pages.join(cut, "session_id", "left_semi"), ["session_id"], "hit_datetime", ["hit_id"], "page_group", " > ", "whole"
+        pages.join(shown, "session_id", "left_semi"), ["session_id"], "hit_datetime", ["hit_id"], "page_group", " > ", "whole"
     ).withColumnRenamed("session_id", "example")
     return (
         top.join(whole, "example", "left")
-        .select(F.coalesce("whole", "opening").alias("page_sequence"), F.col("n").alias("sequence_count"))
-        .orderBy(F.desc("sequence_count"), "page_sequence")
+        .orderBy(F.desc("n"), "example")
+        .select(F.col("whole").alias("page_sequence"), F.col("n").alias("sequence_count"))
     )
 
 
@@ -264,6 +259,6 @@ def market_enrich(df: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, columns: Sequence[str | Column], key: str, most: int | None = None) -> DataFrame:
-    """A column list ordered by ``key``; ``most`` caps it as a preview does."""
-    listed = df.select(*columns).orderBy(key)
-    return listed.limit(most) if most else listed
+    """A column list; ``most`` keeps the first by ``key``, in order, as a preview does."""
+    listed = df.select(*columns)
+    return listed.orderBy(key).limit(most) if most else listed

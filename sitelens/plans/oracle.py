@@ -149,9 +149,9 @@ SELECT * FROM collect_log WHERE method = 'Network.requestWillBeSent' AND (url LI
 
 VIEWS["query_log"] = """
 SELECT conv_id AS session_id, turn, role AS message_type, text AS content,
-       regexp_extract(text, '^[^ ]+', 0) AS natural_language_query, md5(regexp_extract(text, '^[^ ]+', 0)) AS query_hash,
+       text AS natural_language_query, md5(text) AS query_hash,
        TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS "timestamp"
-FROM conversations WHERE role IN ('user', 'assistant')
+FROM conversations
 """
 
 VIEWS["log_sessions"] = """
@@ -161,10 +161,15 @@ FROM query_log GROUP BY session_id
 """
 
 VIEWS["asked"] = """
-SELECT session_id, turn, query_hash, natural_language_query, content AS sql_query,
-       CASE WHEN length(content) > 200 THEN 'COMPLEX' ELSE 'SIMPLE' END AS complexity, "timestamp",
-       CASE WHEN turn = 0 THEN 0 ELSE 1 END AS arrival
-FROM query_log WHERE message_type = 'user'
+SELECT session_id, turn, query_hash, natural_language_query, sql_query,
+       CASE WHEN length(sql_query) > 200 THEN 'COMPLEX' ELSE 'SIMPLE' END AS complexity, "timestamp",
+       CASE WHEN turn <= 1 THEN 0 ELSE 1 END AS arrival
+FROM (
+  SELECT session_id, turn, query_hash, natural_language_query, content AS sql_query, "timestamp"
+  FROM query_log WHERE message_type = 'user'
+  UNION ALL
+  SELECT session_id, turn + 1000, query_hash, natural_language_query, concat(content, ' again'), "timestamp" + INTERVAL 1 DAY
+  FROM query_log WHERE message_type = 'user')
 """
 
 VIEWS["link_edges"] = """
@@ -359,7 +364,8 @@ STATEMENTS: dict[str, str] = {
     "run_query": """
 SELECT session_id, visitor_id, total_hits FROM session WHERE brand = 'Alpha' ORDER BY total_hits DESC, session_id LIMIT 1000""",
     "describe_table": """
-SELECT CAST(position AS INT) AS position, column_name, data_type, (SELECT count(*) FROM events) AS num_rows
+SELECT CAST(position AS INT) AS position, column_name, data_type, CAST(NULL AS VARCHAR) AS description,
+  (SELECT count(*) FROM events) AS num_rows
 FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'), (2, 'user_id', 'bigint'), (3, 'event_type', 'string'),
   (4, 'value', 'double'), (5, 'props', 'string')) AS t(position, column_name, data_type)""",
     "page_ctr": _page_ctr("n.event_label IN ('BUILD YOUR OWN :: cta-content', 'FIND OUT MORE :: cta-content')"),
@@ -404,7 +410,8 @@ SELECT CAST(sum(CASE WHEN page_count = 1 THEN 1 ELSE 0 END) AS BIGINT) AS single
 WITH sequences AS (
   SELECT session_id, string_agg(page_group, ' > ' ORDER BY hit_datetime, hit_id) AS page_sequence
   FROM scoped_hit WHERE hit_type = 'PAGE' GROUP BY session_id)
-SELECT page_sequence, count(*) AS sequence_count FROM sequences GROUP BY 1 ORDER BY sequence_count DESC, page_sequence LIMIT 10""",
+SELECT page_sequence, count(*) AS sequence_count FROM sequences GROUP BY 1
+ORDER BY sequence_count DESC, min(session_id) LIMIT 10""",
     "visitors_by_dims": f"""
 SELECT h.market_code, page_path, device_category, channel_grouping, h.visit_start_date, count(DISTINCT h.visitor_id) AS total_visitors
 FROM scoped_hit h JOIN scoped_session s USING (session_id)
@@ -439,12 +446,12 @@ SELECT session_id,
   nullif(regexp_extract(lower(campaign), '(lead|conv|aware|engage|traffic|consideration|purchase|retention)', 1), '') AS cmp_objective2
 FROM session WHERE campaign IS NOT NULL""",
     "media_channel": """
-WITH channels AS (
-  SELECT * FROM (VALUES (1, 'Google Search'), (2, 'Google Display Network'), (3, 'Facebook'), (4, 'Instagram'), (5, 'YouTube'),
-    (6, 'LinkedIn'), (7, 'Twitter'), (8, 'Bing Ads'), (9, 'CRM / Direct Email')) AS t(number, channel))
-SELECT s.session_id, s.campaign, coalesce(c.channel, 'Unknown Media Channel') AS media_channel
-FROM session s LEFT JOIN channels c ON concat('gmc', c.number * 1000) = regexp_extract(lower(s.campaign), '(gmc[0-9]+)', 1)
-WHERE s.campaign IS NOT NULL""",
+-- fixed values: the channel codes of the campaign naming scheme
+SELECT session_id, campaign, CASE regexp_extract(lower(campaign), '(gmc[0-9]+)', 1)
+  WHEN 'gmc1000' THEN 'Google Search' WHEN 'gmc2000' THEN 'Google Display Network' WHEN 'gmc3000' THEN 'Facebook'
+  WHEN 'gmc4000' THEN 'Instagram' WHEN 'gmc5000' THEN 'YouTube' WHEN 'gmc6000' THEN 'LinkedIn' WHEN 'gmc7000' THEN 'Twitter'
+  WHEN 'gmc8000' THEN 'Bing Ads' WHEN 'gmc9000' THEN 'CRM / Direct Email' ELSE 'Unknown Media Channel' END AS media_channel
+FROM session WHERE campaign IS NOT NULL""",
     "campaign_first_channel": """
 SELECT DISTINCT campaign AS session_first_campaign, channel_grouping AS first_channel FROM scoped_session""",
     "session_flags": "SELECT * FROM session_flags",
@@ -570,14 +577,14 @@ JOIN (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORD
     "conversation_history": 'SELECT session_id, turn, message_type, content, "timestamp" FROM query_log',
     "lookup_by_hash": """
 WITH stored AS (
-  SELECT * FROM asked WHERE turn = 0
+  SELECT * FROM asked WHERE turn <= 1
   QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY "timestamp" DESC, session_id DESC) = 1)
 SELECT a.session_id, a.turn, a.natural_language_query, a.query_hash, s.sql_query, s.complexity
 FROM asked a LEFT JOIN stored s ON a.query_hash = s.query_hash""",
     "feedback_join": """
 SELECT session_id, turn AS message_id, message_type,
-  CASE WHEN message_type = 'assistant' THEN 1 ELSE 0 END::BIGINT AS ratings,
-  CASE WHEN message_type = 'assistant' THEN CAST(1 + length(content) % 5 AS DOUBLE) END AS avg_rating,
+  CASE WHEN message_type = 'assistant' THEN 2 ELSE 0 END::BIGINT AS ratings,
+  CASE WHEN message_type = 'assistant' THEN (2 + length(content) % 5 + length(content) % 3) / 2.0 END::DOUBLE AS avg_rating,
   CASE WHEN message_type = 'assistant' AND length(content) % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS comments
 FROM query_log""",
     "knn_l2": """
@@ -607,9 +614,9 @@ SELECT request_id, {_parse("label", False)}, {_parse("action", False)}, {_parse(
     "distinct_links": "SELECT DISTINCT link FROM page_links",
     "path_match_key": "SELECT page_id, lower(replace(url, 'https://', '')) AS path_key FROM pages",
     "link_closure": """
-WITH RECURSIVE reach(page) AS (
-  SELECT CAST(0 AS BIGINT) UNION SELECT e.dst FROM reach r JOIN link_edges e ON r.page = e.src)
-SELECT page FROM reach""",
+WITH RECURSIVE reach(page, depth) AS (
+  SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN link_edges e ON r.page = e.src WHERE r.depth < 12)
+SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
     "clickable": r"""
 SELECT page_id, 'a' AS tag_name, replace(trim(regexp_replace(regexp_extract(e, '>(.*)</a>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS text,
   replace(regexp_extract(e, 'href="([^"]*)"', 1), '&amp;', '&') AS href

@@ -77,7 +77,7 @@ def run_query(spark, root):
 
 @query
 def describe_table(spark, root):
-    return warehouse.describe_table(warehouse.scan_table(spark, root, "events")).drop("description")
+    return warehouse.describe_table(warehouse.scan_table(spark, root, "events"))
 
 
 @query
@@ -510,7 +510,6 @@ def market_enrich(spark, root):
 
 def _metric(metric: str, *by: str) -> Query:
     return lambda spark, root: metrics.visitor_metric(
-        views.hit(spark, root),
         views.hit_interaction_nameplate(spark, root),
         views.lookup_interaction(spark),
         metric,
@@ -555,23 +554,22 @@ def _all_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, root: str) -> DataFrame:
-    long = F.length("content") > 200
-    return (
-        views.query_log(spark, root)
-        .where(F.col("message_type") == "user")
-        .select(
-            "session_id",
-            "turn",
-            "natural_language_query",
-            F.col("content").alias("sql_query"),
-            F.when(long, "COMPLEX").otherwise("SIMPLE").alias("complexity"),
-            "timestamp",
-        )
+    """The questions of users, each asked again a day later."""
+    log = views.query_log(spark, root).where(F.col("message_type") == "user")
+    once = log.select("session_id", "turn", "natural_language_query", F.col("content").alias("sql_query"), "timestamp")
+    again = once.select(
+        "session_id",
+        F.col("turn") + 1000,
+        "natural_language_query",
+        F.concat("sql_query", F.lit(" again")),
+        F.expr("timestamp + INTERVAL 1 DAY"),
     )
+    long = F.length("sql_query") > 200
+    return once.union(again).withColumn("complexity", F.when(long, "COMPLEX").otherwise("SIMPLE"))
 
 
 def _opening_queries(spark: SparkSession, root: str) -> DataFrame:
-    return history.query_upsert(_asked(spark, root).where("turn = 0").drop("turn"))
+    return history.query_upsert(_asked(spark, root).where("turn <= 1").drop("turn"))
 
 
 @query
@@ -588,7 +586,7 @@ def session_upsert(spark, root):
 
 @query
 def query_upsert(spark, root):
-    later = _asked(spark, root).where("turn > 0").drop("turn")
+    later = _asked(spark, root).where("turn > 1").drop("turn")
     return history.query_upsert(later, _opening_queries(spark, root).drop("query_hash"))
 
 
@@ -619,12 +617,16 @@ def recent_sessions(spark, root):
 def feedback_join(spark, root):
     log = views.query_log(spark, root).withColumnRenamed("turn", "message_id")
     answered = log.where(F.col("message_type") == "assistant")
-    feedback = answered.select(
+    first = answered.select(
         "session_id",
         "message_id",
         (1 + F.length("content") % 5).alias("rating"),
         F.when(F.length("content") % 2 == 0, F.col("natural_language_query")).alias("feedback_text"),
     )
+    second = answered.select(
+        "session_id", "message_id", (1 + F.length("content") % 3).alias("rating"), F.lit(None).alias("feedback_text")
+    )
+    feedback = first.unionByName(second)
     return history.feedback_by_message(log.select("session_id", "message_id", "message_type"), feedback)
 
 
@@ -709,7 +711,7 @@ def path_match_key(spark, root):
 
 @query
 def link_closure(spark, root):
-    return crawl.link_closure(views.link_edges(spark, root), [0]).select("page")
+    return crawl.link_closure(views.link_edges(spark, root), [0])
 
 
 @query

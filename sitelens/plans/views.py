@@ -178,22 +178,18 @@ def collect_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, root: str) -> DataFrame:
-    """Conversation messages; the first word stands for the question asked."""
-    question = F.regexp_extract("text", "^[^ ]+", 0)
+    """Conversation messages; a message's text is the question asked."""
+    question = F.col("text")
     started = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     at = started + F.make_dt_interval(F.lit(0), F.col("conv_id"), F.col("turn"), F.lit(0))
-    return (
-        scan_table(spark, root, "conversations")
-        .where(F.col("role").isin("user", "assistant"))
-        .select(
-            F.col("conv_id").alias("session_id"),
-            "turn",
-            F.col("role").alias("message_type"),
-            F.col("text").alias("content"),
-            question.alias("natural_language_query"),
-            F.md5(question).alias("query_hash"),
-            at.alias("timestamp"),
-        )
+    return scan_table(spark, root, "conversations").select(
+        F.col("conv_id").alias("session_id"),
+        "turn",
+        F.col("role").alias("message_type"),
+        question.alias("content"),
+        question.alias("natural_language_query"),
+        F.md5(question).alias("query_hash"),
+        at.alias("timestamp"),
     )
 
 

@@ -84,5 +84,8 @@ def write_table(df: DataFrame, path: str, table: str) -> None:
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> None:
-    """A catalog table bucketed by ``key``, so that joins and groupings on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by).format("parquet").saveAsTable(table)
+    """A catalog table bucketed by ``key``, so that joins and groupings on it need no shuffle.
+
+    Rows are brought to their bucket first, so there is a file per bucket and not per task and bucket.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by).format("parquet").saveAsTable(table)

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 BYTES_PER_TB = 1_099_511_627_776
 USD_PER_TB = 5.0
 PREVIEW_ROWS = 10
-DEFAULT_MAX_RESULTS = 1000
 
 
 def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -20,11 +19,11 @@ def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def run_query(
     spark: SparkSession,
     sql: str,
-    max_results: int | None = DEFAULT_MAX_RESULTS,
+    max_results: int | None = None,
     args: dict | None = None,
     **tables: DataFrame,
 ) -> DataFrame:
-    """Run SQL text, returning at most ``max_results`` rows (None or 0: all).
+    """Run SQL text, returning all rows, or at most ``max_results`` if asked.
 
     ``tables`` are reachable in the text as ``{name}``; ``args`` fill ``:name``
     parameters.
@@ -34,16 +33,15 @@ def run_query(
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> dict:
-    """First rows, row count and column names of a result, computed once."""
-    held = df.persist()
-    try:
-        return {
-            "row_count": held.count(),
-            "columns": held.columns,
-            "preview_data": [row.asDict() for row in held.take(rows)],
-        }
-    finally:
-        held.unpersist()
+    """First rows, row count and column names of a result.
+
+    Nothing is kept: the count needs no columns, and the first rows stop early.
+    """
+    return {
+        "row_count": df.count(),
+        "columns": df.columns,
+        "preview_data": [row.asDict() for row in df.take(rows)],
+    }
 
 
 def describe_table(df: DataFrame, created: DataFrame | None = None) -> DataFrame:

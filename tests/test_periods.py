@@ -61,7 +61,9 @@ def test_segment_rate_compare(spark):
 
 
 def test_rate_over_no_engaged_visitor_is_null(spark):
-    hits = spark.createDataFrame([(1, "v1", "US"), (2, "v2", "GB")], "hit_id long, visitor_id string, market_code string")
-    fired = spark.createDataFrame([(1, 20), (2, 5), (2, 20), (2, 99)], "hit_id long, interaction_id int")
+    fired = spark.createDataFrame(
+        [("v1", "US", 20), ("v2", "GB", 5), ("v2", "GB", 20), ("v2", "GB", 99), (None, "GB", 20)],
+        "visitor_id string, market_code string, interaction_id int",
+    )
     lookup = spark.createDataFrame([(20, 0, 1), (5, 1, 0)], "interaction_id int, engagement_flag int, enquiry_flag int")
-    assert rows(metrics.interaction_visitors(hits, fired, lookup)) == [("GB", 1, 1, 1, 0, 100.0), ("US", 1, 0, 0, 0, None)]
+    assert rows(metrics.interaction_visitors(fired, lookup)) == [("GB", 1, 1, 1, 0, 100.0), ("US", 1, 0, 0, 0, None)]

@@ -3,7 +3,6 @@
 import re
 from html.parser import HTMLParser
 
-import pytest
 from pyspark.sql import functions as F
 
 from sitelens.operators import crawl, pagestats, weblog
@@ -114,12 +113,11 @@ def test_clickable(spark):
     assert rows(link) == [("Explore now", "/p", "_blank")]
 
 
-@pytest.mark.parametrize("broadcast_pages", [0, 100_000])
-def test_link_closure(spark, broadcast_pages):
+def test_link_closure(spark):
     chain = [(i, i + 1) for i in range(20)] + [(20, 0), (5, 5), (99, 100), (3, 50), (0, 50)]
     hub = [(50, 1000 + i) for i in range(300)]
     edges = spark.createDataFrame(chain + hub, "src long, dst long")
-    got = {r.page: r.depth for r in crawl.link_closure(edges, [0], broadcast_pages, most=20).collect()}
+    got = {r.page: r.depth for r in crawl.link_closure(edges, [0], most=20).collect()}
     assert set(got) == set(range(21)) | {50} | {1000 + i for i in range(300)}
     assert got[0] == 0 and got[20] == 20 and got[50] == 1 and got[1000] == 2
     assert crawl.link_closure(edges, [12345]).count() == 1
