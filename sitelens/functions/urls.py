@@ -48,10 +48,11 @@ def query_string(url: Column) -> Column:
 
 
 def parameter(encoded: Column, key: str) -> Column:
-    """First non-blank value of ``key`` in a form-encoded string, decoded.
+    """First non-blank value of ``key`` in a form-encoded string, name and value decoded.
 
     A '%' that starts no escape is kept as it is, as browsers do.
     """
-    name = key.replace(".", "[.]")
+    # Each sign of the name as itself or as its escape, so that names need no decoding first.
+    name = "".join(f"(?:[{c}]|%{ord(c):02X}|%{ord(c):02x})" for c in key)
     raw = extract_or_null(encoded, f"(?:^|&){name}=([^&]+)", 1)
     return F.url_decode(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"))

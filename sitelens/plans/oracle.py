@@ -619,7 +619,9 @@ WITH RECURSIVE reach(page, depth) AS (
 SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
     "clickable": r"""
 SELECT page_id, 'a' AS tag_name, replace(trim(regexp_replace(regexp_extract(e, '>(.*)</a>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS text,
-  replace(regexp_extract(e, 'href="([^"]*)"', 1), '&amp;', '&') AS href
+  replace(regexp_extract(e, 'href="([^"]*)"', 1), '&amp;', '&') AS href, CAST(NULL AS VARCHAR) AS classes,
+  CAST(NULL AS VARCHAR) AS data_target, CAST(NULL AS VARCHAR) AS data_link_type, CAST(NULL AS VARCHAR) AS aria_label,
+  CAST(NULL AS VARCHAR) AS target
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>[^<]*</a>')) AS e FROM pages) x WHERE contains(upper(text), 'THE')""",
     "crawled_path_flag": "SELECT market_code, page_path, page_path_check FROM kept",
     "keep_pages": "SELECT market_code, page_path, SessionsCount, page_path_check, keep FROM kept",

@@ -695,8 +695,7 @@ def extract_links(spark, root):
 
 @query
 def all_links(spark, root):
-    links = views.page_links(spark, root)
-    return weblog.all_links({m: links.where(F.col("market_code") == m) for m in views.LINK_MARKETS})
+    return weblog.links_by_market(views.page_links(spark, root))
 
 
 @query
@@ -717,7 +716,7 @@ def link_closure(spark, root):
 @query
 def clickable(spark, root):
     found = weblog.clickable(warehouse.scan_table(spark, root, "pages"), text="the")
-    return found.select("page_id", "tag_name", "text", "href")
+    return found
 
 
 def _crawled(spark: SparkSession, root: str) -> DataFrame:

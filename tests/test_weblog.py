@@ -5,6 +5,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from sitelens.functions.urls import parameter
 from sitelens.operators import crawl, pagestats, weblog
 from sitelens.sources import warehouse
 from tests.conftest import rows
@@ -152,3 +153,25 @@ def test_normality(spark):
     got = {r.market_code: r for r in pagestats.normality_test(df, ["v"]).collect()}
     assert abs(got["a"].jarque_bera - 1.9) < 0.2 and got["a"].is_normal == 1
     assert got["b"].jarque_bera is None and got["b"].is_normal == 0
+
+
+def test_hard_markup(spark):
+    """Quoted '>', references by number, nesting, pages without a site, and pages that never close a tag."""
+    html = """<a title="a>b" href="/kept">x</a><a title=' href=/no ' href="/two?a=1&#x26;b=2&#38;c&#x1F600;">y</a>
+      <span class="cta">one <span>two</span> three</span>"""
+    pages = spark.createDataFrame(
+        [(1, "https://h.example/", html), (2, "not a url", html), (3, None, None)], "page_id long, url string, html string"
+    )
+    assert rows(weblog.extract_links(pages).select("page_id", "link")) == [
+        (1, "https://h.example/kept"), (1, "https://h.example/two?a=1&b=2&c\U0001f600"),
+    ]
+    assert [r.text for r in weblog.clickable(pages.where("page_id = 1")).collect()] == ["one two three"]
+    assert len(weblog.clickable(pages).columns) == 9
+    hard = [(i, "https://h.example/", part * 8000 + end) for i, part in enumerate(("<span>x", "<a ", "<!--", "<a x='", "<script>")) for end in ("", "</span>")]
+    broken = spark.createDataFrame(hard, "page_id long, url string, html string")
+    assert weblog.clickable(broken, "x").count() <= 2 and weblog.extract_links(broken).count() == 0
+
+
+def test_encoded_parameter_names(spark):
+    df = spark.createDataFrame([("ep%2Eevent_label=A+b",), ("%65p.event%5flabel=A%20b",), ("xep.event_label=no",)], "q string")
+    assert [r[0] for r in df.select(parameter(F.col("q"), "ep.event_label")).collect()] == ["A b", "A b", None]
