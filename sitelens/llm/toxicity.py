@@ -141,9 +141,12 @@ def fold(doc_id: str):
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: dict[int, int], chars: int) -> list[tuple[str, int]]:
-    """At most the asked number of documents of each label, chosen by a hash of the text, held-out rows never.
+    """At most the asked number of documents of each label, held-out rows never.
 
-    A document labelled twice counts as toxic if any label says so.
+    Labels are drawn by a hash of their doc_id, before any text is read; a
+    document labelled twice counts as toxic if any label says so, and of
+    documents of one id the first text in order is taken. Longer texts than
+    ``chars`` are not learnt from.
     """
     marks = (
         plain(labels, doc_id="long", toxic="int")
@@ -151,12 +154,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: dict[int, int
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    texts = plain(documents, doc_id="long", text="string").where(F.length("text").between(1, chars))
-    known = texts.join(marks, "doc_id").select("text", "toxic", F.xxhash64("text", "doc_id").alias("h"))
-    found: list[tuple[str, int]] = []
+    drawn: list[tuple[int, int]] = []
     for label, most in sample.items():
-        found += [(r[0], r[1]) for r in known.where(F.col("toxic") == label).orderBy("h").limit(most).collect()]
-    return found
+        few = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        drawn += [(r["doc_id"], label) for r in few.collect()]
+    if not drawn:
+        return []
+    # As many rows as the sample asks for, whatever the tables hold.
+    ids = F.broadcast(documents.sparkSession.createDataFrame(drawn, "doc_id long, toxic int"))
+    texts = plain(documents, doc_id="long", text="string").where(F.length("text").between(1, chars))
+    known = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return [(r["text"], r["toxic"]) for r in known.orderBy("doc_id").collect()]
 
 
 def score_documents(
