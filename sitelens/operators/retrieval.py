@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -17,35 +17,56 @@ BLOCK_ROWS = 8192
 BATCH_ROWS = 1024
 
 
+# Cells that the corpus is cut into, at most: their centres and sizes are all that is sent to every task.
+MOST_CELLS = 1024
+
+
 def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The exact ``k`` nearest corpus vectors of each query by squared L2, ties by id.
 
-    Inputs have ``vec_id`` and ``embedding``. A block nested-loop join: ids are
-    hashed into blocks of about ``block_rows`` vectors on both sides, each pair of
-    blocks is one bounded task that keeps k candidates per query, and the
-    candidates (k per query and corpus block) are ranked at the end. No pair of
-    vectors ever becomes a row, neither side is broadcast, and copies of one
-    vector cannot crowd a block because blocks depend on the id alone.
+    Inputs have ``vec_id`` and ``embedding``. Vectors that are null or hold null
+    or non-finite components take no part, and a query meets vectors of its own
+    length only. The corpus is cut into cells around pivots drawn from it. The
+    cells' radii and sizes bound how far a query's k-th neighbour can be, and by
+    the triangle inequality the query is sent only to cells that may hold one as
+    near. Cells of more than ``block_rows`` vectors, and their queries, are dealt
+    into blocks; a task compares one pair of blocks and keeps k candidates per
+    query. Copies of one vector are compared once.
     """
-    query_blocks = _block_count(queries, block_rows)
-    corpus_blocks = query_blocks if corpus is queries else _block_count(corpus, block_rows)
-    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    stored, asked = _usable(corpus), _usable(queries)
+    cells = min(MOST_CELLS, -(-stored.count() // block_rows))
+    if cells < 1:
+        stored, routed = stored.withColumn("cell", F.lit(0)), asked.limit(0).withColumn("cell", F.lit(0))
+        sizes = stored.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.lit(1).alias("m"))
+    elif cells == 1:  # one cell holds all: there is nothing to leave out
+        stored, routed = stored.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
+        sizes = stored.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+        sizes = sizes.withColumn("m", asked.agg(F.count("*").alias("m")).scalar())
+    else:
+        stored, routed, sizes = _routed(stored, asked, cells, k)
+    blocks = F.broadcast(
+        sizes.select(
+            "dim",
+            "cell",
+            F.ceil(F.col("n") / block_rows).cast("int").alias("c_blocks"),
+            F.greatest(F.ceil(F.col("m") / block_rows), F.lit(1)).cast("int").alias("q_blocks"),
+        )
+    )
 
-    def blocked(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.where(F.col("embedding").isNotNull()).select(
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.join(blocks, ["dim", "cell"]).select(
+            "dim",
+            "cell",
             "vec_id",
-            vector,
-            F.pmod(F.xxhash64("vec_id"), F.lit(own_blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
+            "embedding",
+            F.pmod(F.xxhash64("vec_id"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}b"),
+            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}b"),
         )
 
-    left = blocked(queries, "qb", query_blocks, "cb", corpus_blocks)
-    right = blocked(corpus, "cb", corpus_blocks, "qb", query_blocks)
-    id_type = corpus.schema["vec_id"].dataType
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["vec_id"].dataType),
-            T.StructField("vec_id", id_type),
+            T.StructField("vec_id", corpus.schema["vec_id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
@@ -53,7 +74,10 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
     def nearest(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _block_nearest(q, c, k)
 
-    candidates = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(nearest, schema)
+    keys = ["dim", "cell", "qb", "cb"]
+    left, right = dealt(routed, "q", "c"), dealt(stored, "c", "q")
+    right = right.toDF(*right.columns)
+    candidates = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return (
         candidates.withColumn("rank", F.row_number().over(ranked))
@@ -62,19 +86,77 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
     )
 
 
-def _block_count(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+def _usable(df: DataFrame) -> DataFrame:
+    vector = F.col("embedding").cast("array<double>")
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(
+        "vec_id", vector.alias("embedding"), F.size("embedding").alias("dim")
+    )
+
+
+def _routed(stored: DataFrame, asked: DataFrame, cells: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The corpus by cell, each query once per cell it has to visit, and (dim, cell, n vectors, m queries)."""
+    spark = stored.sparkSession
+    drawn = stored.select("dim", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for row in drawn:
+        pivots.setdefault(row["dim"], []).append(row["embedding"])
+    pivots = {dim: np.unique(np.array(p, float).reshape(len(p), dim), axis=0) for dim, p in pivots.items()}
+
+    def distances(frame: pd.DataFrame, dim: int) -> np.ndarray:
+        x = np.stack(frame["embedding"].to_numpy()).reshape(len(frame), dim)
+        p = pivots.get(dim, np.zeros((1, dim)))  # any point may be a pivot
+        squares = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)[None, :]
+        return np.sqrt(np.maximum(squares, 0))
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby("dim"):
+                d = distances(part, dim)
+                yield part.assign(cell=d.argmin(1).astype("int32"), away=d.min(1))
+
+    id_type = stored.schema["vec_id"].dataType.simpleString()
+    columns = f"vec_id {id_type}, embedding array<double>, dim int, cell int"
+    placed = stored.mapInPandas(assign, f"{columns}, away double")
+    # One row per cell, and cells are bounded.
+    found = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    held = {}
+    for row in found:
+        held.setdefault(row["dim"], []).append((row["cell"], row["n"], row["radius"]))
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby("dim"):
+                if dim not in held:
+                    continue
+                cell, n, radius = (np.array(x) for x in zip(*held[dim]))
+                d = distances(part, dim)[:, cell]
+                # Within the k-th bound there are k vectors for sure; the slack covers rounding.
+                order = np.argsort(d + radius, axis=1)
+                enough = np.minimum((np.cumsum(n[order], axis=1) < k).sum(1), len(cell) - 1)
+                bound = np.take_along_axis(d + radius, np.take_along_axis(order, enough[:, None], 1), 1)
+                short = n.sum() < k
+                slack = 1e-6 * (1 + np.abs(d) + radius)
+                rows, at = np.nonzero((d - radius <= bound + slack) | short)
+                yield part.iloc[rows].assign(cell=cell[at].astype("int32"))
+
+    routed = asked.mapInPandas(route, columns.replace(id_type, asked.schema["vec_id"].dataType.simpleString(), 1))
+    visits = routed.groupBy("dim", "cell").agg(F.count("*").alias("m")).collect()
+    m = {(r["dim"], r["cell"]): r["m"] for r in visits}
+    sizes = [(r["dim"], r["cell"], r["n"], m.get((r["dim"], r["cell"]), 0)) for r in found]
+    return placed.drop("away"), routed, spark.createDataFrame(sizes, "dim int, cell int, n long, m long")
 
 
 def _block_nearest(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """k candidates per query of one block pair, as (query_id, vec_id, distance)."""
     if q.empty or c.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-    queries = np.stack(q["embedding"].to_numpy())
+    dim = len(q["embedding"].iloc[0])
+    queries = np.stack(q["embedding"].to_numpy()).reshape(len(q), dim)
     c = c.sort_values("vec_id", kind="stable")
     ids = c["vec_id"].to_numpy()
     # Copies of a vector are compared once; only their k smallest ids can be among the nearest.
-    vectors, inverse = np.unique(np.stack(c["embedding"].to_numpy()), axis=0, return_inverse=True)
+    vectors, inverse = np.unique(np.stack(c["embedding"].to_numpy()).reshape(len(c), dim), axis=0, return_inverse=True)
     by_vector = np.argsort(inverse.ravel(), kind="stable")
     starts = np.searchsorted(inverse.ravel()[by_vector], np.arange(len(vectors) + 1))
     squares = (vectors**2).sum(axis=1)

@@ -44,6 +44,27 @@ def test_knn_with_small_or_empty_corpus(spark):
     assert retrieval.knn_l2(queries, spark.createDataFrame([], VECTORS), 3).count() == 0
 
 
+def test_knn_visits_few_cells_of_clustered_data(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6)) * 100
+    corpus = np.vstack([c + rng.normal(size=(50, 6)) for c in centres]).astype("float32")
+    df = frame(spark, corpus)
+    stored = retrieval._usable(df)
+    _, routed, sizes = retrieval._routed(stored, stored, 100, 4)
+    assert routed.count() < len(corpus) * sizes.count() / 8
+    got = retrieval.knn_l2(df, df, 4, 20)
+    assert sorted((r.query_id, r.vec_id, r.rank) for r in got.collect()) == brute(corpus, corpus, 4)
+
+
+@pytest.mark.parametrize("block_rows", [1, 8192])
+def test_knn_leaves_unusable_vectors_out(spark, block_rows):
+    nan = float("nan")
+    given = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [nan, 0.0]), (4, None), (5, [None, 1.0]), (6, [1.0]), (7, [1.0, 1.0, 1.0]), (None, [0.0, 0.0])]
+    df = spark.createDataFrame(given, VECTORS)
+    expected = [(1, 1, 0.0, 1), (1, 2, 25.0, 2), (2, 1, 25.0, 2), (2, 2, 0.0, 1), (6, 6, 0.0, 1), (7, 7, 0.0, 1)]
+    assert sorted(tuple(r) for r in retrieval.knn_l2(df, df, 3, block_rows).collect()) == sorted(expected)
+
+
 def test_split_pairs(spark):
     docs = spark.createDataFrame(
         [(1, " how many? => SELECT 1 "), (2, "no arrow"), (3, "a=>b=>c"), (4, "\t x\n=>\ny "), (5, "=>")],
