@@ -137,8 +137,9 @@ VIEWS["collect_log"] = """
 SELECT page_id AS request_id,
        CASE WHEN page_id % 7 = 6 THEN 'Network.responseReceived' ELSE 'Network.requestWillBeSent' END AS method,
        concat('https://stats.example/', CASE page_id % 3 WHEN 0 THEN 'g/collect' WHEN 1 THEN 'mp/collect' ELSE 'static/app.js' END,
-              '?v=2', CASE WHEN page_id % 4 < 2 THEN concat('&ep.event_label=FIND%20OUT+MORE%20', cast(page_id % 5 AS string), '&ep.event_action=url_action') ELSE '' END) AS url,
-       CASE WHEN page_id % 5 < 3 THEN concat('ep.event_label=EXPLORE%20', cast(page_id % 6 AS string), '&ep.event_category=nav%3A%20cta') END AS body,
+              '?v=2&dl=', replace(replace(replace(url, '%', '%25'), '&', '%26'), '#', '%23'),
+         CASE WHEN page_id % 4 < 2 THEN concat('&ep%2Eevent_label=FIND%20OUT+MORE%20', cast(length(html) % 50 AS string), '&ep.event_action=url_action') ELSE '' END) AS url,
+       CASE WHEN page_id % 5 < 3 THEN concat('ep.event_label=EXPLORE%20', cast(length(html) % 60 AS string), '&ep.event_category=nav%3A%20cta') END AS body,
        concat('BUTTON ', cast(page_id % 3 AS string)) AS button_text
 FROM pages
 """
@@ -321,10 +322,10 @@ def _flag_rows(condition: str, name: str, count: str = "count(*)") -> str:
 
 def _parse(field: str, body_first: bool) -> str:
     """Value of one event parameter under either precedence rule."""
-    key = f"ep[.]event_{field}"
+    key = f"ep(?:[.]|%2E)event_{field}"
     q = f"nullif(regexp_extract(url, '[?&]{key}=([^&#]+)', 1), '')"
     b = f"nullif(regexp_extract(body, '(?:^|&){key}=([^&]+)', 1), '')"
-    label = "nullif(regexp_extract(url, '[?&]ep[.]event_label=([^&#]+)', 1), '')"
+    label = "nullif(regexp_extract(url, '[?&]ep(?:[.]|%2E)event_label=([^&#]+)', 1), '')"
     value = f"coalesce({b}, {q}, '')" if body_first else f"coalesce(CASE WHEN {label} IS NULL AND body IS NOT NULL THEN {b} ELSE {q} END, '')"
     return f"url_decode(replace({value}, '+', ' ')) AS event_{field}"
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import interactions, visits
 from sitelens.operators.weblog import extract_links
+from sitelens.sources.files import parse_request_entries
 from sitelens.sources.warehouse import scan_table
 
 
@@ -159,22 +160,30 @@ def session_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def collect_log(spark: SparkSession, root: str) -> DataFrame:
-    """Captured analytics requests, one per page."""
-    return spark.sql(
+    """Captured analytics requests, one per page, read from the JSON messages a browser logs."""
+    requests = spark.sql(
         """
         SELECT page_id AS request_id,
           if(page_id % 7 = 6, 'Network.responseReceived', 'Network.requestWillBeSent') AS method,
           concat('https://stats.example/',
-            CASE page_id % 3 WHEN 0 THEN 'g/collect' WHEN 1 THEN 'mp/collect' ELSE 'static/app.js' END, '?v=2',
+            CASE page_id % 3 WHEN 0 THEN 'g/collect' WHEN 1 THEN 'mp/collect' ELSE 'static/app.js' END, '?v=2&dl=',
+            replace(replace(replace(url, '%', '%25'), '&', '%26'), '#', '%23'),
             if(page_id % 4 < 2,
-               concat('&ep.event_label=FIND%20OUT+MORE%20', page_id % 5, '&ep.event_action=url_action'), '')) AS url,
+               concat('&ep%2Eevent_label=FIND%20OUT+MORE%20', length(html) % 50, '&ep.event_action=url_action'), '')) AS url,
           CASE WHEN page_id % 5 < 3
-               THEN concat('ep.event_label=EXPLORE%20', page_id % 6, '&ep.event_category=nav%3A%20cta') END AS body,
+               THEN concat('ep.event_label=EXPLORE%20', length(html) % 60, '&ep.event_category=nav%3A%20cta') END AS body,
           concat('BUTTON ', page_id % 3) AS button_text
         FROM {pages}
         """,
         pages=scan_table(spark, root, "pages"),
     )
+    message = F.struct(
+        "method",
+        F.struct(F.struct("url", F.col("body").alias("postData")).alias("request")).alias("params"),
+        "button_text",
+    )
+    logged = requests.select("request_id", F.to_json(F.struct(message.alias("message"))).alias("message"))
+    return parse_request_entries(logged)
 
 
 def query_log(spark: SparkSession, root: str) -> DataFrame:

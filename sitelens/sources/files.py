@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.catalog import CONTRACTS
+from sitelens.operators.weblog import REQUEST_METHOD
 
 
 def write_csv(df: DataFrame, path: str, by_market: bool = False, mode: str = "overwrite") -> None:
@@ -47,18 +48,33 @@ REQUEST_SCHEMA = (
 )
 
 
+ENTRY_SCHEMA = "message string, url string, body string, timestamp string"
+
+
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """Browser log entries: JSON lines whose ``message`` is itself JSON text.
+    """Browser log entries, one JSON object a line, as ``parse_request_entries`` returns them."""
+    return parse_request_entries(spark.read.schema(ENTRY_SCHEMA).option("mode", "DROPMALFORMED").json(path))
+
+
+def parse_request_entries(entries: DataFrame) -> DataFrame:
+    """(request_id, method, url, body, button_text) of log entries, ready for the parsers of requests.
 
-    Entries that do not parse, or that hold no message, are skipped.
+    An entry holds a ``message`` that is itself JSON text, or, in the flat form,
+    the url and body of a request that was sent. Entries with neither are
+    skipped. Without a ``request_id`` the hash of an entry is its id.
     """
-    entries = spark.read.schema("message string").option("mode", "DROPMALFORMED").json(path)
-    parsed = entries.select(F.from_json("message", REQUEST_SCHEMA, {"mode": "PERMISSIVE"})["message"].alias("m"))
-    request = "m.params.request"
-    return parsed.where(F.col("m").isNotNull()).select(
-        F.col("m.method").alias("method"),
-        F.col(f"{request}.url").alias("url"),
-        F.col(f"{request}.postData").alias("body"),
+    have = set(entries.columns)
+    url, body, at = (F.col(c) if c in have else F.lit(None).cast("string") for c in ("url", "body", "timestamp"))
+    whole = F.struct("message", url.alias("url"), body.alias("body"), at.alias("timestamp"))
+    own = F.col("request_id") if "request_id" in have else F.md5(F.to_json(whole))
+    message = F.from_json("message", REQUEST_SCHEMA, {"mode": "PERMISSIVE"})["message"]
+    parsed = entries.select(own.alias("request_id"), message.alias("m"), url.alias("flat_url"), body.alias("flat_body"))
+    nested, request = F.col("m").isNotNull(), "m.params.request"
+    return parsed.where(nested | F.col("flat_url").isNotNull()).select(
+        "request_id",
+        F.when(nested, F.col("m.method")).otherwise(F.lit(REQUEST_METHOD)).alias("method"),
+        F.when(nested, F.col(f"{request}.url")).otherwise(F.col("flat_url")).alias("url"),
+        F.when(nested, F.col(f"{request}.postData")).otherwise(F.col("flat_body")).alias("body"),
         F.col("m.button_text").alias("button_text"),
     )
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from sitelens import catalog
+from sitelens.operators import weblog
 from sitelens.runtime import cut_lineage
 from sitelens.sources import files, warehouse
 from tests.conftest import rows
@@ -60,7 +61,20 @@ def test_request_log_skips_malformed(spark, tmp_path):
         json.dumps({"other": 1}), json.dumps({"message": json.dumps(bare)}),
     ]
     path.write_text("\n".join(lines))
-    assert rows(files.read_request_log(spark, str(path))) == [("m", "u", "p", "b"), ("m", None, None, None)]
+    found = files.read_request_log(spark, str(path))
+    assert rows(found.drop("request_id")) == [("m", "u", "p", "b"), ("m", None, None, None)]
+
+
+def test_request_log_to_events(spark, tmp_path):
+    """Nested and flat entries of a log end as event fields."""
+    request = {"url": "https://x/g/collect?ep%2Eevent_label=A", "postData": "ep.event_action=go"}
+    nested = {"message": {"method": "Network.requestWillBeSent", "params": {"request": request}, "button_text": "Buy"}}
+    flat = {"url": "https://x/mp/collect?v=2", "body": "ep.event_label=B+C", "timestamp": "2024-01-01"}
+    path = tmp_path / "requests.json"
+    path.write_text("\n".join(map(json.dumps, [{"message": json.dumps(nested)}, flat, flat | {"url": "https://x/app.js"}, {"timestamp": "1"}])))
+    events = weblog.parse_merged(weblog.collect_requests(files.read_request_log(spark, str(path))))
+    assert rows(events.drop("request_id")) == [("A", "go", "", "Buy"), ("B C", "", "", "")]
+    assert events.select("request_id").distinct().count() == 2
 
 
 def test_describe_table(spark):
