@@ -44,7 +44,7 @@ SELECT a.*, row_number() OVER (PARTITION BY visitor_id ORDER BY visit_start_date
        CASE first_k % 4 WHEN 0 THEN 'cpc' WHEN 1 THEN 'organic' WHEN 2 THEN 'display' ELSE '(none)' END AS medium,
        CASE first_k % 3 WHEN 0 THEN 'https://www.alpha.example/' WHEN 1 THEN 'https://search.example/' END AS referrer,
        CASE WHEN first_k % 7 = 0 THEN NULL
-            WHEN first_k % 7 < 5 THEN concat(market_code, CASE WHEN first_k % 2 = 0 THEN '_nv_' ELSE '_' END, 'lr_l5', cast(first_k % 3 AS string), '0_',
+            WHEN first_k % 7 < 5 THEN concat(market_code, CASE WHEN first_k % 2 = 0 THEN '_nv_' ELSE '_' END, 'mk_a5', cast(first_k % 3 AS string), '0_',
               CASE first_k % 3 WHEN 0 THEN 'dis' WHEN 1 THEN 'psoc' ELSE 'vod' END, '_do_conv_gmc', cast(1 + first_k % 9 AS string), '000')
             ELSE 'brandx' END AS campaign
 FROM (SELECT session_id, visitor_id, visit_start_date, brand, market_code,
@@ -72,7 +72,7 @@ VIEWS["hit_interaction_nameplate"] = """
 SELECT concat(hit_id, '-', cast(interaction_id AS string), '-', nameplate_code) AS hit_interaction_nameplate_id,
        hit_id, session_id, hit_number, interaction_id, nameplate_code, visitor_id, visit_start_date, brand, market_code
 FROM (SELECT h.*, li.interaction_id,
-             CASE k % 4 WHEN 0 THEN 'RANGE' WHEN 1 THEN 'DISCO' WHEN 2 THEN 'DEFEND' ELSE 'NONE' END AS nameplate_code
+             CASE k % 4 WHEN 0 THEN 'AERO' WHEN 1 THEN 'BRISK' WHEN 2 THEN 'CREST' ELSE 'NONE' END AS nameplate_code
       FROM hit h JOIN lookup_interaction li
         ON (li.interaction_id = 1 AND k < 25) OR (li.interaction_id = 5 AND k BETWEEN 20 AND 59)
         OR (li.interaction_id = 11 AND k BETWEEN 50 AND 69) OR (li.interaction_id = 20 AND k BETWEEN 65 AND 79)
@@ -98,7 +98,7 @@ SELECT s.session_id, s.visitor_id, s.market_code, s.campaign AS session_first_ca
        coalesce(i.sessions_with_any_engagement, 0) AS sessions_with_any_engagement,
        coalesce(i.sessions_with_any_enquiry, 0) AS sessions_with_any_enquiry,
        coalesce(i.sessions_with_enquiry_other, 0) AS sessions_with_enquiry_other,
-       i.nameplate_range, i.nameplate_disco, i.nameplate_defend,
+       i.nameplate_aero, i.nameplate_brisk, i.nameplate_crest,
        nullif(regexp_extract(lower(s.campaign), '^[a-z]{2}_(?:nv_)?([a-z]{2})_', 1), '') AS cmp_brand,
        nullif(regexp_extract(lower(s.campaign), '(aud|dis|psoc|psocdp|prg|rad|olv|vod|sem|prt|ooh|cin|prog)', 1), '') AS cmp_channel,
        nullif(regexp_extract(lower(s.campaign), '^([a-z]{2})_', 1), '') AS cmp_market,
@@ -122,9 +122,9 @@ LEFT JOIN (SELECT session_id,
              max(CASE WHEN interaction_id = 11 THEN 1 ELSE 0 END) AS sessions_with_config_completes,
              max(engagement_flag) AS sessions_with_any_engagement, max(enquiry_flag) AS sessions_with_any_enquiry,
              max(CASE WHEN enquiry_flag = 1 AND interaction_id <> 20 THEN 1 ELSE 0 END) AS sessions_with_enquiry_other,
-             max(CASE WHEN nameplate_code = 'RANGE' THEN 1 END) AS nameplate_range,
-             max(CASE WHEN nameplate_code = 'DISCO' THEN 1 END) AS nameplate_disco,
-             max(CASE WHEN nameplate_code = 'DEFEND' THEN 1 END) AS nameplate_defend
+             max(CASE WHEN nameplate_code = 'AERO' THEN 1 END) AS nameplate_aero,
+             max(CASE WHEN nameplate_code = 'BRISK' THEN 1 END) AS nameplate_brisk,
+             max(CASE WHEN nameplate_code = 'CREST' THEN 1 END) AS nameplate_crest
            FROM session_interaction_nameplate GROUP BY session_id) i ON s.session_id = i.session_id
 """
 
@@ -233,7 +233,7 @@ VIEWS["session_order"] = """
 SELECT row_number() OVER (PARTITION BY visitor_id ORDER BY visit_start_date, session_id) AS session_number FROM scoped_session
 """
 VIEWS["flag_brands"] = """
-SELECT coalesce(nameplate_range, 0) + coalesce(nameplate_disco, 0) + coalesce(nameplate_defend, 0) AS touched FROM session_flags
+SELECT coalesce(nameplate_aero, 0) + coalesce(nameplate_brisk, 0) + coalesce(nameplate_crest, 0) AS touched FROM session_flags
 """
 VIEWS["landing_pages"] = """
 SELECT session_id, CASE WHEN host_name <> 'buildyour.alpha.example'
@@ -470,9 +470,9 @@ SELECT DISTINCT campaign AS session_first_campaign, channel_grouping AS first_ch
     "single_brand": "SELECT count(*) AS single_brand_sessions FROM flag_brands WHERE touched = 1",
     "multi_brand": "SELECT count(*) AS multi_brand_sessions FROM flag_brands WHERE touched > 1",
     "brand_interactions": """
-SELECT count(CASE WHEN nameplate_range = 1 THEN 1 END) AS nameplate_range_sessions,
-       count(CASE WHEN nameplate_disco = 1 THEN 1 END) AS nameplate_disco_sessions,
-       count(CASE WHEN nameplate_defend = 1 THEN 1 END) AS nameplate_defend_sessions FROM session_flags""",
+SELECT count(CASE WHEN nameplate_aero = 1 THEN 1 END) AS nameplate_aero_sessions,
+       count(CASE WHEN nameplate_brisk = 1 THEN 1 END) AS nameplate_brisk_sessions,
+       count(CASE WHEN nameplate_crest = 1 THEN 1 END) AS nameplate_crest_sessions FROM session_flags""",
     "touchpoint_totals": """
 SELECT CAST(sum(Forms) AS BIGINT) AS total_forms, CAST(sum(ApprovedUsed) AS BIGINT) AS total_approvedused,
   CAST(sum(BuildYourOwn) AS BIGINT) AS total_buildyourown, CAST(sum(SavedBuilds) AS BIGINT) AS total_savedbuilds,
@@ -617,6 +617,11 @@ SELECT request_id, {_parse("label", False)}, {_parse("action", False)}, {_parse(
     "link_closure": """
 WITH RECURSIVE reach(page, depth) AS (
   SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN link_edges e ON r.page = e.src WHERE r.depth < 12)
+SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
+    "site_closure": """
+WITH RECURSIVE reach(page, depth) AS (
+  SELECT DISTINCT url, 0 FROM pages WHERE url IS NOT NULL
+  UNION SELECT l.link, r.depth + 1 FROM reach r JOIN page_links l ON r.page = l.url WHERE r.depth < 12)
 SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
     "clickable": r"""
 SELECT page_id, 'a' AS tag_name, replace(trim(regexp_replace(regexp_extract(e, '>(.*)</a>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS text,

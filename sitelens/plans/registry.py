@@ -83,7 +83,7 @@ def describe_table(spark, root):
 @query
 def scan_cost(spark, root):
     tables = ("events", "pages", "conversations", "embeddings")
-    return warehouse.scan_cost(*[warehouse.scan_table(spark, root, t) for t in tables])
+    return warehouse.scan_cost(spark, *[f"{root}/{t}.parquet" for t in tables])
 
 
 # --- flagship ------------------------------------------------------------------
@@ -713,6 +713,14 @@ def link_closure(spark, root):
     return crawl.link_closure(views.link_edges(spark, root), [0])
 
 
+@query
+def site_closure(spark, root):
+    """Pages and links reached from all page addresses, over the links found in the pages."""
+    links = views.page_links(spark, root).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    start = warehouse.scan_table(spark, root, "pages").where("url IS NOT NULL").select("url")
+    return crawl.link_closure(links, start)
+
+
 @query
 def clickable(spark, root):
     found = weblog.clickable(warehouse.scan_table(spark, root, "pages"), text="the")

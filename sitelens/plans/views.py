@@ -68,7 +68,7 @@ SESSION_COLUMNS = """
     CASE k % 4 WHEN 0 THEN 'cpc' WHEN 1 THEN 'organic' WHEN 2 THEN 'display' ELSE '(none)' END AS medium,
     CASE k % 3 WHEN 0 THEN 'https://www.alpha.example/' WHEN 1 THEN 'https://search.example/' END AS referrer,
     CASE WHEN k % 7 = 0 THEN NULL
-         WHEN k % 7 < 5 THEN concat(market_code, if(k % 2 = 0, '_nv_', '_'), 'lr_l5', k % 3, '0_',
+         WHEN k % 7 < 5 THEN concat(market_code, if(k % 2 = 0, '_nv_', '_'), 'mk_a5', k % 3, '0_',
            CASE k % 3 WHEN 0 THEN 'dis' WHEN 1 THEN 'psoc' ELSE 'vod' END, '_do_conv_gmc', 1 + k % 9, '000')
          ELSE 'brandx' END AS campaign
 """
@@ -112,7 +112,7 @@ INTERACTION_RULES: dict[int, Callable[[], Column]] = {
     20: lambda: F.col("k").between(65, 79),
     21: lambda: F.col("k").between(75, 84),
 }
-NAMEPLATES = {"RANGE": "nameplate_range", "DISCO": "nameplate_disco", "DEFEND": "nameplate_defend"}
+NAMEPLATES = {"AERO": "nameplate_aero", "BRISK": "nameplate_brisk", "CREST": "nameplate_crest"}
 TOUCHPOINTS: dict[str, Callable[[], Column]] = {
     "Config": lambda: F.col("page_group").isin("inspire", "summary"),
     "Forms": lambda: F.col("page_group") == "forms",
@@ -130,7 +130,7 @@ SPECIFIC_ENQUIRIES = (20,)
 
 def classify(events: DataFrame) -> DataFrame:
     """The interactions of event hits by the rules above."""
-    nameplate = F.expr("CASE k % 4 WHEN 0 THEN 'RANGE' WHEN 1 THEN 'DISCO' WHEN 2 THEN 'DEFEND' ELSE 'NONE' END")
+    nameplate = F.expr("CASE k % 4 WHEN 0 THEN 'AERO' WHEN 1 THEN 'BRISK' WHEN 2 THEN 'CREST' ELSE 'NONE' END")
     rules = {i: rule() for i, rule in INTERACTION_RULES.items()}
     return interactions.hit_interactions(events, rules, nameplate)
 

@@ -78,17 +78,14 @@ def list_tables(spark: SparkSession, dataset: str) -> list[str]:
     return [t.name for t in spark.catalog.listTables(dataset)]
 
 
-def scan_cost(*scans: DataFrame, usd_per_tb: float = USD_PER_TB) -> DataFrame:
-    """Bytes, terabytes and price of reading the files behind plain file scans.
+def scan_cost(spark: SparkSession, *paths: str, usd_per_tb: float = USD_PER_TB) -> DataFrame:
+    """Bytes, terabytes and price of reading the parquet files under some paths, each file once.
 
-    Only file metadata columns are asked for, so no data column is read; the
-    files are reduced on the executors before they are counted.
+    One row per file: the listing alone, no file is opened.
     """
-    files = None
-    for scan in scans:
-        part = scan.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-        files = part if files is None else files.unionByName(part)
-    total = files.distinct().agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_processed"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    files = listed.load(list(dict.fromkeys(paths))).select("path", "length").distinct()
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_processed"))
     return cost_columns(total, usd_per_tb)
 
 

@@ -54,8 +54,8 @@ def test_unknown_grain():
 @pytest.mark.parametrize(
     "campaign, parts",
     [
-        ("BE_LR_l560_20my_display", ("lr", "dis", "be", "l560")),
-        ("gb_nv_lr_l550_psoc_do_conv_gmc3000", ("lr", "psoc", "gb", "l550")),
+        ("BE_MK_a560_20my_display", ("mk", "dis", "be", "a560")),
+        ("gb_nv_mk_a550_psoc_do_conv_gmc3000", ("mk", "psoc", "gb", "a550")),
         ("brandx", (None, None, None, None)),
         (None, (None, None, None, None)),
     ],

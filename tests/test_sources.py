@@ -95,8 +95,7 @@ def test_scan_cost(spark, tmp_path):
     path = tmp_path / "t"
     spark.range(1000).repartition(3).write.parquet(str(path))
     size = sum(p.stat().st_size for p in path.glob("*.parquet"))
-    df = spark.read.parquet(str(path))
-    got = warehouse.scan_cost(df, df).first()  # the same files are not counted twice
+    got = warehouse.scan_cost(spark, str(path), str(path)).first()  # the same files are not counted twice
     assert got.bytes_processed == size
     assert got.estimated_cost_usd == pytest.approx(size / 1099511627776 * 5)
     priced = warehouse.cost_columns(spark.sql("SELECT 2199023255552 AS bytes_processed")).first()
