@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.ratios import ratio
 from sitelens.functions.urls import path_key
+from sitelens.operators.metrics import CONFIG_COMPLETE, CONFIG_START
 from sitelens.operators.skew import flag_members
 from sitelens.operators.visits import page_visits
 
@@ -48,19 +49,21 @@ def keep_check_counts(kept: DataFrame) -> DataFrame:
     return kept.groupBy("keep", "page_path_check").agg(F.count("page_path").alias("pages"))
 
 
-def page_metric_stats(
-    hits: DataFrame, sessions: DataFrame, enquiry_sessions: DataFrame, conversion_sessions: DataFrame
-) -> DataFrame:
+def page_metric_stats(hits: DataFrame, sessions: DataFrame, interactions: DataFrame) -> DataFrame:
     """Means, deviations and rates of the sessions that saw a page, per market and page.
 
-    The last two inputs list the session ids with an enquiry and with a conversion.
+    ``interactions`` (session_id, interaction_id, enquiry_flag, engagement_flag)
+    is read once for all the rates that depend on it.
     """
-    enquired = enquiry_sessions.select("session_id").distinct().withColumn("enquired", F.lit(1))
-    converted = conversion_sessions.select("session_id").distinct().withColumn("converted", F.lit(1))
-    per_session = (
-        sessions.select("session_id", "time_on_site_seconds", "total_page_views", "bounced_session")
-        .join(enquired, "session_id", "left")
-        .join(converted, "session_id", "left")
+    kind = F.col("interaction_id")
+    did = interactions.groupBy("session_id").agg(
+        F.max(F.col("enquiry_flag") == 1).alias("enquired"),
+        F.max(F.col("engagement_flag") == 1).alias("engaged"),
+        F.max(kind == CONFIG_START).alias("started"),
+        F.max(kind == CONFIG_COMPLETE).alias("converted"),
+    )
+    per_session = sessions.select("session_id", "time_on_site_seconds", "total_page_views", "bounced_session").join(
+        did, "session_id", "left"
     )
     seen = page_visits(hits, per_session)
     count = F.count("*")
@@ -76,8 +79,11 @@ def page_metric_stats(
         F.stddev_samp("total_page_views").alias("stddev_pages_viewed"),
         rate(F.col("exited")).alias("exit_rate"),
         rate(F.col("bounced_session") == 1).alias("bounce_rate"),
-        rate(F.col("enquired").isNotNull()).alias("enquiry_rate"),
-        rate(F.col("converted").isNotNull()).alias("conversion_rate"),
+        F.avg("seconds_after").alias("avg_seconds_after_content"),
+        rate(F.col("enquired")).alias("enquiry_rate"),
+        rate(F.col("engaged")).alias("engagement_rate"),
+        rate(F.col("started")).alias("config_start_rate"),
+        rate(F.col("converted")).alias("conversion_rate"),
     )
 
 

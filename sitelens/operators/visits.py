@@ -103,20 +103,27 @@ def first_touch(sessions: DataFrame, column: str = "channel_grouping") -> DataFr
 
 
 def page_visits(hits: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per session, market and page, with the session's columns and a flag where it ended.
+    """One row per session, market and page, with the session's columns, a flag where it ended and the seconds left.
+
+    ``seconds_after`` runs from the first hit on the page to the session's last hit.
 
     Everything page-level is computed from this reduced form of the hits. The
-    rows of a session with very many pages are split for both joins: they meet
-    the session's columns by salted key, and its last place, one row from an
-    aggregate, by session and place.
+    rows of a session with very many pages are split for the join: they meet
+    the session's columns and its last place by salted key.
     """
     place = F.struct("market_code", "page_path")  # compares NULLs as equal
     placed = hits.select("session_id", place.alias("place"), *IN_TIME_ORDER)
-    seen = placed.select("session_id", "place").distinct()
-    last = placed.groupBy("session_id").agg(F.max_by("place", F.struct(*IN_TIME_ORDER)).alias("place"))
-    attributed = salted_join(seen, sessions, "session_id", spread=["place"])
-    return attributed.join(last.withColumn("ended", F.lit(True)), ["session_id", "place"], "left").select(
-        "place.*", F.col("ended").isNotNull().alias("exited"), *sessions.columns
+    moment, at = F.struct(*IN_TIME_ORDER), IN_TIME_ORDER[0]
+    seen = placed.groupBy("session_id", "place").agg(F.max(moment).alias("latest"), F.min(at).alias("came"))
+    # What a session ended with follows from its places; the hits are grouped once.
+    end = seen.groupBy("session_id").agg(F.max_by("place", "latest").alias("end_place"), F.max(f"latest.{at}").alias("end_at"))
+    whole = sessions.join(end, "session_id", "left")
+    attributed = salted_join(seen.select("session_id", "place", "came"), whole, "session_id", spread=["place"])
+    return attributed.select(
+        "place.*",
+        F.col("place").eqNullSafe(F.col("end_place")).alias("exited"),
+        (F.timestamp_diff("MICROSECOND", "came", "end_at") / 1e6).alias("seconds_after"),
+        *sessions.columns,
     )
 
 

@@ -635,15 +635,23 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>[^<]*</a>')) AS
     "page_metric_stats": """
 WITH enquired AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE enquiry_flag = 1),
 converted AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE interaction_id = 11),
-seen AS (SELECT h.market_code, h.page_path, h.session_id, max(CASE WHEN h.hit_number = s.total_hits THEN 1 ELSE 0 END) AS exited
+engaged AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE engagement_flag = 1),
+started AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE interaction_id = 5),
+ends AS (SELECT session_id, max(hit_datetime) AS end_at FROM hit GROUP BY 1),
+seen AS (SELECT h.market_code, h.page_path, h.session_id, min(h.hit_datetime) AS came,
+           max(CASE WHEN h.hit_number = s.total_hits THEN 1 ELSE 0 END) AS exited
          FROM hit h JOIN session s ON h.session_id = s.session_id GROUP BY 1, 2, 3)
 SELECT v.market_code, v.page_path, count(*) AS SessionsCount,
   round(avg(s.time_on_site_seconds), 6) AS avg_time_on_site_seconds, round(stddev_samp(s.time_on_site_seconds), 6) AS stddev_time_on_site_seconds,
   round(avg(s.total_page_views), 6) AS avg_pages_viewed, round(stddev_samp(s.total_page_views), 6) AS stddev_pages_viewed,
   round(avg(v.exited), 6) AS exit_rate, round(avg(s.bounced_session), 6) AS bounce_rate,
   round(avg(CASE WHEN e.session_id IS NULL THEN 0 ELSE 1 END), 6) AS enquiry_rate,
-  round(avg(CASE WHEN c.session_id IS NULL THEN 0 ELSE 1 END), 6) AS conversion_rate
-FROM seen v JOIN session s ON v.session_id = s.session_id
+  round(avg(CASE WHEN c.session_id IS NULL THEN 0 ELSE 1 END), 6) AS conversion_rate,
+  round(avg(CASE WHEN g.session_id IS NULL THEN 0 ELSE 1 END), 6) AS engagement_rate,
+  round(avg(CASE WHEN t.session_id IS NULL THEN 0 ELSE 1 END), 6) AS config_start_rate,
+  round(avg((epoch_us(x.end_at) - epoch_us(v.came)) / 1e6::DOUBLE), 6) AS avg_seconds_after_content
+FROM seen v JOIN session s ON v.session_id = s.session_id JOIN ends x ON x.session_id = v.session_id
+LEFT JOIN engaged g ON g.session_id = v.session_id LEFT JOIN started t ON t.session_id = v.session_id
 LEFT JOIN enquired e ON e.session_id = v.session_id LEFT JOIN converted c ON c.session_id = v.session_id
 GROUP BY 1, 2""",
     "metric_histogram": """

@@ -756,12 +756,8 @@ def keep_check_counts(spark, root):
 
 @query
 def page_metric_stats(spark, root):
-    rows = views.session_interaction_nameplate(spark, root)
     stats = pagestats.page_metric_stats(
-        views.hit(spark, root),
-        views.session(spark, root),
-        rows.where(F.col("enquiry_flag") == 1),
-        rows.where(F.col("interaction_id") == metrics.CONFIG_COMPLETE),
+        views.hit(spark, root), views.session(spark, root), views.session_interaction_nameplate(spark, root)
     )
     exact = ("market_code", "page_path", "SessionsCount")
     return stats.select(*exact, *[F.round(c, 6).alias(c) for c in stats.columns if c not in exact])
