@@ -14,8 +14,9 @@ token or pair are candidates and are verified on all their tokens.
 - Of a list of candidates only links to its plainest member (the one with the
   fewest tokens of its own) are verified; that joins large groups of copies
   without their pairs. Then every set that is still apart from the plainest
-  member of a list is compared with the members that the triangle inequality
-  of the Jaccard distance leaves. No pair that could link two groups is left.
+  member of a list is held against the other sets with that member, block by
+  block, as far as sizes and the triangle inequality of the Jaccard distance
+  leave a link possible. No pair that could link two groups is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from sitelens.llm.shingles import mixed, shingle_sets
 SIZE = 5
 #: Sets that hold a rare token, at most; tokens of a frequent class, about; bytes of text to a reducer.
 RARE, CLASS, REDUCER = 16, 10, 16 << 20
+#: Sets of one list that a task holds against as many others.
+BLOCK = 512
 #: Numerator and denominator of the least similarity.
 LEAST = (4, 5)
 MANY = 255
@@ -253,9 +256,11 @@ def indexed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "size", "alone", "tokens", "signs"])
 
 
-def near(a, b):
-    """Sizes that allow the least similarity."""
-    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+def may_link(size_a, alone_a, size_b, alone_b):
+    """Whether the sizes and the tokens that each has to itself leave the least similarity possible."""
+    size_a, alone_a, size_b, alone_b = map(F.col, (size_a, alone_a, size_b, alone_b))
+    same = F.least(size_a - alone_a, size_b - alone_b)  # at most
+    return LEAST[1] * same >= LEAST[0] * (size_a + size_b - same)
 
 
 def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -322,49 +327,80 @@ def links(documents: DataFrame, size: int = SIZE, reducer: int = REDUCER) -> Dat
         signs.groupBy("sign")
         .agg(plainest.alias("p"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("sign", F.col("p.node").alias("rep"), F.col("p.size").alias("rep_size"))
+        .select("sign", *(F.col(f"p.{c}").alias(r) for c, r in (("node", "rep"), ("size", "rep_size"), ("alone", "rep_alone"))))
     )
     members = signs.join(lists, "sign")
-    pairs = members.where((F.col("node") != F.col("rep")) & near(F.col("size"), F.col("rep_size")))
+    pairs = members.where((F.col("node") != F.col("rep")) & may_link("size", "alone", "rep_size", "rep_alone"))
     first = written(verified(pairs.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), kept))
     found = linked(first)
     roots = components(found)
 
-    # What the plainest members did not join: each such set against the members of its lists.
+    # What the plainest members did not join: each such set against the sets that share its plainest member.
     of = roots.select("node", "root")
     rep_of = roots.select(F.col("node").alias("rep"), F.col("root").alias("rep_root"))
-    far = first.select(
-        F.col("a").alias("node"), F.col("b").alias("rep"), (1 - F.col("same") / F.col("every")).alias("distance")
-    )
-    placed = (
-        members.join(of, "node", "left")
+    far = first.select(F.col("a").alias("node"), F.col("b").alias("rep"), (1 - F.col("same") / F.col("every")).alias("far"))
+    placed = written(
+        members.select("node", "rep", "size", "alone")
+        .distinct()
+        .join(of, "node", "left")
         .join(rep_of, "rep", "left")
         .join(far, ["node", "rep"], "left")
         .select(
-            "sign",
             "node",
-            "size",
+            "rep",
             F.coalesce("root", "node").alias("root"),
-            F.coalesce("rep_root", "rep").alias("rep_root"),
-            F.when(F.col("node") == F.col("rep"), 0.0).otherwise(F.col("distance")).alias("distance"),
+            "size",
+            "alone",
+            F.when(F.col("node") == F.col("rep"), 0.0).otherwise(F.col("far")).alias("far"),
+            (F.coalesce("root", "node") != F.coalesce("rep_root", "rep")).alias("apart"),
         )
     )
-    apart = placed.where(F.col("root") != F.col("rep_root")).select(
-        "sign", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "root", "distance"))
+    blocks = (
+        placed.groupBy("rep")
+        .agg(F.count("*").alias("n"), F.count_if("apart").alias("m"))
+        .where("m > 0 AND n > 2")
+        .select("rep", *(F.ceil(F.col(c) / BLOCK).alias(c) for c in ("n", "m")))
     )
-    reach = 1 - LEAST[0] / LEAST[1] + 1e-9
-    rest = (
-        apart.join(placed, "sign")
-        .where((F.col("root") != F.col("root_a")) & near(F.col("size"), F.col("size_a")))
-        .where(F.coalesce(F.abs(F.col("distance") - F.col("distance_a")) <= reach, F.lit(True)))
-        .select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
-        .distinct()
-    )
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    if blocks.isEmpty():
         return found
-    return found.unionByName(linked(written(verified(rest, kept))))
+    own = placed.join(blocks, "rep").join(kept.select("node", "tokens"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("n")).alias("n_block"), F.pmod(F.xxhash64("node"), F.col("m")).alias("m_block")
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(f"{c}_block") for c in ("n", "m")]
+    data = ["rep", "node", "root", "size", "alone", "far", "tokens"]
+    keys = ["rep", "n_block", "m_block"]
+    one = own.where("apart").select(*data, block[1], every[0])
+    two = own.select(*data, block[0], every[1])
+    two = two.toDF(*two.columns)
+    more = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(block_links, "a binary, b binary")
+    return found.unionByName(written(more.distinct()))
+
+
+def block_links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """Links between sets of two blocks that share a plainest member and no group yet."""
+    rows = []
+    if len(one) and len(two):
+        held = [opened48(t) for t in two["tokens"]]
+        whose = np.repeat(np.arange(len(held)), [len(t) for t in held])
+        tokens = np.concatenate(held)
+        order = np.argsort(tokens, kind="stable")
+        tokens, whose = tokens[order], whose[order]
+        size, alone = two["size"].to_numpy(np.int64), two["alone"].to_numpy(np.int64)
+        far, root = two["far"].to_numpy(float), two["root"].to_numpy(object)
+        reach = 1 - LEAST[0] / LEAST[1] + 1e-9
+        for x in one.itertuples():
+            most = np.minimum(size - alone, x.size - x.alone)
+            may = LEAST[1] * most >= LEAST[0] * (size + x.size - most)
+            may &= ~(np.abs(far - x.far) > reach) & (root != x.root)  # an unknown distance rules nothing out
+            if not may.any():
+                continue
+            own = opened48(x.tokens)
+            lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+            length = hi - lo
+            at = np.arange(length.sum()) + np.repeat(lo - (np.cumsum(length) - length), length)
+            same = np.bincount(whose[at], minlength=len(held))
+            good = may & (LEAST[1] * same >= LEAST[0] * (size + x.size - same))
+            rows += [(x.node, n) for n in two["node"].to_numpy(object)[good]]
+    return pd.DataFrame(rows, columns=["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, size: int = SIZE, key: str | None = None) -> DataFrame:
