@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def batches(documents: DataFrame, at_once: int = BATCH) -> DataFrame:
 
         def one() -> pa.RecordBatch:
             words, stream = np.unique(np.concatenate(tokens), return_inverse=True)
-            row = (number, docs, held, lengths, words.tobytes(), stream.astype("<u4").tobytes())
+            row = (number, docs, held, lengths, words.tobytes(), zstandard.compress(stream.astype("<u4").tobytes()))
             return batch([row], schema)
 
         for b in frames:
@@ -81,7 +82,7 @@ def batches(documents: DataFrame, at_once: int = BATCH) -> DataFrame:
 def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a batch, its tokens as numbers, the tokens before them, and whether they are learnt from."""
     words = np.frombuffer(row["words"], "<u8")
-    stream = np.frombuffer(row["stream"], "<u4").astype(np.int64)
+    stream = np.frombuffer(zstandard.decompress(row["stream"]), "<u4").astype(np.int64)
     lengths = np.asarray(row["lengths"], np.int64)
     before = np.empty_like(stream)
     before[1:] = stream[:-1]
@@ -207,7 +208,7 @@ def answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     trie = Trie(v[learnt], w[learnt], coded(total[learnt]))
     codes = trie.find(v, w)
     rows = [
-        (b, p, codes[i].tobytes(), 0, 0) for b, p, i in zip(frame["batch"], frame["part"], np.split(number, sizes))
+        (b, p, zstandard.compress(codes[i].tobytes()), 0, 0) for b, p, i in zip(frame["batch"], frame["part"], np.split(number, sizes))
     ]
     return pd.DataFrame(rows, columns=["batch", "part", "data", "words", "tokens"])
 
@@ -227,7 +228,7 @@ def _score(parts: int, total: int, known_words: int, prior: float, blend: float)
         c = np.concatenate([np.frombuffer(d, "<u8") for d in of_words["data"]]).astype(np.float64)
         _, order = pair_order(words, context, after, parts)
         codes = np.empty(len(order), np.uint8)
-        codes[order] = np.concatenate([np.frombuffer(d, "u1") for d in of_pairs["data"]])
+        codes[order] = np.concatenate([np.frombuffer(zstandard.decompress(d), "u1") for d in of_pairs["data"]])
         base = np.log10(c + ADD) - floor
         share = 10.0**base
         p = (1 - blend) * (COUNTS[codes] + prior * share[after]) / (c[context] + prior) + blend * share[after]
@@ -260,7 +261,7 @@ def score_texts(
     own = plain(documents, doc_id="long", text="string").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     weight = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(60_000, max(12, -(-weight // part))))
-    kept = written(batches(own, batch), "zstd")
+    kept = written(batches(own, batch))
     words = kept.mapInArrow(_ask_words(parts), ASKED).groupBy("part").applyInPandas(answer_words, ANSWER)
     words = written(words)
     sums = words.agg(F.sum("words"), F.sum("tokens")).first()
