@@ -42,13 +42,16 @@ BLOCK = 512
 LEAST = (4, 5)
 MANY = 255
 
-PACK = "bucket int, tokens binary, nodes binary, sizes binary, counts binary, df binary"
+PACK = "bucket int, tokens binary, nodes binary, counts binary, df binary"
 ENTRY = 12
+NODE = np.dtype([("hash", "<u8"), ("size", "<u4")])
 
 
 def node_of(tokens: np.ndarray) -> bytes:
-    """Name of a set: 96 bits of its tokens' hash."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=ENTRY).digest() if len(tokens) else b""
+    """Name of a set: 64 bits of its tokens' hash, and how many they are."""
+    if not len(tokens):
+        return b""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=8).digest() + len(tokens).to_bytes(4, "little")
 
 
 def low48(tokens: np.ndarray) -> np.ndarray:
@@ -95,7 +98,7 @@ def sets(documents: DataFrame, size: int = SIZE, key: str | None = None) -> Data
 def packs(documents: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
     """Tokens of all sets by hash range: in each pack the tokens of one batch, set by set."""
     schema = pa.schema(
-        [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("tokens", "nodes", "sizes", "counts", "df")]
+        [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("tokens", "nodes", "counts", "df")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +116,12 @@ def packs(documents: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
             tokens = np.concatenate(list(found.values()))
             whose = np.repeat(np.arange(len(nodes)), lengths)
             bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
-            yield from arrow_rows(list(dealt(bucket, low48(tokens), whose, nodes, lengths)), schema)
+            yield from arrow_rows(list(dealt(bucket, low48(tokens), whose, nodes)), schema)
 
     return plain(documents, text="string").mapInArrow(run, PACK)
 
 
-def dealt(bucket, tokens, whose, nodes, lengths, df=None):
+def dealt(bucket, tokens, whose, nodes, df=None):
     """Rows of PACK, one per bucket; ``whose`` ascends."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -129,17 +132,16 @@ def dealt(bucket, tokens, whose, nodes, lengths, df=None):
             int(bucket[part[0]]),
             packed48(tokens[part]),
             nodes[own[first]].tobytes(),
-            lengths[own[first]].astype("<u4").tobytes(),
             np.diff(np.append(first, len(own))).astype("<u4").tobytes(),
             df[part].tobytes() if df is not None else None,
         )
 
 
 def gathered(frame: pd.DataFrame):
-    """All packs of a bucket: tokens, entry of each, node, size and count of the entries, df."""
+    """All packs of a bucket: tokens, node, size and count of the entries, df."""
     tokens = np.concatenate([opened48(x) for x in frame["tokens"]])
     nodes = np.concatenate([np.frombuffer(x, f"V{ENTRY}") for x in frame["nodes"]])
-    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in frame["sizes"]]).astype(np.int64)
+    sizes = nodes.view(NODE)["size"].astype(np.int64)
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(np.int64)
     df = None
     if frame["df"].iloc[0] is not None:
@@ -149,8 +151,8 @@ def gathered(frame: pd.DataFrame):
 
 def by_node(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that brings equal nodes together, number of the node of each entry)."""
-    parts = nodes.view(np.dtype([("a", "<u8"), ("b", "<u4")]))
-    a, b = parts["a"].copy(), parts["b"].copy()
+    parts = nodes.view(NODE)
+    a, b = parts["hash"].copy(), parts["size"].copy()
     order = np.lexsort((b, a))
     new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
     number = np.empty(len(nodes), np.int64)
@@ -162,7 +164,7 @@ def repeated(buckets: int):
     """Reducer of one hash range: the tokens that several different sets hold, dealt by set."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, nodes, sizes, counts, _ = gathered(frame)
+        tokens, nodes, _, counts, _ = gathered(frame)
         _, number = by_node(nodes)
         _, first = np.unique(number, return_index=True)
         keep = np.zeros(len(nodes), bool)
@@ -179,13 +181,13 @@ def repeated(buckets: int):
         if not len(tokens):
             return pd.DataFrame(columns=PACK_NAMES)
         # Sets are spread by their name; entries of one set stay together.
-        to = (nodes.view(np.dtype([("a", "<u8"), ("b", "<u4")]))["a"] % np.uint64(buckets)).astype(np.uint16)
-        return pd.DataFrame(list(dealt(to[entry], tokens, entry, nodes, sizes, df)), columns=PACK_NAMES)
+        to = (nodes.view(NODE)["hash"] % np.uint64(buckets)).astype(np.uint16)
+        return pd.DataFrame(list(dealt(to[entry], tokens, entry, nodes, df)), columns=PACK_NAMES)
 
     return run
 
 
-PACK_NAMES = ("bucket", "tokens", "nodes", "sizes", "counts", "df")
+PACK_NAMES = ("bucket", "tokens", "nodes", "counts", "df")
 
 
 def signatures(tokens: np.ndarray, df: np.ndarray, size: int) -> np.ndarray:

@@ -34,7 +34,7 @@ from sitelens.llm.shingles import mixed, word_hashes
 
 PRIOR, BLEND, ADD = 20.0, 0.3, 0.1
 #: Tokens to a batch; bytes of text to a part.
-BATCH, PART = 2_500_000, 16 << 20
+BATCH, PART = 1_500_000, 16 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 EXACT, STEP = 127, 1.15
 
@@ -96,7 +96,7 @@ def range_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def pair_order(words: np.ndarray, context: np.ndarray, after: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Part of each pair, and the order by part, context and word in which batches ask and parts answer."""
-    spread = max(1, parts // 2)  # parts that the pairs of a context may lie in
+    spread = max(1, parts // 8)  # parts that the pairs of a context may lie in
     with np.errstate(over="ignore"):
         salt = mixed(words + np.uint64(11)) % np.uint64(spread)
         part = ((range_of(words, parts)[context] + salt[after].astype(np.int64)) % parts).astype(np.uint16)
