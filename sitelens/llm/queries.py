@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLE = {
+    "op6_jaccard": jaccard.OP6_SQL,
     "op5_topk": topk.OP5_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
 }
