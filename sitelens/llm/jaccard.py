@@ -36,6 +36,8 @@ from sitelens.llm.shingles import mixed, shingle_sets
 SIZE = 5
 #: Sets that hold a rare token, at most; tokens of a frequent class, about; bytes of text to a reducer.
 RARE, CLASS, REDUCER = 16, 10, 16 << 20
+#: Tokens that a task holds before it packs them.
+PACKED = 1_000_000
 #: Sets of one list that a task holds against as many others.
 BLOCK = 512
 #: Numerator and denominator of the least similarity.
@@ -104,13 +106,10 @@ def packs(documents: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sitelens.llm.common import arrow_rows
 
-        for b in batches:
-            found: dict[bytes, np.ndarray] = {}  # copies in a batch go once
-            for t in shingle_sets(b.column("text"), size):
-                if len(t) > 3:  # smaller sets can link with none but their equals
-                    found.setdefault(node_of(t), t)
-            if not found:
-                continue
+        found: dict[bytes, np.ndarray] = {}  # copies near each other go once
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
             nodes = np.frombuffer(b"".join(found), f"V{ENTRY}")
             lengths = np.fromiter(map(len, found.values()), np.int64, len(found))
             tokens = np.concatenate(list(found.values()))
@@ -118,6 +117,17 @@ def packs(documents: DataFrame, buckets: int, size: int = SIZE) -> DataFrame:
             bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
             yield from arrow_rows(list(dealt(bucket, low48(tokens), whose, nodes)), schema)
 
+        for b in batches:
+            for t in shingle_sets(b.column("text"), size):
+                if len(t) > 3:  # smaller sets can link with none but their equals
+                    held += len(t)
+                    found.setdefault(node_of(t), t)
+                if held >= PACKED:
+                    yield from flush()
+                    found, held = {}, 0
+        if found:
+            yield from flush()
+
     return plain(documents, text="string").mapInArrow(run, PACK)
 
 

@@ -104,7 +104,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.
 class Scorer:
     """Sentence and document probabilities; words met before are remembered."""
 
-    def __init__(self, weights: np.ndarray, bias: float, limit: int = 500_000):
+    def __init__(self, weights: np.ndarray, bias: float, limit: int = 200_000):
         self.weights, self.bias, self.limit = weights, bias, limit
         self.known: dict[str, float] = {}
 
