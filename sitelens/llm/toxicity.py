@@ -4,7 +4,9 @@ Labels belong to documents, the cause to a few sentences. Each sentence has a
 probability from its words and their letters; a document is toxic if any of its
 sentences is, so its probability is the noisy-or of theirs. Only document
 labels train it; afterwards the sentences' own probabilities say where the
-trouble is.
+trouble is. Sentences that are not offending by themselves add up as far as in
+the longest texts learnt from; in longer ones their average counts, so that
+length alone makes no document toxic.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from sitelens.llm.common import plain, table
 SAMPLE = {1: 1200, 0: 2400}
 SAMPLE_CHARS = 8_000
 THRESHOLD = 0.7
+#: From this probability a sentence is offending by itself and counts in full, however long the text.
+OFFENDING = 0.5
+#: Of the others at most so many add up: about the sentences of a text of SAMPLE_CHARS signs.
+FAINT = 120
 SIZE = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +122,7 @@ class Scorer:
             got = self.known[word] = float(self.weights[features(word)].sum())
         return got
 
-    def document(self, text: str | None, over: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+    def document(self, text: str | None, over: float = OFFENDING) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of the text, and its sentences of at least ``over``."""
         low = (text or "").lower()
         if len(low) != len(text or ""):  # a few letters grow in lower case; positions must not
@@ -124,16 +130,19 @@ class Scorer:
         weights = {w: v for w in set(WORD.findall(low)) if (v := self.word(w))}
         spans = sentences(low)
         without = math.log1p(-1 / (1 + math.exp(-self.bias)))  # of a sentence without any weight
-        clean, bad = 0.0, []
+        clean, faint, n, bad = 0.0, 0.0, 0, []
         if not weights:
-            return -math.expm1(len(spans) * without), bad
+            return -math.expm1(min(len(spans), FAINT) * without), bad
         for s, e in spans:
             z = sum(weights.get(w, 0.0) for w in set(WORD.findall(low, s, e)))
             p = 1 / (1 + math.exp(-min(30.0, self.bias + z)))
-            clean += math.log1p(-min(p, 1 - 1e-9)) if z else without
+            if p >= OFFENDING:
+                clean += math.log1p(-min(p, 1 - 1e-9))
+            else:
+                faint, n = faint + (math.log1p(-p) if z else without), n + 1
             if p >= over:
                 bad.append((s, e, p))
-        return -math.expm1(clean), bad
+        return -math.expm1(clean + faint * min(1.0, FAINT / max(1, n))), bad
 
 
 def fold(doc_id: str):

@@ -276,3 +276,18 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert rows[5000].score == rows[5001].score == 0 and rows[5002].predicted == 1 and rows[None].predicted == 0
     assert toxicity.score_documents(df.limit(0), labels).count() == 0
     assert toxicity.score_documents(df, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_length_alone_is_not_toxic():
+    draw = random.Random(3)
+    clean = ["table", "green", "walk", "paper", "river", "house", "quiet", "stone", "light", "music"]
+    made = [" ".join(draw.choices(clean, k=8)) for _ in range(10_000)]
+    learnt = [". ".join(made[12 * i : 12 * i + 12]) + (" grumwort" if i % 4 == 0 else "") for i in range(400)]
+    weights, bias = toxicity.fit(learnt, [int(i % 4 == 0) for i in range(400)])
+    scorer = toxicity.Scorer(weights, bias)
+    assert scorer.document(". ".join(made))[0] < 0.2
+    assert scorer.document(". ".join(made + ["grumwort"]))[0] >= toxicity.THRESHOLD
+    weights[toxicity.features("muddle")[0]] = 2.0  # a word that tells a little
+    faint = toxicity.Scorer(weights, bias)
+    assert faint.document(". ".join(["muddle"] * 10_000))[0] < toxicity.THRESHOLD
+    assert faint.document(". ".join(["muddle"] * 9_999 + ["grumwort"]))[0] >= toxicity.THRESHOLD
