@@ -6,7 +6,9 @@ pages a subtree stands, and blocks inside subtrees that recur are deleted.
 Inside an article only boxes (sections, lists) can be template, not paragraphs,
 which may well be quoted twice. Parts that name themselves (navigation,
 footers, forms, adverts, notices, comments of readers) go by their tag, role or
-class; where a page marks its article, the rest of the page is left out.
+class; where a page marks its article, the rest of the page is left out. A part
+that holds the page's only article, or most of its text under a name that
+sites also give to wrappers, is no such part and stays.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ TOKEN = re.compile(
     r"""|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label|itemprop)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+#: Every attribute in turn, so that no name is looked for inside a value or another name.
+NAMED = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?|"[^"]*+"|'[^']*+'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -46,15 +49,14 @@ WORDS = frozenset(
 )
 KEPT = frozenset(("article", "main"))
 BOXES = frozenset("div section ul ol dl table figure fieldset center".split())
-PART = re.compile(r"[a-z]+")
 
 
 def named(attributes: str) -> bool:
     """Whether an element says itself that it is no part of the article."""
     for m in NAMED.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
+        name, value = (m.group(1) or "").lower(), (m.group(2) or "").strip("\"'").lower()
         if name in ("class", "id"):
-            if any(p in WORDS for w in value.split() for p in PART.findall(w)):
+            if not WORDS.isdisjoint(value.split()):
                 return True
         elif name == "role":
             if value in ROLES:
@@ -67,19 +69,26 @@ def named(attributes: str) -> bool:
 
 
 class Element:
-    __slots__ = ("name", "drop", "keep", "holds", "parts", "first")
+    __slots__ = ("name", "drop", "keep", "holds", "parts", "first", "doubt")
 
-    def __init__(self, name: str, drop: bool, keep: bool, first: int):
-        self.name, self.drop, self.keep, self.first = name, drop, keep, first
+    def __init__(self, name: str, drop: bool, keep: bool, first: int, doubt: tuple[int, int, int, bool] | None = None):
+        self.name, self.drop, self.keep, self.first, self.doubt = name, drop, keep, first, doubt
         self.holds = False  # an article
         self.parts: list[str] = []  # what the hash of the subtree is taken of
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
+def blocks(
+    page: str | None, spared: frozenset[int] | None = None
+) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
     """Blocks of text as (text, inside the article), and the subtrees as (first block, end, hash, inside).
 
     Unclosed elements end with what holds them; a closing tag without an
-    opening one is nothing. Blocks in dropped parts are left out.
+    opening one is nothing. Blocks in dropped parts are left out. ``spared``
+    has the places of tags whose elements stay whatever they are called; by
+    default these are found first: elements that hold an article while no other
+    article stands on the page, and those that only their names or attributes,
+    or being a form, would drop with more than half of the page's text (beside an
+    article they hold none of it, so there only those inside it).
     """
     found: list[tuple[str, bool]] = []
     trees: list[tuple[int, int, int, bool]] = []
@@ -87,6 +96,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, in
     counts: dict[str, int] = {}
     line: list[str] = []
     dropped = 0  # open elements that are dropped
+    read = articles = free = 0  # signs of text, articles, and articles outside dropped elements so far
+    doubts: list[tuple[int, int, int, bool, bool]] = []  # of dropped elements: place, signs, articles, by name alone, inside
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(line)).split())
@@ -101,6 +112,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, in
         counts[e.name] -= 1
         if e.drop:
             dropped -= 1
+            place, signs, held, soft = e.doubt
+            doubts.append((place, read - signs, articles - held, soft, e.keep))
             return
         open_[-1].holds |= e.holds or e.keep and not open_[-1].keep
         if len(found) > e.first and (e.name in BOXES if e.keep else not e.holds and e.name not in INLINE):
@@ -111,6 +124,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, in
             open_[-1].parts.extend(e.parts)
 
     def text(piece: str) -> None:
+        nonlocal read
+        read += len(piece.strip())
         if piece and not dropped:
             line.append(piece)
 
@@ -143,15 +158,23 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, in
             close()  # its end tag may be left out
         inside = open_[-1].keep
         # The headline of an article may stand in a header of its own.
-        drop = name in DROPPED and not (name == "header" and inside) or named(m.group(4)) and name not in ("html", "body", *KEPT)
+        hard = name in DROPPED and not (name == "header" and inside)
+        drop = (hard or name not in ("html", "body", *KEPT) and named(m.group(4))) and not (spared and m.start() in spared)
+        doubt = (m.start(), read, articles, not hard or name == "form") if drop else None
+        if name in KEPT:
+            articles, free = articles + 1, free + (not dropped)
         dropped += drop
-        open_.append(Element(name, drop, inside or name in KEPT, len(found)))
+        open_.append(Element(name, drop, inside or name in KEPT, len(found), doubt))
         counts[name] = counts.get(name, 0) + 1
     text(source[at:] if "<" not in source[at:] else source[at:].partition("<")[0])
     if not dropped:
         flush()
     while len(open_) > 1:
         close()
+    if spared is None:
+        stay = frozenset(at for at, signs, held, soft, inside in doubts if held and not free or soft and 2 * signs > read and (not free or inside))
+        if stay:
+            return blocks(page, stay)
     return found, trees
 
 

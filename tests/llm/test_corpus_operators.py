@@ -247,6 +247,26 @@ def test_language_model(spark):
     assert sorted(r.doc_id is None for r in unnamed) == [False, True]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article><h1>Head</h1><p>Body of it.</p></article></div>",
+        "<div class='sidebar layout'><main><h1>Head</h1><p>Body of it.</p></main></div><div class='sidebar'>no</div>",
+        "<form id=aspnet><article><h1>Head</h1><p>Body of it.</p></article></form>",
+        "<div class='content no-comments'><h1>Head</h1><p>Body of it.</p></div>",
+        "<div class='elementor-widget'><div class='entry-header'><h1>Head</h1></div><p>Body of it.</p></div>",
+        "<div class=widget><h1>Head</h1><p>Body of it.</p><div class='share'>no</div></div><nav>no no</nav>",
+        "<article><div class='widget'><h1>Head</h1><p>Body of it.</p></div><div class=related>no</div></article>",
+        "<div data-id='nav' data-role=navigation title='hidden text' alt='class=ad'><h1>Head</h1></div><p>Body of it.</p>",
+        "<article><h1>Head</h1><p>Body of it.</p></article><div class='comments'><article>no, said a reader at length</article></div>",
+        "<h1>Head</h1><p>Body of it.</p><div class='ad'>no</div><p hidden>no</p><p style='display: none'>no</p><ul role=menu>no</ul>",
+    ],
+)
+def test_wrappers_stay(page):
+    texts, _ = html_text.parsed(f"<html><body>{page}</body></html>")
+    assert texts == ["Head", "Body of it."]
+
+
 # toxicity
 
 
