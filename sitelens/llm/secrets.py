@@ -3,10 +3,12 @@
 Only Spark's own functions: each pattern brackets its matches with a mark, the
 text is split at the mark, and lengths of the pieces add up to positions. The
 candidates of all kinds then meet by document. Access identifiers, secrets and
-endpoints are linked by a window over positions (an interval join that returns
-the nearest partner and no pairs); weak candidates are reported only where
-their complement lies in reach. One shuffle carries the candidates, with each
-document's other columns once.
+endpoints are linked inside a scope: a section where the text has section
+headers, else a block between blank lines. Windows over positions and lines
+return the nearest partner and no pairs; weak candidates are reported only where
+their complement lies in reach, or on another line of the same run of settings
+at any distance. One shuffle carries the candidates, with each document's other
+columns once.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from sitelens.llm.common import plain, table
 #: In the order in which spans of equal start are listed; the first three are always reported.
 KINDS = ("assign", "access", "hex", "weak_secret", "identifier", "endpoint")
 BASE = KINDS[:3]
+#: Code points between the end of one part and the start of the next, where no run of settings holds both.
 REACH = 200
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,25 +33,50 @@ PATTERNS = {
     "identifier": r"""(?i)(?<![a-z])(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[a-z0-9@._-]{3,}""",
     "endpoint": r"""(?i)https?://[a-z0-9._~:/?#@!$&()*+,;=%-]+|(?<![a-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.:_-]{4,}""",
 }
-MARK, OTHER = "\x01", "\x02"
+MARK, OTHER, WALL, PROSE = "\x01", "\x02", "\x03", "\x04"
+END = r"[\x20\t\r]*+(?:\n|\z)"
+#: The line break before a section's header or a rule, before a blank line, and before a line that is no setting, comment or single word.
+SECTION = rf"\n(?=[\x20\t]*+(?:\[[^\[\]\n=]++\]|-{{3,}}+|={{3,}}+|```\w*+){END})"
+BLANK = rf"\n(?={END})"
+LOOSE = (
+    r"""\n(?![\x20\t]*+(?:[#;/*<>{}\[\]()"'|-]|(?:[^\s=:]++[\x20\t]*+){1,4}[=:]|\S*+"""
+    + END
+    + r"))"
+)
 SECRET, ACCESS, PLACE = ("assign", "hex", "weak_secret"), ("access", "identifier"), ("endpoint",)
 
 
+def scoped(text: Column) -> Column:
+    """The text with WALL for the line break before each scope, PROSE for that before each line that ends a run of settings."""
+    # No sign swapped here is part of any pattern, so that no match and no length changes.
+    clean = F.translate(text, MARK + WALL + PROSE, OTHER * 3)
+    walls = F.when(clean.rlike(SECTION) | clean.rlike(rf"\A{SECTION[2:]}"), F.regexp_replace(clean, SECTION, WALL)).otherwise(
+        F.regexp_replace(clean, BLANK, WALL)
+    )
+    return F.regexp_replace(walls, LOOSE, PROSE)
+
+
 def pieces(text: Column, kind: str) -> Column:
-    """The text cut at its matches: between, match, between, match, ..., rest."""
-    # Neither sign is part of any pattern, so the swap changes no match and no length.
-    clean = F.translate(text, MARK, OTHER)
-    return F.split(F.regexp_replace(clean, F.lit(PATTERNS[kind]), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    """The scoped text cut at its matches: between, match, between, match, ..., rest."""
+    return F.split(F.regexp_replace(text, F.lit(PATTERNS[kind]), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
 def proposals(cut: Column, kind: str) -> Column:
-    """Array of (kind, n, gap, value): the n-th match and the code points between it and the one before."""
+    """Array of (kind, n, gap, walls, loose, lines, value): the n-th match, and the code points, scopes, ends of runs and line breaks between it and the one before."""
 
     def hit(n: Column) -> Column:
+        gap = F.element_at(cut, 2 * n - 1)
+
+        def count(signs: str) -> Column:
+            return F.length(gap) - F.length(F.translate(gap, signs, ""))
+
         return F.struct(
             F.lit(kind).alias("kind"),
             n.alias("n"),
-            F.length(F.element_at(cut, 2 * n - 1)).alias("gap"),
+            F.length(gap).alias("gap"),
+            count(WALL).alias("walls"),
+            count(PROSE).alias("loose"),
+            count("\n" + WALL + PROSE).alias("lines"),
             F.element_at(cut, 2 * n).alias("value"),
         )
 
@@ -69,8 +97,10 @@ def confirmed() -> Column:
 def find_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """Rows of ``documents`` with ``secrets``: array of (kind, start, end, value, access_at, secret_at, endpoint_at).
 
-    The last three are where the nearest complement within ``reach`` code
-    points begins, null if there is none. Null and empty texts have an empty
+    The last three are where the nearest complement of the same scope begins,
+    null if there is none: from the end of one to the start of the other
+    ``reach`` code points at most, or any number between two lines of one run of
+    settings. Null and empty texts have an empty
     array; repeated rows are kept, each judged by itself; a column named
     ``secrets`` is replaced. A weak secret needs an access identifier or an
     identifier in reach, an identifier a secret, an endpoint both.
@@ -80,25 +110,41 @@ def find_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     own = documents.select(
         F.monotonically_increasing_id().alias("row"),
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"),
-        *(pieces(text, k).alias(k) for k in KINDS),
-    ).select("row", "doc", F.concat(*(proposals(F.col(k), k) for k in KINDS)).alias("found"))
+        scoped(text).alias("scoped"),
+    ).select("row", "doc", *(pieces(F.col("scoped"), k).alias(k) for k in KINDS)).select("row", "doc", F.concat(*(proposals(F.col(k), k) for k in KINDS)).alias("found"))
     each = (
         own.select("row", "doc", F.posexplode_outer("found").alias("pos", "c"))
         .select("row", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("doc")).alias("doc"), "c.*")
         .repartition("row")
     )
     by_kind = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(by_kind)).withColumn(
-        "start", F.col("end") - F.length("value")
+    placed = (
+        each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(by_kind))
+        .withColumn("start", F.col("end") - F.length("value"))
+        .withColumns({c: F.sum(c).over(by_kind) for c in ("walls", "loose", "lines")})
     )
-    order = Window.partitionBy("row").orderBy("start")
-    before, after = order.rangeBetween(-reach, 0), order.rangeBetween(0, reach)
+    # Frames that only grow, so that a document of many candidates costs no more than its length.
+    scope, run = Window.partitionBy("row", "walls"), Window.partitionBy("row", "walls", "loose")
+    before, after = (scope.orderBy(c).rangeBetween(Window.unboundedPreceding, 0) for c in (F.asc("start"), F.desc("start")))
+    above, below = (run.orderBy(c).rangeBetween(Window.unboundedPreceding, -1) for c in (F.asc("lines"), F.desc("lines")))
     good = placed.withColumn("good", F.col("kind").isNotNull() & confirmed())
 
     def nearest(kinds: tuple[str, ...]) -> Column:
-        at = F.when(F.col("good") & F.col("kind").isin(*kinds), F.col("start"))
-        left, right = F.last(at, True).over(before), F.first(at, True).over(after)
-        return F.when(left.isNull() | (right - F.col("start") < F.col("start") - left), right).otherwise(left)
+        own = F.col("good") & F.col("kind").isin(*kinds)
+        # The latest end before and the first start after; (gap, start) of the nearest.
+        ends, starts = F.when(own, F.struct("end", "start")), F.when(own, F.col("start"))
+
+        def left(w) -> Column:
+            last = F.max(ends).over(w)
+            return F.when(last.isNotNull(), F.struct(F.greatest(F.col("start") - last["end"], F.lit(0)).alias("gap"), last["start"].alias("at")))
+
+        def right(w) -> Column:
+            first = F.min(starts).over(w)
+            return F.when(first.isNotNull(), F.struct(F.greatest(first - F.col("end"), F.lit(0)).alias("gap"), first.alias("at")))
+
+        near = F.least(left(before), right(after))
+        far = F.least(left(above), right(below))
+        return F.when(own, F.col("start")).when(near["gap"] <= reach, near["at"]).otherwise(far["at"])
 
     linked = good.select(
         "row",
