@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.skew import numbered, preceding, salted_join
+from sitelens.operators.skew import numbered, preceding, salted_join, tally
 
 IN_TIME_ORDER = ("hit_datetime", "hit_id")
 
@@ -47,25 +47,13 @@ def hit_numbering(hits: DataFrame) -> DataFrame:
 def entrance_exit(hits: DataFrame) -> DataFrame:
     """Hits with 0/1 flags on the first and last page view of each session.
 
-    The two hit ids per session come from an aggregate; they meet the hits on
-    the unique hit id, so a huge session is never gathered.
+    A page view is the first when it is the first one counted, and the last when all
+    are counted with it: one shuffle of the hits, in which a huge session is cut into runs.
     """
-    order = F.struct(*IN_TIME_ORDER)
-    ends = (
-        hits.where(F.col("hit_type") == "PAGE")
-        .groupBy("session_id")
-        .agg(F.min_by("hit_id", order).alias("first"), F.max_by("hit_id", order).alias("last"))
-    )
-    marks = (
-        ends.select(F.expr("stack(2, first, 1, 0, last, 0, 1) as (hit_id, entrance, exit)"))
-        .groupBy("hit_id")
-        .agg(F.max("entrance").alias("entrance"), F.max("exit").alias("exit"))
-    )
-    return (
-        hits.join(marks, "hit_id", "left")
-        .withColumn("entrance", F.coalesce("entrance", F.lit(0)))
-        .withColumn("exit", F.coalesce("exit", F.lit(0)))
-    )
+    page = F.col("hit_type") == "PAGE"
+    counted = tally(hits, ["session_id"], IN_TIME_ORDER[0], IN_TIME_ORDER[1:], page, "_seen", "_views")
+    flags = {"entrance": page & (F.col("_seen") == 1), "exit": page & (F.col("_seen") == F.col("_views"))}
+    return counted.select(*hits.columns, *[F.when(flag, 1).otherwise(0).alias(name) for name, flag in flags.items()])
 
 
 def previous_group(hits: DataFrame, group: str = "content_group_4") -> DataFrame:
