@@ -148,7 +148,7 @@ def grown(nodes: DataFrame, step: int) -> tuple[list[DataFrame], DataFrame]:
         )
         stored.append(blocks)
         top = F.element_at(F.element_at("levels", -1), 1)
-        met = blocks.withColumn("levels", regrown(step)).select("tree", "block", "n", "all", top.alias("digest"))
+        met = with_levels(blocks, step).select("tree", "block", "n", "all", top.alias("digest"))
         done = met.where(F.col("n") <= width).select("tree", "digest", F.col("all").alias("n"))
         tops = done if tops is None else tops.unionByName(done)
         if most <= width:
@@ -177,6 +177,11 @@ def regrown(step: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(step)), F.array(foot), up)
 
 
+def with_levels(blocks: DataFrame, step: int) -> DataFrame:
+    """``blocks`` with their ``levels``, computed once per subtree: what a generator returns is not computed anew where it is used."""
+    return blocks.select("*", F.explode(F.array(regrown(step))).alias("levels"))
+
+
 def proven(stored: list[DataFrame], above: DataFrame, step: int) -> DataFrame:
     """Every leaf of the stored trees with its path, continued by the path of its tree in ``above``."""
     width = 1 << step
@@ -195,8 +200,7 @@ def proven(stored: list[DataFrame], above: DataFrame, step: int) -> DataFrame:
             own = F.transform(heights, lambda k: sibling(at, k))
             return F.struct(node["pos"].alias("pos"), node["digest"].alias("digest"), node["given"].alias("given"), F.concat(own, F.col("path")).alias("path"))
 
-        found = blocks.withColumn("levels", regrown(step)).withColumn("ways", F.transform("foot", way))
-        return found.select("tree", "subroot", "root", F.inline("ways"))
+        return with_levels(blocks, step).select("tree", "subroot", "root", F.inline(F.transform("foot", way)))
 
     paths = None
     for blocks in reversed(stored):
