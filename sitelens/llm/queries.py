@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelens.llm import chat, decontaminate, html_text, jaccard, lm, merkle, packing, pii, secrets, token_files, topk, toxicity
+from sitelens.llm import chat, decontaminate, html_text, jaccard, lm, merkle, packing, pii, secrets, spelling, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
     "op11_merkle": merkle.op11_merkle,
+    "op12_spelling": spelling.op12_spelling,
     "op13_chat": chat.op13_chat,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op5_topk": topk.OP5_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
     "op13_chat": chat.OP13_SQL,
 }
