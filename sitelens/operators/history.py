@@ -1,15 +1,18 @@
 """Conversation and query history as batch jobs over tables.
 
-An upsert takes the stored table and the new rows and returns the new table;
-the caller writes it. Every upsert is one grouped aggregate with map-side
-combine, so a key with very many rows is reduced before the shuffle.
+An upsert takes the stored table and the new rows and returns the new table.
+Every upsert is one grouped aggregate with map-side
+combine, so a key with very many rows is reduced before the shuffle. A large
+store is kept in buckets by a hash of the key; a batch then reads and replaces only
+the buckets that its keys fall into.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators.skew import salted_join
@@ -67,10 +70,100 @@ def query_upsert(asked: DataFrame, stored: DataFrame | None = None) -> DataFrame
     )
 
 
-def store_messages(messages: DataFrame, path: str) -> None:
-    """Append messages to the history files, partitioned by day."""
-    days = messages.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
-    days.write.mode("append").partitionBy("day").parquet(path)
+#: Buckets of a store; each should fit some tasks. A store keeps the number it was begun with.
+BUCKETS = 256
+BUCKET = "key_bucket"
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The table kept at ``path``."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def upsert_store(
+    batch: DataFrame,
+    path: str,
+    key: Column,
+    merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+    merged_key: Column | None = None,
+    buckets: int = BUCKETS,
+) -> int:
+    """Merge ``batch`` into the store at ``path``; returns how many buckets were read and replaced.
+
+    ``merge`` gets the stored rows that share a bucket with the batch (None for a new store) and the
+    batch. ``key`` is the key of batch rows, ``merged_key`` that of merged rows if it is written otherwise. Only the
+    touched buckets are scanned, and Spark's dynamic partition overwrite replaces only
+    these, when all tasks are done: a failed batch leaves the store as it was and can be run again. The
+    list of touched buckets, at most ``buckets`` numbers, is all the driver sees.
+    """
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select(_bucket(key, buckets).alias(BUCKET)).distinct().collect()]
+    if not touched:
+        return 0
+    stored = _stored(spark, path)
+    own = None if stored is None else stored.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = merge(own, batch).withColumn(BUCKET, _bucket(key if merged_key is None else merged_key, buckets))
+    writer = merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKET).parquet(path)
+    return len(touched)
+
+
+def upsert_sessions(touches: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """``session_upsert`` into the store at ``path``."""
+
+    def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        if stored is None:
+            at = F.col("timestamp")
+            stored = new.limit(0).select("session_id", at.alias("created_at"), at.alias("last_interaction"), "metadata")
+        return session_upsert(stored, new)
+
+    return upsert_store(touches, path, F.col("session_id"), merge, buckets=buckets)
+
+
+def upsert_queries(asked: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """``query_upsert`` into the store at ``path``."""
+
+    def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        return query_upsert(new, stored if stored is None else stored.drop("query_hash"))
+
+    key = query_hash(F.col("natural_language_query"))
+    return upsert_store(asked, path, key, merge, F.col("query_hash"), buckets)
+
+
+def store_messages(messages: DataFrame, path: str, ids: Sequence[str] = ("session_id", "turn")) -> None:
+    """Append messages to the history files, partitioned by day, each once.
+
+    A message is known by ``ids``; one that is stored already, or comes twice in
+    the batch, is not added, so a batch can be run again. Of the store only the days of the
+    batch are read; of two messages of one id in a batch the first by time and content is kept.
+    """
+    spark = messages.sparkSession
+    days = messages.withColumn("day", F.to_date("timestamp"))
+    others = [c for c in days.columns if c not in ids]
+    first = F.struct("timestamp", F.xxhash64(*others).alias("_mark"), *[c for c in others if c != "timestamp"])
+    once = days.groupBy(*ids).agg(F.min(first).alias("_first")).select(*ids, *[F.col(f"_first.{c}").alias(c) for c in others])
+    stored = _stored(spark, path)
+    if stored is not None:
+        own = [r[0] for r in days.select("day").distinct().collect()]  # as many as days in the batch
+        undated = F.col("day").isNull() if None in own else F.lit(False)
+        known = stored.where(F.col("day").isin([d for d in own if d is not None]) | undated).select(
+            F.struct(*[F.col(c).cast(days.schema[c].dataType).alias(c) for c in ids]).alias("_known")
+        )
+        once = once.join(known, F.struct(*ids) == F.col("_known"), "left_anti")
+    once.select(*messages.columns, "day").hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def conversation_history(messages: DataFrame, session_id=None, tie_break: str = "turn") -> DataFrame:

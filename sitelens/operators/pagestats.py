@@ -52,6 +52,8 @@ def keep_check_counts(kept: DataFrame) -> DataFrame:
 def page_metric_stats(hits: DataFrame, sessions: DataFrame, interactions: DataFrame) -> DataFrame:
     """Means, deviations and rates of the sessions that saw a page, per market and page.
 
+    Of ``sessions`` also ``returning_visitor`` is read, 1 where the visitor came before.
+
     ``interactions`` (session_id, interaction_id, enquiry_flag, engagement_flag)
     is read once for all the rates that depend on it.
     """
@@ -62,10 +64,9 @@ def page_metric_stats(hits: DataFrame, sessions: DataFrame, interactions: DataFr
         F.max(kind == CONFIG_START).alias("started"),
         F.max(kind == CONFIG_COMPLETE).alias("converted"),
     )
-    per_session = sessions.select("session_id", "time_on_site_seconds", "total_page_views", "bounced_session").join(
-        did, "session_id", "left"
-    )
-    seen = page_visits(hits, per_session)
+    columns = ("session_id", "returning_visitor", "time_on_site_seconds", "total_page_views", "bounced_session")
+    per_session = sessions.select(*columns).join(did, "session_id", "left")
+    seen = page_visits(hits, per_session, onward=True)
     count = F.count("*")
 
     def rate(condition: Column) -> Column:
@@ -80,6 +81,9 @@ def page_metric_stats(hits: DataFrame, sessions: DataFrame, interactions: DataFr
         rate(F.col("exited")).alias("exit_rate"),
         rate(F.col("bounced_session") == 1).alias("bounce_rate"),
         F.avg("seconds_after").alias("avg_seconds_after_content"),
+        F.avg("pages_after").alias("avg_pages_after_content"),
+        F.stddev_samp("pages_after").alias("stddev_pages_after_content"),
+        rate(F.col("returning_visitor") == 1).alias("returning_visitor_rate"),
         rate(F.col("enquired")).alias("enquiry_rate"),
         rate(F.col("engaged")).alias("engagement_rate"),
         rate(F.col("started")).alias("config_start_rate"),

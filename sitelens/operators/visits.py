@@ -33,10 +33,15 @@ def session_totals(hits: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     return totals.withColumn("time_on_site_seconds", spent.cast("bigint"))
 
 
+def session_order(sessions: DataFrame) -> DataFrame:
+    """Sessions with the visitor's session number and returning flag."""
+    order = numbered(sessions, ["visitor_id"], "visit_start_datetime", ["session_id"], "session_number")
+    return order.withColumn("returning_visitor", F.when(F.col("session_number") > 1, 1).otherwise(0))
+
+
 def session_build(hits: DataFrame) -> DataFrame:
     """Session totals with the visitor's session number and returning flag."""
-    order = numbered(session_totals(hits), ["visitor_id"], "visit_start_datetime", ["session_id"], "session_number")
-    return order.withColumn("returning_visitor", F.when(F.col("session_number") > 1, 1).otherwise(0))
+    return session_order(session_totals(hits))
 
 
 def hit_numbering(hits: DataFrame) -> DataFrame:
@@ -90,27 +95,36 @@ def first_touch(sessions: DataFrame, column: str = "channel_grouping") -> DataFr
     return salted_join(sessions, firsts, "visitor_id", spread=["session_id"])
 
 
-def page_visits(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+def page_visits(hits: DataFrame, sessions: DataFrame, onward: bool = False) -> DataFrame:
     """One row per session, market and page, with the session's columns, a flag where it ended and the seconds left.
 
-    ``seconds_after`` runs from the first hit on the page to the session's last hit.
+    ``seconds_after`` runs from the first hit on the page to the session's last hit. ``onward`` adds
+    ``pages_after``, the session's page views after its first hit on the page: all of its views but those
+    counted by then, from one ordered pass that cuts huge sessions into runs.
 
     Everything page-level is computed from this reduced form of the hits. The
     rows of a session with very many pages are split for the join: they meet
     the session's columns and its last place by salted key.
     """
     place = F.struct("market_code", "page_path")  # compares NULLs as equal
-    placed = hits.select("session_id", place.alias("place"), *IN_TIME_ORDER)
+    placed = hits.select("session_id", place.alias("place"), "hit_type", *IN_TIME_ORDER)
+    counts = []
+    if onward:
+        view = F.col("hit_type") == "PAGE"
+        placed = tally(placed, ["session_id"], IN_TIME_ORDER[0], IN_TIME_ORDER[1:], view, "_seen", "_views")
+        counts = [F.max(F.col("_views") - F.col("_seen")).alias("pages_after")]  # most are left at the first
     moment, at = F.struct(*IN_TIME_ORDER), IN_TIME_ORDER[0]
-    seen = placed.groupBy("session_id", "place").agg(F.max(moment).alias("latest"), F.min(at).alias("came"))
+    seen = placed.groupBy("session_id", "place").agg(F.max(moment).alias("latest"), F.min(at).alias("came"), *counts)
     # What a session ended with follows from its places; the hits are grouped once.
     end = seen.groupBy("session_id").agg(F.max_by("place", "latest").alias("end_place"), F.max(f"latest.{at}").alias("end_at"))
     whole = sessions.join(end, "session_id", "left")
-    attributed = salted_join(seen.select("session_id", "place", "came"), whole, "session_id", spread=["place"])
+    extra = ["pages_after"] if onward else []
+    attributed = salted_join(seen.select("session_id", "place", "came", *extra), whole, "session_id", spread=["place"])
     return attributed.select(
         "place.*",
         F.col("place").eqNullSafe(F.col("end_place")).alias("exited"),
         (F.timestamp_diff("MICROSECOND", "came", "end_at") / 1e6).alias("seconds_after"),
+        *extra,
         *sessions.columns,
     )
 

@@ -7,6 +7,7 @@ as common table expressions.
 
 from __future__ import annotations
 
+import json
 import re
 
 VIEWS: dict[str, str] = {}
@@ -130,7 +131,11 @@ LEFT JOIN (SELECT session_id,
 
 VIEWS["session_clusters"] = """
 SELECT session_id, CASE WHEN bounced_session = 1 THEN 'Bounce' WHEN total_hits >= 5 THEN 'Deep' ELSE 'Browse' END AS cluster_name
-FROM session WHERE visitor_id % 10 <> 9
+FROM session
+"""
+
+VIEWS["known_clusters"] = """
+SELECT c.* FROM session_clusters c JOIN session s ON s.session_id = c.session_id WHERE s.visitor_id % 10 <> 9
 """
 
 VIEWS["collect_log"] = """
@@ -353,13 +358,34 @@ matched AS (SELECT question_id, table_name FROM found UNION ALL
 """
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+def _json(info) -> str:
+    return json.dumps(info, ensure_ascii=False, sort_keys=True)
+
+
+def _table_definitions() -> str:
+    from sitelens.catalog import default_schema
+
+    return _values([(name, _json(info)) for name, info in default_schema()["tables"].items()])
+
+
 def _fixed_definitions() -> str:
-    from sitelens.catalog import METRICS, RELATIONSHIPS
+    from sitelens.catalog import default_schema
 
-    rows = [("metric", m) for m in METRICS] + [("relationship", f"{r['from']} -> {r['to']}") for r in RELATIONSHIPS]
-    return ", ".join(f"('{kind}', '{name}')" for kind, name in rows)
+    schema = default_schema()
+    rows = [("metric", name, _json(info)) for name, info in schema["metrics"].items()]
+    return _values(rows + [("relationship", f"{r['from']} -> {r['to']}", _json(r)) for r in schema["relationships"]])
 
 
+QUERY_UPSERT = """
+SELECT f.query_hash, f.session_id, f.natural_language_query, l.sql_query, l.complexity, l."timestamp"
+FROM (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY arrival, "timestamp", session_id) = 1) f
+JOIN (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY arrival DESC, "timestamp" DESC, session_id DESC) = 1) l
+  ON f.query_hash = l.query_hash"""
+
 STATEMENTS: dict[str, str] = {
     "scan_table": "SELECT * FROM nation",
     "run_query": """
@@ -505,7 +531,7 @@ SELECT session_id, session_first_campaign, cmp_brand, cmp_channel, cmp_market, c
 SELECT cluster_name, count(DISTINCT session_id) AS sessions_count FROM session_clusters GROUP BY 1""",
     "market_cluster_cross": """
 SELECT f.market_code, c.cluster_name, count(DISTINCT f.session_id) AS num_sessions
-FROM session_flags f LEFT JOIN session_clusters c ON f.session_id = c.session_id GROUP BY 1, 2""",
+FROM session_flags f LEFT JOIN known_clusters c ON f.session_id = c.session_id GROUP BY 1, 2""",
     "hit_numbering": "SELECT hit_id, session_id, hit_number FROM hit",
     "entrance_exit": """
 SELECT hit_id, session_id,
@@ -568,13 +594,12 @@ SELECT market_code, visit_start_date, count(DISTINCT CASE WHEN enquiry_flag = 1
 SELECT count(DISTINCT CASE WHEN interaction_id = 11 THEN visitor_id END) AS config_completions FROM metric_base""",
     "query_hash": "SELECT session_id, turn, md5(content) AS content_hash FROM query_log",
     "session_upsert": "SELECT * FROM log_sessions",
+    "session_store": "SELECT * FROM log_sessions",
+    "message_store": 'SELECT session_id, turn, message_type, content, "timestamp" FROM query_log',
     "session_info": "SELECT * FROM log_sessions WHERE session_id = 7",
     "recent_sessions": "SELECT * FROM log_sessions ORDER BY last_interaction DESC, session_id LIMIT 10",
-    "query_upsert": """
-SELECT f.query_hash, f.session_id, f.natural_language_query, l.sql_query, l.complexity, l."timestamp"
-FROM (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY arrival, "timestamp", session_id) = 1) f
-JOIN (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY arrival DESC, "timestamp" DESC, session_id DESC) = 1) l
-  ON f.query_hash = l.query_hash""",
+    "query_upsert": QUERY_UPSERT,
+    "query_store": QUERY_UPSERT,
     "conversation_history": 'SELECT session_id, turn, message_type, content, "timestamp" FROM query_log',
     "lookup_by_hash": """
 WITH stored AS (
@@ -602,9 +627,10 @@ FROM (SELECT session_id, turn, CASE WHEN message_type = 'user' THEN concat(natur
       FROM query_log) x WHERE contains(c, '=>')""",
     "match_tables": f"WITH {MATCHED} SELECT question_id, table_name FROM matched",
     "select_catalog": f"""
-WITH {MATCHED} SELECT question_id, 'table' AS kind, table_name AS name FROM matched
-UNION ALL SELECT q.question_id, f.kind, f.name FROM questions q
-CROSS JOIN (SELECT * FROM (VALUES {_fixed_definitions()}) AS t(kind, name)) f""",
+WITH {MATCHED} SELECT question_id, 'table' AS kind, table_name AS name, definition
+FROM matched JOIN (VALUES {_table_definitions()}) AS d(table_name, definition) USING (table_name)
+UNION ALL SELECT q.question_id, f.kind, f.name, f.definition FROM questions q
+CROSS JOIN (SELECT * FROM (VALUES {_fixed_definitions()}) AS t(kind, name, definition)) f""",
     "collect_requests": "SELECT * FROM collected",
     "parse_merged": f"""
 SELECT request_id, {_parse("label", True)}, {_parse("action", True)}, {_parse("category", True)}, button_text FROM collected""",
@@ -614,15 +640,19 @@ SELECT request_id, {_parse("label", False)}, {_parse("action", False)}, {_parse(
     "all_links": "SELECT market_code, link FROM page_links",
     "distinct_links": "SELECT DISTINCT link FROM page_links",
     "path_match_key": "SELECT page_id, lower(replace(url, 'https://', '')) AS path_key FROM pages",
+    # One row per page, the first found: rounds go on until none is new, at whatever depth.
     "link_closure": """
-WITH RECURSIVE reach(page, depth) AS (
-  SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN link_edges e ON r.page = e.src WHERE r.depth < 12)
-SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
+WITH RECURSIVE reach(page, depth) USING KEY (page) AS (
+  SELECT CAST(0 AS BIGINT), 0
+  UNION SELECT DISTINCT e.dst, r.depth + 1 FROM reach r JOIN link_edges e ON r.page = e.src
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach x WHERE x.page = e.dst))
+SELECT page, depth FROM reach""",
     "site_closure": """
-WITH RECURSIVE reach(page, depth) AS (
+WITH RECURSIVE reach(page, depth) USING KEY (page) AS (
   SELECT DISTINCT url, 0 FROM pages WHERE url IS NOT NULL
-  UNION SELECT l.link, r.depth + 1 FROM reach r JOIN page_links l ON r.page = l.url WHERE r.depth < 12)
-SELECT page, min(depth) AS depth FROM reach GROUP BY 1""",
+  UNION SELECT DISTINCT l.link, r.depth + 1 FROM reach r JOIN page_links l ON r.page = l.url
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach x WHERE x.page = l.link))
+SELECT page, depth FROM reach""",
     "clickable": r"""
 SELECT page_id, 'a' AS tag_name, replace(trim(regexp_replace(regexp_extract(e, '>(.*)</a>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS text,
   replace(regexp_extract(e, 'href="([^"]*)"', 1), '&amp;', '&') AS href, CAST(NULL AS VARCHAR) AS classes,
@@ -638,10 +668,14 @@ converted AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHER
 engaged AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE engagement_flag = 1),
 started AS (SELECT DISTINCT session_id FROM session_interaction_nameplate WHERE interaction_id = 5),
 ends AS (SELECT session_id, max(hit_datetime) AS end_at FROM hit GROUP BY 1),
-seen AS (SELECT h.market_code, h.page_path, h.session_id, min(h.hit_datetime) AS came,
+seen AS (SELECT h.market_code, h.page_path, h.session_id, min(h.hit_datetime) AS came, min(h.hit_number) AS first_number,
            max(CASE WHEN h.hit_number = s.total_hits THEN 1 ELSE 0 END) AS exited
-         FROM hit h JOIN session s ON h.session_id = s.session_id GROUP BY 1, 2, 3)
+         FROM hit h JOIN session s ON h.session_id = s.session_id GROUP BY 1, 2, 3),
+after AS (SELECT v.session_id, v.market_code, v.page_path, count(h.hit_id) AS pages_after
+          FROM seen v LEFT JOIN hit h ON h.session_id = v.session_id AND h.hit_type = 'PAGE' AND h.hit_number > v.first_number GROUP BY 1, 2, 3)
 SELECT v.market_code, v.page_path, count(*) AS SessionsCount,
+  round(avg(a.pages_after), 6) AS avg_pages_after_content, round(stddev_samp(a.pages_after), 6) AS stddev_pages_after_content,
+  round(avg(CASE WHEN s.session_number > 1 THEN 1 ELSE 0 END), 6) AS returning_visitor_rate,
   round(avg(s.time_on_site_seconds), 6) AS avg_time_on_site_seconds, round(stddev_samp(s.time_on_site_seconds), 6) AS stddev_time_on_site_seconds,
   round(avg(s.total_page_views), 6) AS avg_pages_viewed, round(stddev_samp(s.total_page_views), 6) AS stddev_pages_viewed,
   round(avg(v.exited), 6) AS exit_rate, round(avg(s.bounced_session), 6) AS bounce_rate,
@@ -650,7 +684,8 @@ SELECT v.market_code, v.page_path, count(*) AS SessionsCount,
   round(avg(CASE WHEN g.session_id IS NULL THEN 0 ELSE 1 END), 6) AS engagement_rate,
   round(avg(CASE WHEN t.session_id IS NULL THEN 0 ELSE 1 END), 6) AS config_start_rate,
   round(avg((epoch_us(x.end_at) - epoch_us(v.came)) / 1e6::DOUBLE), 6) AS avg_seconds_after_content
-FROM seen v JOIN session s ON v.session_id = s.session_id JOIN ends x ON x.session_id = v.session_id
+FROM seen v JOIN session s ON v.session_id = s.session_id
+JOIN after a ON a.session_id = v.session_id AND a.market_code = v.market_code AND a.page_path = v.page_path JOIN ends x ON x.session_id = v.session_id
 LEFT JOIN engaged g ON g.session_id = v.session_id LEFT JOIN started t ON t.session_id = v.session_id
 LEFT JOIN enquired e ON e.session_id = v.session_id LEFT JOIN converted c ON c.session_id = v.session_id
 GROUP BY 1, 2""",

@@ -24,6 +24,7 @@ from sitelens.operators import (
 )
 from sitelens.operators.scope import in_scope
 from sitelens.plans import views
+from sitelens.runtime import scratch_path
 from sitelens.sources import warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -412,7 +413,7 @@ def sessions_per_cluster(spark, root):
 
 @query
 def market_cluster_cross(spark, root):
-    return reports.market_cluster_cross(views.session_flags(spark, root), views.session_clusters(spark, root))
+    return reports.market_cluster_cross(views.session_flags(spark, root), views.known_clusters(spark, root))
 
 
 # --- derived tables and windows -----------------------------------------------------
@@ -590,6 +591,36 @@ def query_upsert(spark, root):
     return history.query_upsert(later, _opening_queries(spark, root).drop("query_hash"))
 
 
+@query
+def session_store(spark, root):
+    """Sessions after the opening messages and the later ones went into a bucketed store one after the other."""
+    path = scratch_path(spark)
+    touches = _touches(spark, root)
+    for some in (touches.where("turn = 0"), touches.where("turn > 0")):
+        history.upsert_sessions(some.drop("turn"), path, 16)
+    return history.read_store(spark, path)
+
+
+@query
+def query_store(spark, root):
+    """Queries after the first turns and the later ones went into a bucketed store one after the other."""
+    path = scratch_path(spark)
+    asked = _asked(spark, root)
+    for some in (asked.where("turn <= 1"), asked.where("turn > 1")):
+        history.upsert_queries(some.drop("turn"), path, 16)
+    return history.read_store(spark, path)
+
+
+@query
+def message_store(spark, root):
+    """The message files after all messages came once, and those of users again."""
+    path = scratch_path(spark)
+    log = views.query_log(spark, root).select("session_id", "turn", "message_type", "content", "timestamp")
+    for some in (log, log.where("message_type = 'user'")):
+        history.store_messages(some, path)
+    return spark.read.parquet(path).drop("day")
+
+
 @query
 def conversation_history(spark, root):
     return history.conversation_history(views.query_log(spark, root)).select(
@@ -667,7 +698,7 @@ def match_tables(spark, root):
 
 @query
 def select_catalog(spark, root):
-    return retrieval.select_catalog(_questions(spark, root), default_schema()).select("question_id", "kind", "name")
+    return retrieval.select_catalog(_questions(spark, root), default_schema())
 
 
 # --- captured requests, links and pages ------------------------------------------------------------
@@ -756,9 +787,8 @@ def keep_check_counts(spark, root):
 
 @query
 def page_metric_stats(spark, root):
-    stats = pagestats.page_metric_stats(
-        views.hit(spark, root), views.session(spark, root), views.session_interaction_nameplate(spark, root)
-    )
+    sessions = visits.session_order(views.session(spark, root))
+    stats = pagestats.page_metric_stats(views.hit(spark, root), sessions, views.session_interaction_nameplate(spark, root))
     exact = ("market_code", "page_path", "SessionsCount")
     return stats.select(*exact, *[F.round(c, 6).alias(c) for c in stats.columns if c not in exact])
 
