@@ -155,7 +155,7 @@ def in_runs(
         return Runs(df, tuple(keys), False)
     marked = keyed.join(borders, F.col("_key").eqNullSafe(F.col("_hot_key")), "left")
     cut = F.col("_borders").isNotNull()
-    run = F.when(cut, _borders_up_to(F.col("_borders"), moment, most)).otherwise(0)
+    run = F.when(cut, borders_up_to(F.col("_borders"), moment, most)).otherwise(0)
     return Runs(marked.select(*df.columns, "_key", run.alias("_run"), cut.alias("_is_cut")), ("_key", "_run"), True)
 
 
@@ -165,7 +165,7 @@ def _bounded(df: DataFrame) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if found else None
 
 
-def _borders_up_to(borders: Column, value: Column, most: int) -> Column:
+def borders_up_to(borders: Column, value: Column, most: int) -> Column:
     """How many of the sorted ``borders`` are not above ``value``, by halving."""
     steps = F.lit([1 << i for i in reversed(range(most.bit_length()))])
     return F.aggregate(

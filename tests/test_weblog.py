@@ -114,6 +114,29 @@ def test_clickable(spark):
     assert rows(link) == [("Explore now", "/p", "_blank")]
 
 
+def test_pages_seen_are_not_shuffled_again(spark):
+    """A round brings its own pages to those of the rounds before, which stay where they are."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("-1", "false")):
+            spark.conf.set(k, v)
+        seen = [crawl._settled(spark.range(a, a + 500).select(F.col("id").alias("page"), F.lit(0).alias("depth"))) for a in (0, 500, 1000)]
+        fresh = crawl.unseen(spark.range(400, 1700).select(F.col("id").alias("page")).distinct(), seen)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 3
+        assert sorted(r.page for r in fresh.collect()) == list(range(1500, 1700))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rounds_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "MERGED", 2)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(5, 0), (3, 3)], "src long, dst long")
+    assert {r.page: r.depth for r in crawl.link_closure(chain, [0]).collect()} == {i: i for i in range(10)}
+
+
 def test_link_closure(spark):
     chain = [(i, i + 1) for i in range(20)] + [(20, 0), (5, 5), (99, 100), (3, 50), (0, 50)]
     hub = [(50, 1000 + i) for i in range(300)]
