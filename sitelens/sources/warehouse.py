@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +92,67 @@ def scan_cost(spark: SparkSession, *paths: str, usd_per_tb: float = USD_PER_TB)
     return cost_columns(total, usd_per_tb)
 
 
+def query_scans(df: DataFrame) -> list[tuple[str, list[str]]]:
+    """(file, top-level columns) of every parquet file that ``df`` would read, once per scan, without running it.
+
+    Read off the physical plan, so partitions that filters rule out and columns that nothing
+    needs are left out; scalar and other subqueries are included.
+    """
+    execution = df._jdf.queryExecution()
+    session = df.sparkSession._jsparkSession
+    plans, found = [execution.sparkPlan()], []
+    subqueries = execution.optimizedPlan().subqueriesAll()
+    for i in range(subqueries.size()):
+        plans.append(session.sessionState().executePlan(subqueries.apply(i), execution.mode()).sparkPlan())
+    while plans:
+        node = plans.pop()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            columns = list(node.requiredSchema().fieldNames())
+            found += [(f.filePath().toString(), columns) for f in node.selectedPartitions().toPartitionArray()]
+        children = node.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def query_cost(df: DataFrame, usd_per_tb: float = USD_PER_TB) -> DataFrame:
+    """Bytes, terabytes and price of the column chunks that a query over parquet files would read.
+
+    The files' footers are read as rows of a Spark job, a few thousand bytes each; the query itself does not run.
+    A scan of the same file in two places counts twice, as it is read twice. A query that needs
+    no column, such as a count of rows, reads footers alone and costs nothing.
+    """
+    spark = df.sparkSession
+    scans = query_scans(df)
+    if not scans:
+        return cost_columns(spark.range(1).select(F.lit(0).cast("bigint").alias("bytes_processed")), usd_per_tb)
+    files = spark.createDataFrame(scans, "path string, columns array<string>")
+    files = files.repartition(min(len(scans), spark.sparkContext.defaultParallelism * 4))
+    sizes = files.mapInPandas(_chunk_bytes, "bytes long").agg(F.sum("bytes").alias("bytes_processed"))
+    return cost_columns(sizes, usd_per_tb)
+
+
+def _chunk_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from urllib.parse import unquote
+
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for frame in frames:
+        sizes = []
+        for path, columns in zip(frame["path"], frame["columns"]):
+            uri = unquote(path)
+            store, place = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+            with store.open_input_file(place) as opened:
+                footer = pq.read_metadata(opened)
+            wanted, size = set(columns), 0
+            for group in map(footer.row_group, range(footer.num_row_groups)):
+                for chunk in map(group.column, range(group.num_columns)):
+                    if chunk.path_in_schema.split(".")[0] in wanted:
+                        size += chunk.total_compressed_size
+            sizes.append(size)
+        yield pd.DataFrame({"bytes": sizes})
+
+
 def cost_columns(sized: DataFrame, usd_per_tb: float = USD_PER_TB) -> DataFrame:
     """Price columns for a frame that has ``bytes_processed``."""
     terabytes = F.col("bytes_processed") / F.lit(BYTES_PER_TB)

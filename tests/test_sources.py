@@ -3,6 +3,7 @@
 import json
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import types as T
 
@@ -102,6 +103,58 @@ def test_scan_cost(spark, tmp_path):
     assert tuple(priced) == (2199023255552, 2.0, 10.0, "$10.000000")
 
 
+def test_query_cost_is_that_of_the_chunks_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.range(20_000).selectExpr("id", "id % 7 AS k", "repeat(md5(string(id)), 3) AS text", "date_add(DATE '2024-01-01', int(id % 4)) AS day")
+    days.repartition(4).write.partitionBy("day").parquet(path)
+    chunks = duckdb.sql(f"SELECT * FROM parquet_metadata('{path}/**/*.parquet')").df()
+
+    def expected(columns, day=""):
+        own = chunks[chunks["path_in_schema"].isin(columns) & chunks["file_name"].str.contains(f"day={day}")]
+        return int(own["total_compressed_size"].sum())
+
+    t = spark.read.parquet(path)
+
+    def cost(sql):
+        return warehouse.query_cost(warehouse.run_query(spark, sql, t=t)).first()
+
+    assert cost("SELECT * FROM {t}").bytes_processed == expected(["id", "k", "text"])
+    assert cost("SELECT k, count(*) FROM {t} GROUP BY k").bytes_processed == expected(["k"])
+    assert cost("SELECT sum(id) FROM {t} WHERE day = DATE '2024-01-02' AND k > 3").bytes_processed == expected(["id", "k"], "2024-01-02")
+    twice = cost("SELECT id FROM {t} WHERE k > (SELECT avg(k) FROM {t})")
+    assert twice.bytes_processed == expected(["id", "k"]) + expected(["k"])
+    assert twice.estimated_cost_usd == pytest.approx(twice.bytes_processed / 1099511627776 * 5)
+    assert cost("SELECT day FROM {t}").bytes_processed == 0
+    assert warehouse.query_cost(spark.range(5)).first().estimated_cost_formatted == "$0.000000"
+
+
+def test_every_cluster_column_prunes(spark, tmp_path):
+    path = tmp_path / "clustered"
+    made = spark.range(150_000).selectExpr(
+        "id", "int(id * 2654435761 % 97) AS property", "concat('s', id * 40503 % 31) AS source", "double(id * 7919 % 53) AS medium",
+        "if(id % 11 = 0, NULL, concat('c', lpad(string(id * 104729 % 64), 2, '0'))) AS campaign", "DATE '2024-01-01' AS day",
+    )
+    columns = ["property", "source", "medium", "campaign"]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "150")  # as row groups of a large file
+    try:
+        files.write_layout(made, str(path), "day", columns)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert spark.read.parquet(str(path)).select(*made.columns).exceptAll(made).isEmpty()
+    ranges = duckdb.sql(f"SELECT path_in_schema AS c, stats_min_value AS low, stats_max_value AS high FROM parquet_metadata('{path}/**/*.parquet')").fetchall()
+    for column, value, kind in (("campaign", "c40", str), ("source", "s17", str), ("medium", 20.0, float), ("property", 50, int)):
+        own = [(kind(low), kind(high)) for c, low, high in ranges if c == column and low is not None]
+        read = sum(low <= value <= high for low, high in own)
+        assert len(own) >= 800 and read <= 0.3 * len(own), (column, read, len(own))
+
+
+def test_layout_of_nulls_and_empty_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, date(2024, 1, 1)), (2, None, date(2024, 1, 1))], "id int, source string, day date")
+    for name, some in (("nulls", df), ("empty", df.limit(0))):
+        files.write_layout(some, str(tmp_path / name), "day", ["source", "id"])
+    assert spark.read.parquet(str(tmp_path / "nulls")).count() == 2
+
+
 def test_layout_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "session")
     data = [(f"s{i}", date(2024, 1, 1 + i % 5), "US" if i % 2 else "GB") for i in range(100)]
