@@ -387,6 +387,14 @@ JOIN (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY query_hash ORD
   ON f.query_hash = l.query_hash"""
 
 STATEMENTS: dict[str, str] = {
+    "preview": """
+SELECT count(*) AS row_count, 'event_id, ts, user_id, event_type, value, props' AS column_names, least(count(*), 10) AS preview_rows FROM events""",
+    "page_metrics_csv": "SELECT market_code, page_path, SessionsCount, sessions_bounced FROM page_metrics",
+    "feedback_file": """
+SELECT content AS sql_query, query_hash AS corrections FROM query_log WHERE message_type IN ('user', 'assistant')""",
+    "clustered_layout": """
+SELECT session_id, visit_start_date, source, medium, campaign, market_code FROM session
+WHERE visit_start_date = DATE '2024-01-09' AND source = 'google'""",
     "scan_table": "SELECT * FROM nation",
     "run_query": """
 SELECT session_id, visitor_id, total_hits FROM session WHERE brand = 'Alpha' ORDER BY total_hits DESC, session_id LIMIT 1000""",

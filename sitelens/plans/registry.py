@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from sitelens.operators import (
 from sitelens.operators.scope import in_scope
 from sitelens.plans import views
 from sitelens.runtime import scratch_path
-from sitelens.sources import warehouse
+from sitelens.sources import files, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +88,60 @@ def scan_cost(spark, root):
     return warehouse.scan_cost(spark, *[f"{root}/{t}.parquet" for t in tables])
 
 
+@query
+def query_cost(spark, root):
+    """What three queries over the given tables would read, none of them run."""
+    texts = {
+        "one column": "SELECT count(DISTINCT user_id) AS n FROM {events}",
+        "all columns": "SELECT * FROM {events}",
+        "a join": "SELECT d.lang, count(*) AS n FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1 GROUP BY 1",
+    }
+    tables = {t: warehouse.scan_table(spark, root, t) for t in ("events", "documents", "labels")}
+    costs = [
+        warehouse.query_cost(warehouse.run_query(spark, text, **tables)).select(F.lit(name).alias("query"), "*")
+        for name, text in texts.items()
+    ]
+    return reduce(DataFrame.unionByName, costs)
+
+
+@query
+def preview(spark, root):
+    shown = warehouse.preview(warehouse.scan_table(spark, root, "events"))
+    row = (shown["row_count"], ", ".join(shown["columns"]), len(shown["preview_data"]))
+    return spark.createDataFrame([row], "row_count long, column_names string, preview_rows long")
+
+
+@query
+def page_metrics_csv(spark, root):
+    """Page metrics written as CSV and read back with lower-case column names."""
+    path = scratch_path(spark)
+    metrics = views.page_metrics(spark, root).select("market_code", "page_path", "SessionsCount", "sessions_bounced")
+    files.write_csv(metrics.withColumnsRenamed({"market_code": "Market_Code", "page_path": "Page_Path"}), path)
+    return files.read_page_metrics(spark, path, metrics.schema)
+
+
+@query
+def feedback_file(spark, root):
+    """Feedback appended to JSON lines in two batches and read back."""
+    path = scratch_path(spark)
+    log = views.query_log(spark, root)
+    for kind in ("user", "assistant"):
+        some = log.where(F.col("message_type") == kind)
+        files.append_feedback(some.select(F.col("content").alias("sql_query"), F.col("query_hash").alias("corrections")), path)
+    return spark.read.schema("sql_query string, corrections string").json(path)
+
+
+@query
+def clustered_layout(spark, root):
+    """One day of sessions, read from a layout by day that is clustered by four columns."""
+    path = scratch_path(spark)
+    columns = ["source", "medium", "campaign", "market_code"]
+    sessions = views.session(spark, root).select("session_id", "visit_start_date", *columns)
+    files.write_layout(sessions, path, "visit_start_date", columns)
+    day = spark.read.parquet(path).where("visit_start_date = DATE '2024-01-09' AND source = 'google'")
+    return day.select("session_id", "visit_start_date", *columns)
+
+
 # --- flagship ------------------------------------------------------------------
 
 
