@@ -4,7 +4,7 @@ The tokenizers cut a text into pieces before they look at the vocabulary, and
 no merge crosses a cut. A text is cut here only where the tokenizer cuts as
 well: before a space that follows a word, and between letters and the ASCII
 signs after them. Each distinct word goes to the tokenizer once per worker;
-its ids are kept as bytes. What is remembered is bounded: a full memory is
+its ids are kept as bytes. What is remembered is bounded in bytes: a full memory is
 emptied and fills again.
 """
 
@@ -29,19 +29,24 @@ WORDS = re.compile(f"[^{SPACE}]+")
 CONTROL = re.compile("[\x1c-\x1f]")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SURE = "؀"  # letters below are letters in every version of Unicode
-KNOWN, PARTS = 900_000, 1_200_000
+#: Bytes of memory for words and their parts, and what an entry takes beside its letters and ids.
+MEMORY, ENTRY = 256 << 20, 190
+
+
+#: Longer words are not remembered: they hardly come again.
+LONG = 200
 
 
 class Pieces:
     """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, spaced: bool, width: int = 4, limit: int = KNOWN):
+    def __init__(self, path: str, spaced: bool, width: int = 4, limit: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.limit = spaced, limit
+        self.spaced, self.limit, self.held = spaced, limit, 0
         self.width, self.kind = width, f"<u{width}"
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -54,7 +59,10 @@ class Pieces:
         got = self.parts.get(piece)
         if got is None:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            got = self.parts[piece] = np.array(ids, self.kind).tobytes()
+            got = np.array(ids, self.kind).tobytes()
+            if len(piece) < LONG:
+                self.parts[piece] = got
+                self.held += ENTRY + len(piece) + len(got)
         return got
 
     def encode_letters(self, words: list[str]) -> None:
@@ -69,6 +77,7 @@ class Pieces:
             cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
             cuts = [self.width * c for c in cuts]
             raw = ids.astype(self.kind).tobytes()
+            self.held += len(some) * ENTRY + len(text) + len(raw)
             self.parts.update(zip(map(self.lead, some), map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def lead(self, word: str) -> str:
@@ -81,19 +90,26 @@ class Pieces:
             return core, word[len(core) :]
         return None
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words, which are remembered unless they are very long."""
         cut = {w: self.ends(w) for w in words}
-        new = {c[0] for c in cut.values() if c and c[0].isalpha()}
-        if len(self.parts) + len(new) > PARTS:
-            self.parts.clear()
+        new = {c[0] for c in cut.values() if c and c[0].isalpha() and len(c[0]) < LONG}
         self.encode_letters([w for w in new if self.lead(w) not in self.parts])
+        learnt = {}
         for word, c in cut.items():
             if c:
-                self.words[word] = self.encode(self.lead(c[0])) + (self.encode(c[1]) if c[1] else b"")
+                learnt[word] = self.encode(self.lead(c[0])) + (self.encode(c[1]) if c[1] else b"")
             elif self.spaced:
-                self.words[word] = b"".join(map(self.encode, PIECES.findall(" " + word)))
+                learnt[word] = b"".join(map(self.encode, PIECES.findall(" " + word)))
             else:
-                self.words[word] = self.encode(word)
+                learnt[word] = self.encode(word)
+        kept = {w: i for w, i in learnt.items() if len(w) < LONG}
+        self.words.update(kept)
+        self.held += sum(ENTRY + len(w) + len(i) for w, i in kept.items())
+        return learnt
+
+    def forget(self) -> None:
+        self.words, self.parts, self.held = {}, {}, 0
 
     def split(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what comes first, and the words that follow."""
@@ -111,12 +127,11 @@ class Pieces:
         first, words = self.split(text)
         ids = list(map(self.words.get, words))
         if None in ids:
-            new = {w for w, i in zip(words, ids) if i is None}
-            if len(self.words) + len(new) > self.limit:  # what is emptied is wanted again
-                self.words.clear()
-                new = set(words)
-            self.learn(new)
-            ids = list(map(self.words.__getitem__, words))
+            if self.held > self.limit:  # what is emptied is wanted again
+                self.forget()
+                ids = [None] * len(words)
+            learnt = self.learn({w for w, i in zip(words, ids) if i is None})
+            ids = [learnt[w] if i is None else i for w, i in zip(words, ids)]
         return first + b"".join(ids)
 
 

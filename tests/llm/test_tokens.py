@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sitelens.llm import packing, rans, token_files
+from sitelens.llm import packing, pieces, rans, token_files
 from sitelens.llm.pieces import Pieces, tokenizer_path
 
 LETTERS = "ab1é '’s.,!“€²½ \n\t  Σσ́中あΩİ \x85☃😀_-tre'll\x1c\x00"
@@ -110,3 +110,11 @@ def test_token_files(spark):
         start += len(ids)
     folder = token_files.write_tokens(df.limit(0), token_files.shared_folder(spark))
     assert token_files.read_tokens(spark, folder).count() == 0
+
+
+def test_memory_is_bounded_in_bytes():
+    encode = Pieces(tokenizer_path("word_bpe_49k.json"), False, limit=200_000)
+    for i in range(40):
+        encode(" ".join(f"word{i}x{j}" for j in range(200)) + " " + "long" * 300)
+        assert encode.held <= 400_000 and all(len(w) < pieces.LONG for w in encode.words)
+        assert encode.held >= sum(map(len, encode.words)) + sum(map(len, encode.words.values()))
