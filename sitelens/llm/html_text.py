@@ -47,16 +47,31 @@ WORDS = frozenset(
     "modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond disqus "
     "reply replies pagination pager toolbar skip".split()
 )
+#: What a name ends with that only holds the thing named before; what undoes the word after it; whose header is the article's own.
+HOLDERS = frozenset("list slot box container wrapper wrap area block section unit bar panel item items link links zone inner outer body group row buttons icons posts widgets".split())
+UNDONE = frozenset("has no with without".split())
+TITLED = frozenset("entry post article section story content title".split())
 KEPT = frozenset(("article", "main"))
 BOXES = frozenset("div section ul ol dl table figure fieldset center".split())
 
 
+def called(token: str) -> bool:
+    """Whether a class or id names something beside the article, by its head word: top-menu, comment-list, but not has-sidebar."""
+    if token in WORDS:
+        return True
+    parts = re.split("[-_]+", token)
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    before = parts[-2] if len(parts) > 1 else ""
+    return parts[-1] in WORDS and before not in UNDONE and not (parts[-1] == "header" and before in TITLED)
+
+
 def named(attributes: str) -> bool:
     """Whether an element says itself that it is no part of the article."""
     for m in NAMED.finditer(attributes):
         name, value = (m.group(1) or "").lower(), (m.group(2) or "").strip("\"'").lower()
         if name in ("class", "id"):
-            if not WORDS.isdisjoint(value.split()):
+            if any(map(called, value.split())):
                 return True
         elif name == "role":
             if value in ROLES:

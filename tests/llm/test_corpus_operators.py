@@ -267,6 +267,22 @@ def test_wrappers_stay(page):
     assert texts == ["Head", "Body of it."]
 
 
+@pytest.mark.parametrize(
+    "name",
+    "top-menu main-nav site-footer left-sidebar cookie-banner comment-list ad-slot comments-area share-buttons page_header nav-links".split(),
+)
+def test_head_word_of_a_name_counts(name):
+    beside = f"<div class='{name}'><p>Beside</p></div>"
+    texts, _ = html_text.parsed(f"<html><body>{beside}<h1>Head of it</h1><p>Body of it, which is longer.</p></body></html>")
+    assert texts == ["Head of it", "Body of it, which is longer."]
+
+
+@pytest.mark.parametrize("name", "has-sidebar no-comments without-ads entry-header post-header main-content comment-free no-comments-area advertiser".split())
+def test_other_names_stay(name):
+    texts, _ = html_text.parsed(f"<html><body><div id='{name}'><h1>Head</h1></div><p>Body of it, which is longer.</p></body></html>")
+    assert texts == ["Head", "Body of it, which is longer."]
+
+
 # toxicity
 
 
