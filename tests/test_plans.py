@@ -5,6 +5,7 @@ import re
 import pytest
 
 from sitelens.operators import funnel, metrics, reports, visits
+from sitelens.operators.skew import numbered
 from sitelens.plans import views
 from sitelens.plans.registry import CTR_LABELS, FUNNEL_PAGES
 from sitelens.sources import files
@@ -76,13 +77,19 @@ def test_distinct_counts_do_not_expand_rows(spark, stored):
 
 
 def test_numbering_shuffles_the_hits_once(stored):
-    """One exchange carries the rows; the other two carry slice counts."""
-    text = plan(visits.hit_numbering(stored[0].select("hit_id", "session_id", "hit_datetime")))
-    carriers = [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text) if "_slice" in e]
-    assert len(carriers) == 2  # rows by (key, slice), and slice counts by (key, slice)
+    """One exchange carries the rows; with a hot key cut into runs the others carry one row per run."""
+    hits = stored[0].select("hit_id", "session_id", "hit_datetime", "hit_type")
+    for found in (visits.hit_numbering(hits), visits.entrance_exit(hits)):
+        text = plan(found)
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+        assert "Window [" in text and "Join" not in text
+    text = plan(numbered(hits, ["session_id"], "hit_datetime", ["hit_id"], "n", 1000, 2))
+    carriers = [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text) if "_run" in e]
+    assert len(carriers) == 2  # rows by (key, run), and counts by (key, run)
     assert "Window [row_number()" in text and "CartesianProduct" not in text
 
 
+
 def test_bucketed_tables_join_without_shuffle(spark, stored):
     hits, sessions = stored
     files.write_bucketed(hits.select("session_id", "hit_id"), "bucketed_hit", "session_id", 4, ["hit_id"])
