@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import decontaminate, jaccard, packing, secrets, toxicity
-from sitelens.llm.common import keyed, table, written
+from sitelens.llm.common import keyed, spare, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    own = keyed(docs)
-    kept = jaccard.near_duplicates(own, key="_key").where("first").select(F.col("row").alias("_key"))
-    return own.join(kept, "_key", "left_semi").select(docs.columns)
+    key = spare("_key", docs.columns)
+    own = keyed(docs, key)
+    kept = jaccard.near_duplicates(own, key=key).where("first").select(F.col("row").alias(key))
+    return own.join(kept, key, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut_lineage", "keyed", "lower_ascii", "plain", "shared_folder", "table", "word_bytes", "written"]
+__all__ = ["arrow_rows", "cut_lineage", "keyed", "lower_ascii", "plain", "shared_folder", "spare", "table", "word_bytes", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -30,6 +30,14 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so (Spark does not tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new place in the folder that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(spark)

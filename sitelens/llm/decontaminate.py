@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sitelens.llm.common import lower_ascii, plain
+from sitelens.llm.common import lower_ascii, plain, spare
 
 WINDOW = 10
 GROUP_CHARS = 4_000_000
@@ -135,7 +135,7 @@ def find_contamination(
 
     ``hits`` holds the found passages as spans of the original text, code
     points, end exclusive. Null and empty texts have no words and no hits; an
-    empty benchmark finds nothing; items with a null id mark words but add no
+    empty benchmark finds nothing; an empty table gives no rows; items with a null id mark words but add no
     id; repeated documents are judged each by itself, repeated items count once
     per id. Columns of ``documents`` named like a result are replaced by it.
     """
@@ -145,17 +145,18 @@ def find_contamination(
     chars = parts.agg(F.sum(F.length("window") + 2)).first()[0] or 0
     groups = max(1, -(-chars // group_chars))
     results = ("n_words", "n_hit", "item_ids", "hits", "contaminated")
-    kept = [c for c in documents.columns if c not in (*results, "doc_row")]
+    kept = [c for c in documents.columns if c not in results]
+    row = spare("doc_row", kept)
     text = F.col("`text`").cast("string") if "text" in documents.columns else F.lit(None).cast("string")
     if groups == 1:
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in parts.collect()])
         return _one_scan(documents, kept, text, shared)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(groups)))
-    rows = documents.select(*(f"`{c}`" for c in kept)).withColumn("doc_row", F.monotonically_increasing_id())
+    rows = documents.select(*(f"`{c}`" for c in kept)).withColumn(row, F.monotonically_increasing_id())
     found = None
     for g in range(groups):
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in parts.where(F.col("part") == g).collect()])
-        own = rows.select("doc_row", text.alias("text")).mapInArrow(_scanner(shared), SCHEMA)
+        own = rows.select(F.col(row).alias("doc_row"), text.alias("text")).mapInArrow(_scanner(shared), SCHEMA)
         found = own if found is None else found.unionByName(own)
     met = found.groupBy("doc_row").agg(
         F.max("n_words").alias("n_words"),
@@ -163,13 +164,13 @@ def find_contamination(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to", "spans")))).alias("ranges"),
     )
     met = met.withColumn("ranges", merged("ranges")).select(
-        "doc_row",
+        F.col("doc_row").alias(row),
         "n_words",
         "item_ids",
         F.aggregate("ranges", F.lit(0), lambda n, r: n + r["hit_to"] - r["hit_from"]).cast("long").alias("n_hit"),
         F.transform("ranges", lambda r: r["spans"]).alias("hits"),
     )
-    return rows.join(met, "doc_row").select(
+    return rows.join(met, row).select(
         *(f"`{c}`" for c in kept),
         "n_words",
         "n_hit",
@@ -200,11 +201,12 @@ def merged(ranges):
 
 def _one_scan(documents: DataFrame, kept: list[str], text, shared) -> DataFrame:
     """All in one pass over the rows, no shuffle: the columns travel with the text."""
-    own = documents.select(*(f"`{c}`" for c in kept), text.alias("_text"))
+    working = spare("_text", kept)
+    own = documents.select(*(f"`{c}`" for c in kept), text.alias(working))
     added = StructType.fromDDL(
         "n_words long, n_hit long, item_ids array<string>, hits array<struct<start:int,end:int>>, contaminated boolean"
     )
-    out = StructType(own.drop("_text").schema.fields + added.fields)
+    out = StructType(own.drop(working).schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = automaton(shared.value)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sitelens.llm.common import plain, table
+from sitelens.llm.common import plain, spare, table
 
 #: In the order in which spans of equal start are listed; the first four are always reported.
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
@@ -129,14 +129,15 @@ def find_pii(documents: DataFrame, threshold: float = THRESHOLD, keep_text: bool
     """Rows of ``documents`` with ``pii``: array of (kind, start, end, value, score).
 
     Null and empty texts have an empty array; repeated rows are kept and judged
-    alike; a column named ``pii`` is replaced. Spans of one kind never overlap,
-    spans of different kinds may.
+    alike; a column named ``pii`` is replaced; an empty table gives no rows. Spans
+    of one kind never overlap, spans of different kinds may.
     """
     kept = [c for c in documents.columns if c != "pii" and (keep_text or c != "text")]
     text = F.col("`text`").cast("string") if "text" in documents.columns else F.lit(None).cast("string")
-    own = documents.select(*(f"`{c}`" for c in kept), text.alias("_text"))
+    working = spare("_text", kept)
+    own = documents.select(*(f"`{c}`" for c in kept), text.alias(working))
     kind = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
-    out = StructType(own.drop("_text").schema.fields + StructType.fromDDL(f"pii {kind}").fields)
+    out = StructType(own.drop(working).schema.fields + StructType.fromDDL(f"pii {kind}").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]

@@ -102,7 +102,7 @@ def find_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     ``reach`` code points at most, or any number between two lines of one run of
     settings. Null and empty texts have an empty
     array; repeated rows are kept, each judged by itself; a column named
-    ``secrets`` is replaced. A weak secret needs an access identifier or an
+    ``secrets`` is replaced; an empty table gives no rows. A weak secret needs an access identifier or an
     identifier in reach, an identifier a secret, an endpoint both.
     """
     kept = [c for c in documents.columns if c != "secrets"]

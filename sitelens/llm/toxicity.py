@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sitelens.llm.common import plain, table
+from sitelens.llm.common import plain, spare, table
 
 #: The bounded sample that the model is fitted on: documents of each label, and the longest text taken.
 SAMPLE = {1: 1200, 0: 2400}
@@ -189,16 +189,17 @@ def score_documents(
     Every whole text is scored; null and empty ones score 0. Repeated rows are
     kept and score alike. Without labels of both kinds nothing is learnt and
     every score is near the starting bias. Columns named like a result are
-    replaced.
+    replaced; an empty table gives no rows.
     """
     results = ("score", "predicted", "toxic_spans")
     rows = training_rows(documents, labels, sample or SAMPLE, chars)
     shared = documents.sparkSession.sparkContext.broadcast(fit([r[0] for r in rows], [r[1] for r in rows]))
     kept = [c for c in documents.columns if c not in results and (keep_text or c != "text")]
     text = F.col("`text`").cast("string") if "text" in documents.columns else F.lit(None).cast("string")
-    own = documents.select(*(f"`{c}`" for c in kept), text.alias("_text"))
+    working = spare("_text", kept)
+    own = documents.select(*(f"`{c}`" for c in kept), text.alias(working))
     added = StructType.fromDDL("score double, predicted int, toxic_spans array<struct<start:int,end:int,score:double>>")
-    out = StructType(own.drop("_text").schema.fields + added.fields)
+    out = StructType(own.drop(working).schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

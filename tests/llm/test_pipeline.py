@@ -5,9 +5,11 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sitelens.llm import toxicity
+from sitelens.llm.common import written
 from tests.llm.test_corpus_operators import groups
 from tests.llm.test_text_operators import contamination
 
@@ -100,3 +102,15 @@ def test_pieces_are_packed(spark, kept):
     assert max(filled.values()) <= 2048 and len(filled) == -(-sum(filled.values()) // 2048)
     whole = corpus_pipeline.run(spark, kept[0])
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in pieces)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "t", "k"), (1, None, "t", "k"), (None, "", None, None), (2, "one two", "t", "k")]])
+def test_stages_of_few_rows_and_clashing_columns(spark, kept, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _key string")
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    given = sorted(map(repr, map(tuple, docs.collect())))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, kept[0]))
+        assert sorted(map(repr, map(tuple, docs.collect()))) == given, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, kept[0])
+    assert pieces.count() == len(rows)
