@@ -716,6 +716,37 @@ moments AS (
 tested AS (SELECT market_code, metric, n, n / 6.0::DOUBLE * (power(m3 / power(m2, 1.5), 2) + power(m4 / power(m2, 2) - 3, 2) / 4) AS jb FROM moments)
 SELECT market_code, metric, n, round(jb, 4) AS jarque_bera, round(exp(-jb / 2), 6) AS jarque_bera_p,
   CASE WHEN exp(-jb / 2) > 0.05 THEN 1 ELSE 0 END AS is_normal FROM tested""",
+    "shapiro_test": """
+WITH long AS (
+  SELECT market_code, session_id, 'time_on_site_seconds' AS metric, time_on_site_seconds::DOUBLE AS x FROM session
+  UNION ALL SELECT market_code, session_id, 'total_hits', total_hits::DOUBLE FROM session),
+ranked AS (
+  SELECT market_code, metric, x, (row_number() OVER (PARTITION BY market_code, metric ORDER BY x, session_id) - 0.375::DOUBLE)
+    / (count(*) OVER (PARTITION BY market_code, metric) + 0.25::DOUBLE) AS p FROM long WHERE x IS NOT NULL),
+parts AS (SELECT *, p - 0.5::DOUBLE AS q, power(p - 0.5::DOUBLE, 2) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM ranked),
+scored AS (  -- fixed values: coefficients of the normal quantile
+  SELECT market_code, metric, x, CASE WHEN abs(q) <= 0.47575 THEN
+    (((((-39.69683028665376::DOUBLE * r + 220.9460984245205::DOUBLE) * r - 275.9285104469687::DOUBLE) * r + 138.3577518672690::DOUBLE) * r
+       - 30.66479806614716::DOUBLE) * r + 2.506628277459239::DOUBLE) * q
+    / (((((-54.47609879822406::DOUBLE * r + 161.5858368580409::DOUBLE) * r - 155.6989798598866::DOUBLE) * r + 66.80131188771972::DOUBLE) * r
+       - 13.28068155288572::DOUBLE) * r + 1)
+    ELSE -sign(q) * (((((-0.007784894002430293::DOUBLE * t - 0.3223964580411365::DOUBLE) * t - 2.400758277161838::DOUBLE) * t
+       - 2.549732539343734::DOUBLE) * t + 4.374664141464968::DOUBLE) * t + 2.938163982698783::DOUBLE)
+    / ((((0.007784695709041462::DOUBLE * t + 0.3224671290700398::DOUBLE) * t + 2.445134137142996::DOUBLE) * t
+       + 3.754408661907416::DOUBLE) * t + 1) END AS score FROM parts),
+tested AS (
+  SELECT market_code, metric, count(*) AS n, CASE WHEN min(x) < max(x) THEN power(corr(x, score), 2) END AS w FROM scored GROUP BY 1, 2),
+z AS (
+  SELECT *, (ln(1 - w) - (-1.2725::DOUBLE + 1.0521::DOUBLE * (ln(ln(n)) - ln(n)))) / (1.0308::DOUBLE - 0.26758::DOUBLE * (ln(ln(n)) + 2 / ln(n))) AS z
+  FROM tested WHERE n >= 5 AND w < 1),
+halves AS (SELECT *, 1 / (1 + abs(z) / (2 * sqrt(2.0::DOUBLE))) AS t FROM z),
+tails AS (  -- fixed values: coefficients of the complementary error function
+  SELECT *, t * exp(-z * z / 2 - 1.26551223::DOUBLE + t * (1.00002368::DOUBLE + t * (0.37409196::DOUBLE + t * (0.09678418::DOUBLE
+    + t * (-0.18628806::DOUBLE + t * (0.27886807::DOUBLE + t * (-1.13520398::DOUBLE + t * (1.48851587::DOUBLE + t * (-0.82215223::DOUBLE
+    + t * 0.17087277::DOUBLE))))))))) / 2 AS tail FROM halves),
+p AS (SELECT market_code, metric, CASE WHEN z >= 0 THEN tail ELSE 1 - tail END AS p FROM tails)
+SELECT a.market_code, a.metric, a.n, round(a.w, 6) AS shapiro_w, round(p.p, 6) AS shapiro_p, CASE WHEN p.p > 0.05 THEN 1 ELSE 0 END AS is_normal
+FROM tested a LEFT JOIN p ON a.market_code IS NOT DISTINCT FROM p.market_code AND a.metric = p.metric""",
     "analyze_ctr": """
 SELECT element, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks,
   round(sum(clicks) * 100.0::DOUBLE / nullif(sum(impressions), 0), 6) AS ctr FROM element_stats GROUP BY 1""",

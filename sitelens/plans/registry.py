@@ -863,6 +863,12 @@ def normality_test(spark, root):
     )
 
 
+@query
+def shapiro_test(spark, root):
+    tested = pagestats.shapiro_francia(views.session(spark, root), ["time_on_site_seconds", "total_hits"], "session_id")
+    return tested.withColumn("shapiro_w", F.round("shapiro_w", 6)).withColumn("shapiro_p", F.round("shapiro_p", 6))
+
+
 # --- periods and hypotheses ---------------------------------------------------------------------------
 
 

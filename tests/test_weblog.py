@@ -1,10 +1,14 @@
 """Captured requests, links, clickable elements and reachable pages."""
 
+import math
+import random
 import re
 from html.parser import HTMLParser
+from statistics import NormalDist, correlation
 
 from pyspark.sql import functions as F
 
+from sitelens.functions import normal
 from sitelens.functions.urls import parameter
 from sitelens.operators import crawl, pagestats, weblog
 from sitelens.sources import warehouse
@@ -178,6 +182,49 @@ def test_normality(spark):
     assert got["b"].jarque_bera is None and got["b"].is_normal == 0
 
 
+def test_normal_functions(spark):
+    at = [1e-12, 1e-6, 0.01, 0.02425, 0.3, 0.5, 0.7, 0.98, 1 - 1e-6]
+    df = spark.createDataFrame([(p,) for p in [*at, 0.0, 1.0]], "p double")
+    got = [r[0] for r in df.select(normal.quantile(F.col("p"))).collect()]
+    assert got[-2:] == [None, None]
+    assert all(abs(x - NormalDist().inv_cdf(p)) < 1e-7 for x, p in zip(got, at))
+    zs = [-6.0, -1.96, -0.1, 0.0, 0.5, 1.96, 5.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal.upper_tail(F.col("z"))).collect()]
+    assert all(abs(x - math.erfc(z / 2**0.5) / 2) < 2e-7 for x, z in zip(got, zs))
+
+
+def restated_shapiro(values):
+    x, n = sorted(values), len(values)
+    m = [NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(n)]
+    w = correlation(x, m) ** 2
+    u, v = math.log(n), math.log(math.log(n))
+    z = (math.log(1 - w) + 1.2725 - 1.0521 * (v - u)) / (1.0308 - 0.26758 * (v + 2 / u))
+    return w, math.erfc(z / 2**0.5) / 2
+
+
+def test_shapiro_francia(spark):
+    """Against a restatement: normal, skewed and tied values, a hot group cut into runs, and groups without a result."""
+    draw = random.Random(2)
+    groups = {
+        "normal": [draw.gauss(5, 2) for _ in range(400)],
+        "skewed": [draw.expovariate(1) for _ in range(300)],
+        "tied": [float(draw.randint(1, 4)) for _ in range(200)],
+        None: [draw.gauss(0, 1) for _ in range(50)],
+        "hot": [draw.choice([0.0, draw.gauss(0, 1)]) for _ in range(30_000)],
+    }
+    none = {"few": [1.0, 2.0, 3.0, 9.0], "flat": [3.0] * 20, "one": [1.0]}
+    given = [(g, v) for part in (groups, none) for g, values in part.items() for v in values]
+    given += [("normal", None), ("normal", float("nan")), ("skewed", float("inf"))]
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(given)], "market_code string, v double, id long")
+    got = {r.market_code: r for r in pagestats.shapiro_francia(df, ["v"], "id").collect()}
+    for g, values in groups.items():
+        w, p = restated_shapiro(values)
+        assert got[g].n == len(values) and abs(got[g].shapiro_w - w) < 1e-7 and abs(got[g].shapiro_p - p) < 1e-6
+    assert got["normal"].is_normal == 1 and got["skewed"].is_normal == got["hot"].is_normal == 0
+    assert all(got[g].shapiro_p is None and got[g].is_normal == 0 for g in none)
+    assert pagestats.shapiro_francia(df.limit(0), ["v"], "id").count() == 0
+
+
 def test_hard_markup(spark):
     """Quoted '>', references by number, nesting, pages without a site, and pages that never close a tag."""
     html = """<a title="a>b" href="/kept">x</a><a title=' href=/no ' href="/two?a=1&#x26;b=2&#38;c&#x1F600;">y</a>
