@@ -16,7 +16,7 @@ FUNNEL_DIMENSIONS = ("market_code", "page_path", "device_category", "channel_gro
 def page_ctr(
     hits: DataFrame,
     sessions: DataFrame,
-    pages: Sequence[str],
+    pages: Sequence[str] | DataFrame,
     labels: Sequence[str] | DataFrame,
     start: str,
     end: str,
@@ -33,10 +33,11 @@ def page_ctr(
     page) extremes and nothing is joined at hit grain.
 
     Hits of a session share its visitor and its start date, as the table contract
-    says; the date range therefore prunes the later hits too. ``labels`` is a list
-    or a one-column DataFrame of any size.
+    says; the date range therefore prunes the later hits too. ``pages`` and
+    ``labels`` are lists or one-column DataFrames of any size.
     """
-    viewed = in_scope(start, end) & F.col("page_path").isin(*pages)
+    listed = isinstance(pages, DataFrame)
+    viewed = in_scope(start, end) & (F.col("page_path").isNotNull() if listed else F.col("page_path").isin(*pages))
     qualifying = in_scope(brand=brand, markets=markets)
     keys = ["session_id", "visitor_id", "visit_start_date", "market_code", "page_path"]
     relevant = hits.where(viewed)
@@ -48,6 +49,8 @@ def page_ctr(
             F.max("hit_datetime").alias("last_hit"),
             F.max(F.when(F.col("event_label").isin(*labels), F.col("hit_datetime"))).alias("last_click"),
         )
+    if listed:  # tested once per session and page
+        touched = flag_members(touched, "page_path", pages, "on_list", spread=keys).where("on_list = 1").drop("on_list")
     # At most (pages x markets) rows per session are left, so this window is small for any session.
     opened = touched.withColumn("opened", F.min("first_view").over(Window.partitionBy("session_id")))
     attributed = opened.where(F.col("opened").isNotNull()).join(

@@ -12,7 +12,7 @@ from sitelens.functions.campaigns import campaign_components, campaign_objective
 from sitelens.functions.ratios import minutes
 from sitelens.functions.urls import configurator_page, landing_class
 from sitelens.operators.scope import in_scope
-from sitelens.operators.skew import joined_text, numbered
+from sitelens.operators.skew import flag_members, joined_text, numbered
 
 
 def row_count(df: DataFrame, name: str) -> DataFrame:
@@ -101,15 +101,28 @@ def total_minutes(sessions: DataFrame, *dims: str) -> DataFrame:
 
 
 def visitors_by_dims(
-    hits: DataFrame, sessions: DataFrame, pages: Sequence[str], start: str, end: str, brand: str, markets: Sequence[str]
+    hits: DataFrame,
+    sessions: DataFrame,
+    pages: Sequence[str] | DataFrame,
+    start: str,
+    end: str,
+    brand: str,
+    markets: Sequence[str],
 ) -> DataFrame:
     """Visitors per market, page, device, channel and day.
 
     Hits are reduced to distinct (session, visitor, page, day) before the join;
-    the date range is kept on both sides so that both scans prune.
+    the date range is kept on both sides so that both scans prune. ``pages`` is a
+    list or a one-column DataFrame of any size.
     """
-    wanted = in_scope(start, end, brand, markets) & F.col("page_path").isin(*pages)
-    seen = hits.where(wanted).select("session_id", "visitor_id", "market_code", "page_path", "visit_start_date").distinct()
+    listed = isinstance(pages, DataFrame)
+    wanted = in_scope(start, end, brand, markets)
+    if not listed:
+        wanted &= F.col("page_path").isin(*pages)
+    keys = ["session_id", "visitor_id", "market_code", "page_path", "visit_start_date"]
+    seen = hits.where(wanted).select(*keys).distinct()
+    if listed:
+        seen = flag_members(seen, "page_path", pages, "on_list", spread=keys).where("on_list = 1")
     dims = sessions.where(in_scope(start, end)).select("session_id", "device_category", "channel_grouping")
     return (
         seen.join(dims, "session_id")

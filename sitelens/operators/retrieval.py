@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.operators.skew import dealt, parts_by_default, repeated, salted_join
+from sitelens.runtime import cut_lineage
+
 BLOCK_ROWS = 8192
 # Queries measured at a time inside a block; bounds the distance matrix.
 BATCH_ROWS = 1024
@@ -53,7 +56,7 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
         )
     )
 
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+    def in_blocks(df: DataFrame, own: str, other: str) -> DataFrame:
         return df.join(blocks, ["dim", "cell"]).select(
             "dim",
             "cell",
@@ -75,7 +78,7 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
         return _block_nearest(q, c, k)
 
     keys = ["dim", "cell", "qb", "cb"]
-    left, right = dealt(routed, "q", "c"), dealt(stored, "c", "q")
+    left, right = in_blocks(routed, "q", "c"), in_blocks(stored, "c", "q")
     right = right.toDF(*right.columns)
     candidates = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
@@ -225,6 +228,58 @@ def match_tables(questions: DataFrame, catalog: Mapping[str, Mapping], question:
     """
     return questions.select("*", F.explode(_relevant_tables(F.col(question), catalog)).alias("table_name"))
 
+# Signs of the pieces that terms are found by.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` signs in a text, in one pass."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), 1)
+
+
+def match_term_table(questions: DataFrame, terms: DataFrame, question: str = "question") -> DataFrame:
+    """``match_tables`` for a catalog held as rows (table_name, term), of any number.
+
+    The plan is the same for ten terms or a million. Each term is filed under
+    that run of three signs in it that the fewest questions hold (a shorter term
+    under itself); a question is compared only with the terms filed under its own
+    runs, once per different text, and what is found is verified on the whole
+    text. Runs and questions that own many rows are split. A question that is null, empty or
+    mentions no term gets every table; an empty term is in every other question; rows without a
+    table or a term match nothing, and without a table there are no rows. The
+    terms found in one question, and the tables, have to fit one row.
+    """
+    named = terms.where(F.col("table_name").isNotNull())
+    known = named.where(F.col("term").isNotNull()).groupBy(F.lower("term").alias("_term"))
+    known = known.agg(F.collect_set("table_name").alias("_tables"))
+    every = named.agg(F.sort_array(F.collect_set("table_name")).alias("every")).scalar()
+    text = F.lower(question)
+    marked = questions.withColumn("_text_id", F.when(F.length(text) > 0, F.md5(text)))
+    texts = marked.where(F.col("_text_id").isNotNull()).select("_text_id", text.alias("_text")).dropDuplicates(["_text_id"])
+
+    runs = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]))
+    held = texts.select("_text_id", F.explode(runs).alias("_gram"))
+    short = F.length("_term") < GRAM
+    of_term = F.when(short, F.array("_term")).otherwise(F.array_distinct(_grams(F.col("_term"), GRAM)))
+    offered = known.select("_term", "_tables", F.explode(of_term).alias("_gram"))
+    common = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_by")
+    filed = offered.join(common, "_gram", "left").groupBy("_term").agg(F.first("_tables").alias("_tables"), rarest)
+    filed = cut_lineage(filed.select("_term", "_tables", "_by.*").where("_n > 0"))
+    sizes = filed.select("_gram", "_n").distinct()
+    share = F.col("_n") * parts_by_default(questions.sparkSession) / sizes.agg(F.sum("_n")).scalar()
+    hot = sizes.where(share > 1).select("_gram", F.ceil(share).cast("int").alias("parts"))
+    # What no term is filed under goes nowhere.
+    held = held.join(sizes.select("_gram"), "_gram", "left_semi")
+    met = dealt(held, "_gram", hot, ["_text_id"]).join(repeated(filed, "_gram", hot), ["_gram", "salt"])
+    likely = met.groupBy("_text_id").agg(F.collect_list(F.struct("_term", "_tables")).alias("_likely"))
+    true = F.filter("_likely", lambda t: F.contains(F.col("_text"), t["_term"]))
+    found = F.array_distinct(F.flatten(F.transform(true, lambda t: t["_tables"])))
+    matched = texts.join(likely, "_text_id").select("_text_id", found.alias("_found"))
+    own = salted_join(marked, matched, "_text_id", questions.columns)
+    tables = F.when(F.size("_found") > 0, F.col("_found")).otherwise(every)
+    return own.select(*questions.columns, F.explode(tables).alias("table_name"))
+
 
 def select_catalog(questions: DataFrame, schema: Mapping, question: str = "question") -> DataFrame:
     """Per question the definitions of its tables, and always all metrics and relationships.

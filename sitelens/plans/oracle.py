@@ -258,6 +258,9 @@ FUNNEL_PAGES = ", ".join(
 )
 
 
+OFFER_PAGES = "SELECT page_path FROM hit WHERE page_group IN ('offers', 'models')"
+
+
 def with_views(sql: str) -> str:
     """Prefix a statement with the views it names, and the views those name."""
     needed: list[str] = []
@@ -276,13 +279,13 @@ def with_views(sql: str) -> str:
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed) + "\n" + body
 
 
-def _page_ctr(is_cta: str) -> str:
+def _page_ctr(is_cta: str, pages: str = FUNNEL_PAGES) -> str:
     return f"""
 WITH seen AS (
   SELECT h.*, s.bounced_session, s.device_category, s.channel_grouping, s.medium
   FROM scoped_hit h JOIN session s USING (session_id)
   WHERE h.visit_start_date <= DATE '2024-01-28' AND s.visit_start_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-28'
-    AND h.market_code IN ('US', 'CA', 'GB') AND h.page_path IN ({FUNNEL_PAGES})),
+    AND h.market_code IN ('US', 'CA', 'GB') AND h.page_path IN ({pages})),
 pairs AS (
   SELECT v.visitor_id, n.page_path, v.visit_start_date, v.bounced_session = 1 AS bounced, {is_cta} AS clicked
   FROM seen v JOIN hit n ON n.session_id = v.session_id WHERE n.hit_datetime > v.hit_datetime),
@@ -345,8 +348,14 @@ def _terms() -> str:
     return ", ".join(f"('{t}', '{term}')" for t, term in pairs)
 
 
-MATCHED = f"""
-terms AS (SELECT * FROM (VALUES {_terms()}) AS t(table_name, term)),
+LINK_TERMS = """
+SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS table_name, lower(regexp_extract(link, '/([^/?#]+)$', 1)) AS term
+FROM page_links WHERE regexp_extract(link, '/([^/?#]+)$', 1) <> ''"""
+
+
+def _matched(terms: str) -> str:
+    return f"""
+terms AS ({terms}),
 questions AS (
   SELECT concat(session_id, '-', turn) AS question_id,
     concat(content, CASE turn % 6 WHEN 0 THEN ' by device_category' WHEN 2 THEN ' per Month_ID' ELSE '' END) AS content
@@ -358,6 +367,9 @@ matched AS (SELECT question_id, table_name FROM found UNION ALL
 """
 
 
+MATCHED = _matched(f"SELECT * FROM (VALUES {_terms()}) AS t(table_name, term)")
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
@@ -405,6 +417,11 @@ FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'), (2, 'user_id
   (4, 'value', 'double'), (5, 'props', 'string')) AS t(position, column_name, data_type)""",
     "page_ctr": _page_ctr("n.event_label IN ('BUILD YOUR OWN :: cta-content', 'FIND OUT MORE :: cta-content')"),
     "ctr_by_label": _page_ctr("n.event_label IN (SELECT event_label FROM hit WHERE event_label LIKE '%:: cta-content')"),
+    "ctr_by_captured_label": _page_ctr(
+        f"""n.event_label IN (SELECT concat(regexp_replace(event_label, ' [0-9]+$', ''), ' :: cta-content')
+      FROM (SELECT {_parse("label", True)} FROM collected))""",
+        OFFER_PAGES,
+    ),
     "session_count": """
 SELECT count(DISTINCT session_id) AS num_sessions FROM scoped_session WHERE market_code IN ('GB', 'DE', 'US', 'IT')""",
     "total_pageviews": """
@@ -451,6 +468,10 @@ ORDER BY sequence_count DESC, min(session_id) LIMIT 10""",
 SELECT h.market_code, page_path, device_category, channel_grouping, h.visit_start_date, count(DISTINCT h.visitor_id) AS total_visitors
 FROM scoped_hit h JOIN scoped_session s USING (session_id)
 WHERE h.market_code IN ('US', 'CA', 'GB') AND page_path IN ({FUNNEL_PAGES}) GROUP BY ALL""",
+    "visitors_of_listed_pages": f"""
+SELECT h.market_code, page_path, device_category, channel_grouping, h.visit_start_date, count(DISTINCT h.visitor_id) AS total_visitors
+FROM scoped_hit h JOIN scoped_session s USING (session_id)
+WHERE h.market_code IN ('US', 'CA', 'GB') AND page_path IN ({OFFER_PAGES}) GROUP BY ALL""",
     "weekly_visitors": """
 SELECT h.market_code, campaign, channel_grouping, medium, referrer, h.visit_start_date,
   CAST(h.visit_start_date - CAST(dayofweek(h.visit_start_date) AS INT) AS DATE) AS week, count(DISTINCT h.visitor_id) AS total_users
@@ -634,6 +655,7 @@ SELECT session_id, turn, regexp_replace(left(c, instr(c, '=>') - 1), '^[\s\p{Z}]
 FROM (SELECT session_id, turn, CASE WHEN message_type = 'user' THEN concat(natural_language_query, ' => ', content) ELSE content END AS c
       FROM query_log) x WHERE contains(c, '=>')""",
     "match_tables": f"WITH {MATCHED} SELECT question_id, table_name FROM matched",
+    "match_term_table": f"WITH {_matched(LINK_TERMS)} SELECT question_id, table_name FROM matched",
     "select_catalog": f"""
 WITH {MATCHED} SELECT question_id, 'table' AS kind, table_name AS name, definition
 FROM matched JOIN (VALUES {_table_definitions()}) AS d(table_name, definition) USING (table_name)

@@ -174,6 +174,21 @@ def ctr_by_label(spark, root):
     )
 
 
+@query
+def ctr_by_captured_label(spark, root):
+    """Labels from the requests a browser logged, pages from a table."""
+    return funnel.page_ctr(
+        views.hit(spark, root),
+        views.session(spark, root),
+        views.offer_pages(spark, root),
+        views.captured_labels(spark, root),
+        FIRST_DAY,
+        "2024-01-28",
+        BRAND,
+        ("US", "CA", "GB"),
+    )
+
+
 # --- counts over hits and sessions ----------------------------------------------
 
 
@@ -290,6 +305,19 @@ def visitors_by_dims(spark, root):
     )
 
 
+@query
+def visitors_of_listed_pages(spark, root):
+    return reports.visitors_by_dims(
+        views.hit(spark, root),
+        views.session(spark, root),
+        views.offer_pages(spark, root),
+        FIRST_DAY,
+        LAST_DAY,
+        BRAND,
+        ("US", "CA", "GB"),
+    )
+
+
 @query
 def weekly_visitors(spark, root):
     return reports.weekly_visitors(
@@ -751,6 +779,12 @@ def match_tables(spark, root):
     )
 
 
+@query
+def match_term_table(spark, root):
+    found = retrieval.match_term_table(_questions(spark, root), views.link_terms(spark, root))
+    return found.select("question_id", "table_name")
+
+
 @query
 def select_catalog(spark, root):
     return retrieval.select_catalog(_questions(spark, root), default_schema())

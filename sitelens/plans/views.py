@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators import interactions, visits
-from sitelens.operators.weblog import extract_links
+from sitelens.operators.weblog import collect_requests, extract_links, parse_merged
 from sitelens.sources.files import parse_request_entries
 from sitelens.sources.warehouse import scan_table
 
@@ -193,6 +193,25 @@ def collect_log(spark: SparkSession, root: str) -> DataFrame:
     return parse_request_entries(logged)
 
 
+def captured_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of the captured events, without the number some end with and with the kind of link; hits need not have them."""
+    label = F.regexp_replace("event_label", " [0-9]+$", "")
+    events = parse_merged(collect_requests(collect_log(spark, root))).where("event_label <> ''")
+    return events.select(F.concat(label, F.lit(" :: cta-content")).alias("event_label")).distinct()
+
+
+def offer_pages(spark: SparkSession, root: str) -> DataFrame:
+    """A list of pages that is a table."""
+    return hit(spark, root).where("page_group IN ('offers', 'models')").select("page_path").distinct()
+
+
+def link_terms(spark: SparkSession, root: str) -> DataFrame:
+    """A catalog that grows with the data: per host the last parts of the links on its pages."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    term = F.regexp_extract("link", "/([^/?#]+)$", 1)
+    return page_links(spark, root).select(host.alias("table_name"), term.alias("term")).where("term <> ''").distinct()
+
+
 def query_log(spark: SparkSession, root: str) -> DataFrame:
     """Conversation messages; a message's text is the question asked."""
     question = F.col("text")

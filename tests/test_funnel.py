@@ -56,6 +56,15 @@ def test_by_hand(spark):
     expected[1] = ("US", "q", "mobile", "Direct", "(none)", 1, 1, 0)
     assert rows(got) == expected
     assert rows(page_ctr_pairwise(hits, sessions, ["p", "q"], ["GO"], **ARGS)) == expected
+    # Pages and labels as tables, with repeated, unknown and missing entries.
+    pages = spark.createDataFrame([("p",), ("q",), ("q",), ("unknown",), (None,)], "address string")
+    labels = spark.createDataFrame([("GO",), ("GO",), ("never captured on a hit",), (None,)], "label string")
+    assert rows(page_ctr(hits, sessions, pages, labels, **ARGS)) == expected
+    assert rows(page_ctr(hits, sessions, pages, ["GO"], **ARGS)) == expected
+    assert rows(page_ctr(hits, sessions, pages.where("address = 'p'"), labels, **ARGS)) == rows(
+        page_ctr(hits, sessions, ["p"], ["GO"], **ARGS)
+    )
+    assert page_ctr(hits, sessions, pages.limit(0), labels, **ARGS).count() == 0
 
 
 @pytest.fixture(scope="module")

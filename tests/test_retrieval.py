@@ -119,3 +119,49 @@ def test_load_schema():
 @pytest.mark.parametrize("table, columns", [("session", 30), ("hit", 44), ("visitor_day", 14), ("hit_interaction_nameplate", 13)])
 def test_contract_sizes(table, columns):
     assert len(catalog.contract(table).fields) == columns
+
+
+def term_rows(catalog_):
+    for name, info in catalog_.items():
+        for term in [name, *([info["description"]] if "description" in info else []), *info.get("columns", {})]:
+            yield name, term
+
+
+def test_term_table_agrees_with_dictionary(spark):
+    given = ["Show VISITS by day", "by DEVICE and NAME", "is one visit enough", "unrelated", "", None, "\U0001f600 id_number\n", "Show VISITS by day"]
+    asked = spark.createDataFrame(list(enumerate(given)), "question_id int, question string")
+    terms = spark.createDataFrame([*term_rows(CATALOG), ("visits", None), (None, "enough")], "table_name string, term string")
+    assert rows(retrieval.match_term_table(asked, terms)) == rows(retrieval.match_tables(asked, CATALOG))
+
+
+def test_term_table_with_short_empty_and_no_terms(spark):
+    asked = spark.createDataFrame([(1, "ab"), (2, "a\U0001f600b"), (3, ""), (4, "xyz"), (4, "xyz")], "id int, question string")
+    terms = [("one", "A"), ("two", "a\U0001f600"), ("three", "xYZ"), ("four", "\U0001f600b")]
+    found = retrieval.match_term_table(asked, spark.createDataFrame(terms, "table_name string, term string"))
+    expected = {(1, "ab", "one")} | {(2, "a\U0001f600b", t) for t in ("one", "two", "four")} | {(3, "", t) for t, _ in terms}
+    assert rows(found) == sorted([*expected, (4, "xyz", "three"), (4, "xyz", "three")], key=lambda r: tuple((False, str(x)) for x in r))
+    empty = spark.createDataFrame([("all", "")], "table_name string, term string")
+    assert {(r.id, r.table_name) for r in retrieval.match_term_table(asked, empty).collect()} == {(i, "all") for i in range(1, 5)}
+    assert retrieval.match_term_table(asked, empty.limit(0)).count() == 0
+    assert retrieval.match_term_table(asked.limit(0), empty).count() == 0
+
+
+def test_fifty_thousand_terms_and_a_hot_question(spark):
+    terms = [(f"t{i % 500}", f"Col_{i:x}_{i * 7919 % 50000}") for i in range(50_000)]
+    asked = [f"total of {terms[i * 997][1]} by {terms[i * 613 + 5][1].upper()} please" for i in range(40)]
+    asked += [asked[0]] * 200 + ["word " * 20_000 + terms[77][1]]
+    of = {}
+    for name, term in terms:
+        of.setdefault(term.lower(), set()).add(name)
+    numbered_ = list(enumerate(asked))
+    expected = {(i, t) for i, q in numbered_ for term, names in of.items() if term in q.lower() for t in names}
+    questions = spark.createDataFrame(numbered_, "id int, question string")
+    catalog_ = spark.createDataFrame(terms, "table_name string, term string")
+    got = [(r.id, r.table_name) for r in retrieval.match_term_table(questions, catalog_).select("id", "table_name").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+    def size(df):
+        return len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    few = spark.createDataFrame(terms[:10], "table_name string, term string")
+    assert size(retrieval.match_term_table(questions, few)) == size(retrieval.match_term_table(questions, catalog_))
