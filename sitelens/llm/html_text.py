@@ -1,8 +1,11 @@
 """Main text of web pages: what a site repeats on many pages is its template.
 
 A page is cut once into tags and text; elements are matched by name. Elements
-get a hash of their subtree, Spark counts, per host, on how many different
-pages a subtree stands, and blocks inside subtrees that recur are deleted.
+get a hash of their subtree, Spark counts, per host, beside how many different
+contents a subtree stands, and blocks inside subtrees that recur are deleted.
+What a page says beside a subtree is told by its headlines outside of it, or by
+its longest block if it has none: near copies of a page, whose date or advert
+differs, are one content.
 Inside an article only boxes (sections, lists) can be template, not paragraphs,
 which may well be quoted twice. Parts that name themselves (navigation,
 footers, forms, adverts, notices, comments of readers) go by their tag, role or
@@ -16,16 +19,19 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import batch, plain, table
+from sitelens.llm.common import batch, plain, table, written
+from sitelens.operators.skew import salted_join
 
-#: A subtree is template if it stands on this many pages of a host and on this share of them, outside and inside an article.
-MIN_PAGES, MIN_SHARE, MIN_SHARE_INSIDE = 3, 0.005, 0.1
+#: A subtree outside an article is template beside this many contents of a host, if these are this share of its pages or more;
+#: one inside an article on this many pages, if these are that share of the host's.
+MIN_PAGES, MIN_SHARE, MIN_SHARE_INSIDE = 3, 0.5, 0.1
 
 # A quoted value may hold ">". A tag or comment that never ends goes on to the end of the page, so no sign is read twice.
 TOKEN = re.compile(
@@ -52,6 +58,7 @@ HOLDERS = frozenset("list slot box container wrapper wrap area block section uni
 UNDONE = frozenset("has no with without".split())
 TITLED = frozenset("entry post article section story content title".split())
 KEPT = frozenset(("article", "main"))
+HEADLINES = ("h1", "h2", "h3")
 BOXES = frozenset("div section ul ol dl table figure fieldset center".split())
 
 
@@ -92,10 +99,16 @@ class Element:
         self.parts: list[str] = []  # what the hash of the subtree is taken of
 
 
-def blocks(
+def blocks(page: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
+    """Blocks of text as (text, inside the article), and the subtrees as (first block, end, hash, inside)."""
+    found, trees = cut(page)
+    return [(text, inside) for text, inside, _ in found], trees
+
+
+def cut(
     page: str | None, spared: frozenset[int] | None = None
-) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
-    """Blocks of text as (text, inside the article), and the subtrees as (first block, end, hash, inside).
+) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int, bool]]]:
+    """As ``blocks``, which also has whether a block is a headline.
 
     Unclosed elements end with what holds them; a closing tag without an
     opening one is nothing. Blocks in dropped parts are left out. ``spared``
@@ -105,7 +118,7 @@ def blocks(
     or being a form, would drop with more than half of the page's text (beside an
     article they hold none of it, so there only those inside it).
     """
-    found: list[tuple[str, bool]] = []
+    found: list[tuple[str, bool, bool]] = []
     trees: list[tuple[int, int, int, bool]] = []
     open_: list[Element] = [Element("", False, False, 0)]
     counts: dict[str, int] = {}
@@ -118,7 +131,7 @@ def blocks(
         text = " ".join(entities.unescape("".join(line)).split())
         line.clear()
         if text:
-            found.append((text, open_[-1].keep))
+            found.append((text, open_[-1].keep, any(counts.get(h) for h in HEADLINES)))
             open_[-1].parts.append(text)
 
     def close() -> None:
@@ -189,13 +202,13 @@ def blocks(
     if spared is None:
         stay = frozenset(at for at, signs, held, soft, inside in doubts if held and not free or soft and 2 * signs > read and (not free or inside))
         if stay:
-            return blocks(page, stay)
+            return cut(page, stay)
     return found, trees
 
 
 PARSED = (
     "page_id long, url string, host string, page long, texts array<string>, "
-    "trees array<struct<first:int,end:int,hash:long,inside:boolean>>"
+    "trees array<struct<first:int,end:int,hash:long,inside:boolean,beside:long>>"
 )
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
@@ -206,19 +219,51 @@ def hashed(text: str) -> int:
 
 def parsed(page: str | None) -> tuple[list[str], list[dict]]:
     """Texts of the blocks that may be kept, and the subtrees with their places among them."""
-    found, trees = blocks(page)
-    article = any(inside for _, inside in found)
+    found, trees = cut(page)
+    article = any(inside for _, inside, _ in found)
+    kept = [block for block in found if block[1] or not article]
     places = [0]  # of a block among those kept
-    for _, inside in found:
+    for _, inside, _ in found:
         places.append(places[-1] + (inside or not article))
-    texts = [t for t, inside in found if inside or not article]
+    texts = [text for text, _, _ in kept]
+    beside = told_outside(texts, [i for i, block in enumerate(kept) if block[2]])
     return texts, [
-        {"first": places[a], "end": places[b], "hash": own, "inside": inside} for a, b, own, inside in trees
+        {"first": places[a], "end": places[b], "hash": own, "inside": inside, "beside": beside(places[a], places[b])}
+        for a, b, own, inside in trees
+        if places[a] < places[b]
     ]
 
 
+def told_outside(texts: list[str], headlines: list[int]):
+    """A function of two places: a hash of the headlines not between them, else of the longest text (the first of equals), 0 for no text."""
+    before, behind = [-1], [-1]  # the longest text of the first i, and of the last i
+    for i, text in enumerate(texts):
+        at = before[-1]
+        before.append(i if at < 0 or len(text) > len(texts[at]) else at)
+    for i in reversed(range(len(texts))):
+        at = behind[-1]
+        behind.append(i if at < 0 or len(texts[i]) >= len(texts[at]) else at)
+    above, below = [0], [0]  # hashes of the first i headlines, and of the last i
+    for way, order in ((above, headlines), (below, reversed(headlines))):
+        for i in order:
+            way.append(hashed(f"{way[-1]} {texts[i]}"))
+    hashes: dict[int, int] = {-1: 0}
+
+    def of(first: int, end: int) -> int:
+        i, j = bisect_left(headlines, first), bisect_left(headlines, end)
+        if i or j < len(headlines):
+            return hashed(f"{above[i]} {below[len(headlines) - j]}")
+        a, b = before[first], behind[len(texts) - end]
+        at = b if a < 0 or b >= 0 and len(texts[b]) > len(texts[a]) else a
+        if at not in hashes:
+            hashes[at] = hashed(texts[at])
+        return hashes[at]
+
+    return of
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("inside", pa.bool_())])
+    tree = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("inside", pa.bool_()), ("beside", pa.int64())])
     schema = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64())]
         + [("texts", pa.list_(pa.string())), ("trees", pa.list_(tree))]
@@ -232,13 +277,26 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, least: int, share: float, share_inside: float) -> DataFrame:
-    """(host, hash, inside) of the subtrees that recur. Copies of a page count once."""
-    seen = pages.select("host", "page", F.explode("trees").alias("t")).select("host", "page", "t.hash", "t.inside").distinct()
-    counts = seen.groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    limit = F.when(F.col("inside"), share_inside).otherwise(share) * F.col("pages")
-    recurring = counts.join(total, "host").where(F.col("n") >= limit)
-    return seen.join(recurring.select("host", "hash", "inside"), ["host", "hash", "inside"])
+    """(host, page, hash, inside) of the subtrees that recur. Copies of a page count once.
+
+    What the pages hold is written once as rows of hashes, which all counting
+    reads; a subtree on a great many pages is split for the join back to them.
+    """
+    tree = ["host", "hash", "inside"]
+    held = pages.select("host", "page", F.explode_outer("trees").alias("t")).select("host", "page", "t.hash", "t.inside", "t.beside")
+    seen = written(held.groupBy("host", "page", "hash", "inside").agg(F.min("beside").alias("beside")))
+    total = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    seen = seen.where(F.col("hash").isNotNull())
+    contents = seen.groupBy(*tree, "beside").agg(F.count("*").alias("pages"))
+    counts = contents.groupBy(*tree).agg(F.count("*").alias("contents"), F.sum("pages").alias("pages"))
+    enough = F.when(F.col("inside"), F.col("pages") >= share_inside * F.col("total")).otherwise(
+        F.col("contents") >= share * F.col("pages")
+    )
+    many = F.when(F.col("inside"), F.col("pages")).otherwise(F.col("contents")) >= least
+    # A host has far fewer recurring subtrees than pages, but no number is proven: salted, not broadcast.
+    recurring = counts.where(many).join(total, "host").where(enough).select(F.struct(*tree).alias("tree"), F.lit(True).alias("recurs"))
+    found = salted_join(seen.select("page", F.struct(*tree).alias("tree")), recurring, "tree", ["page"])
+    return found.where("recurs").select("page", "tree.*")
 
 
 def extract_text(
@@ -247,8 +305,8 @@ def extract_text(
     """(page_id, url, text, n_chars) of every page.
 
     Null, empty and text-free html gives an empty text. Pages without a host in
-    their url share the host ''. Repeated rows are kept; equal pages of a host
-    count once when template is looked for. A page that would lose all its
+    their url share the host ''. Repeated rows are kept; equal pages of a host, and
+    pages that agree in what tells their content beside a subtree, count once when template outside an article is looked for. A page that would lose all its
     blocks is a copy rather than template and keeps them. Nothing is cut off.
     """
     read = plain(pages, page_id="long", url="string", html="string").mapInArrow(_parse, PARSED)

@@ -327,3 +327,38 @@ def test_length_alone_is_not_toxic():
     faint = toxicity.Scorer(weights, bias)
     assert faint.document(". ".join(["muddle"] * 10_000))[0] < toxicity.THRESHOLD
     assert faint.document(". ".join(["muddle"] * 9_999 + ["grumwort"]))[0] >= toxicity.THRESHOLD
+
+
+WORDY = "which goes on for long enough to be the longest block of its page"
+SIDE = "<div><p>Our shop is open</p></div>"
+
+
+def story(i, line, side=SIDE):
+    return f"<html><body>{side}<h1>Story {i}</h1><p>Story {i} {WORDY}.</p><p>More of {i} here.</p><p>{line}</p></body></html>"
+
+
+@pytest.mark.parametrize("hosted", [12, 40, 1000])
+def test_near_copies_are_one_content(spark, hosted):
+    """At every size of a host: copies that differ in a line keep their text, a box beside four contents goes."""
+    rows = [(i, f"https://a.example/{i}", story(i, f"printed {i}", SIDE if i < 4 else "")) for i in range(hosted)]
+    rows += [(5000 + i, f"https://a.example/c{i}", story(7000, f"printed 2024-01-{i:02}", "")) for i in range(max(3, hosted // 3))]
+    got = extracted(spark, rows)
+    for i, _, _ in rows:
+        n, line = (7000, f"printed 2024-01-{i - 5000:02}") if i >= 5000 else (i, f"printed {i}")
+        assert got[i] == f"Story {n} Story {n} {WORDY}. More of {n} here. {line}"
+
+
+def test_told_outside_equals_brute_force():
+    draw = random.Random(5)
+    told, meant = {}, {}
+    for _ in range(300):
+        texts = [draw.choice("xyz") * draw.randint(1, 3) for _ in range(draw.randint(0, 7))]
+        headlines = sorted(draw.sample(range(len(texts)), draw.randint(0, min(2, len(texts)))))
+        of = html_text.told_outside(texts, headlines)
+        for a in range(len(texts) + 1):
+            for b in range(a, len(texts) + 1):
+                rest = texts[:a] + texts[b:]
+                heads = [texts[i] for i in headlines if i < a], [texts[i] for i in headlines if i >= b]
+                says = str(heads) if any(heads) else max(rest, key=len, default="")
+                assert told.setdefault(of(a, b), says) == says and meant.setdefault(says, of(a, b)) == of(a, b)
+    assert meant[""] == 0
