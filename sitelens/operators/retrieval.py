@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -29,24 +29,35 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
 
     Inputs have ``vec_id`` and ``embedding``. Vectors that are null or hold null
     or non-finite components take no part, and a query meets vectors of its own
-    length only. The corpus is cut into cells around pivots drawn from it. The
-    cells' radii and sizes bound how far a query's k-th neighbour can be, and by
-    the triangle inequality the query is sent only to cells that may hold one as
+    length only. The corpus is cut into cells around pivots drawn from it. A
+    query first meets its own cell; the k-th distance found there, and the cells'
+    radii and sizes, bound how far its k-th neighbour can be, and by
+    the triangle inequality it is sent only to those other cells that may hold one as
     near. Cells of more than ``block_rows`` vectors, and their queries, are dealt
     into blocks; a task compares one pair of blocks and keeps k candidates per
     query. Copies of one vector are compared once.
     """
     stored, asked = _usable(corpus), _usable(queries)
     cells = min(MOST_CELLS, -(-stored.count() // block_rows))
-    if cells < 1:
-        stored, routed = stored.withColumn("cell", F.lit(0)), asked.limit(0).withColumn("cell", F.lit(0))
-        sizes = stored.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.lit(1).alias("m"))
-    elif cells == 1:  # one cell holds all: there is nothing to leave out
-        stored, routed = stored.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
+    if cells <= 1:  # one cell holds all: there is nothing to leave out
+        stored, asked = stored.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
         sizes = stored.groupBy("dim", "cell").agg(F.count("*").alias("n"))
         sizes = sizes.withColumn("m", asked.agg(F.count("*").alias("m")).scalar())
-    else:
-        stored, routed, sizes = _routed(stored, asked, cells, k)
+        return _k_best(_compared(asked, stored, sizes, k, block_rows), k)
+    return _k_best(_in_cells(stored, asked, cells, k, block_rows), k)
+
+
+def _k_best(candidates: DataFrame, k: int) -> DataFrame:
+    ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return (
+        candidates.withColumn("rank", F.row_number().over(ranked))
+        .where(F.col("rank") <= k)
+        .withColumn("rank", F.col("rank").cast("bigint"))
+    )
+
+
+def _compared(routed: DataFrame, stored: DataFrame, sizes: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Candidates (query_id, vec_id, distance) of every query in the cells it is sent to; ``sizes`` has a row per cell."""
     blocks = F.broadcast(
         sizes.select(
             "dim",
@@ -68,8 +79,8 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
 
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["vec_id"].dataType),
-            T.StructField("vec_id", corpus.schema["vec_id"].dataType),
+            T.StructField("query_id", routed.schema["vec_id"].dataType),
+            T.StructField("vec_id", stored.schema["vec_id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
@@ -80,13 +91,19 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int =
     keys = ["dim", "cell", "qb", "cb"]
     left, right = in_blocks(routed, "q", "c"), in_blocks(stored, "c", "q")
     right = right.toDF(*right.columns)
-    candidates = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
-    ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return (
-        candidates.withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
-        .withColumn("rank", F.col("rank").cast("bigint"))
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
+
+
+def _in_cells(stored: DataFrame, asked: DataFrame, cells: int, k: int, block_rows: int) -> DataFrame:
+    """Candidates of every query from its own cell, then from the others that its k-th distance reaches."""
+    placed, homes, sizes, route = _routed(stored, asked, cells, k)
+    own = cut_lineage(_k_best(_compared(homes, placed, sizes(homes), k, block_rows), k).drop("rank"))
+    reach = own.groupBy("query_id").agg(F.count("*").alias("found"), F.max("distance").alias("farthest"))
+    reach = reach.select(F.col("query_id").alias("vec_id"), F.when(F.col("found") >= k, F.sqrt("farthest")).alias("reach"))
+    others = route(homes.join(reach, "vec_id", "left"))
+    # A cell that no other query reaches is not sent anywhere.
+    reached = sizes(others).where("m > 0")
+    return own.unionByName(_compared(others, placed, reached, k, block_rows))
 
 
 def _usable(df: DataFrame) -> DataFrame:
@@ -97,8 +114,14 @@ def _usable(df: DataFrame) -> DataFrame:
     )
 
 
-def _routed(stored: DataFrame, asked: DataFrame, cells: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The corpus by cell, each query once per cell it has to visit, and (dim, cell, n vectors, m queries)."""
+def _routed(
+    stored: DataFrame, asked: DataFrame, cells: int, k: int
+) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """The corpus by cell, the queries in their own cells, and two functions.
+
+    The first gives (dim, cell, n vectors, m queries) of queries in cells; the
+    second sends queries that know their ``reach`` (null: unknown) to every other cell they have to visit.
+    """
     spark = stored.sparkSession
     drawn = stored.select("dim", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()
     pivots: dict[int, np.ndarray] = {}
@@ -118,36 +141,54 @@ def _routed(stored: DataFrame, asked: DataFrame, cells: int, k: int) -> tuple[Da
                 d = distances(part, dim)
                 yield part.assign(cell=d.argmin(1).astype("int32"), away=d.min(1))
 
-    id_type = stored.schema["vec_id"].dataType.simpleString()
-    columns = f"vec_id {id_type}, embedding array<double>, dim int, cell int"
-    placed = stored.mapInPandas(assign, f"{columns}, away double")
+    columns = "embedding array<double>, dim int, cell int"
+
+    def typed(df: DataFrame) -> str:
+        return f"vec_id {df.schema['vec_id'].dataType.simpleString()}, {columns}"
+
+    placed = stored.mapInPandas(assign, f"{typed(stored)}, away double")
     # One row per cell, and cells are bounded.
     found = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
     held = {}
     for row in found:
         held.setdefault(row["dim"], []).append((row["cell"], row["n"], row["radius"]))
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = {dim: [np.array(x) for x in zip(*rows)] for dim, rows in held.items()}
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby("dim"):
+                if dim in held:  # else no vector has this length
+                    cell = held[dim][0]
+                    yield part.assign(cell=cell[distances(part, dim)[:, cell].argmin(1)].astype("int32"))
+
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
-                if dim not in held:
-                    continue
-                cell, n, radius = (np.array(x) for x in zip(*held[dim]))
+                cell, n, radius = held[dim]
                 d = distances(part, dim)[:, cell]
                 # Within the k-th bound there are k vectors for sure; the slack covers rounding.
                 order = np.argsort(d + radius, axis=1)
                 enough = np.minimum((np.cumsum(n[order], axis=1) < k).sum(1), len(cell) - 1)
                 bound = np.take_along_axis(d + radius, np.take_along_axis(order, enough[:, None], 1), 1)
+                bound = np.fmin(bound, part["reach"].to_numpy(float)[:, None])
                 short = n.sum() < k
                 slack = 1e-6 * (1 + np.abs(d) + radius)
-                rows, at = np.nonzero((d - radius <= bound + slack) | short)
-                yield part.iloc[rows].assign(cell=cell[at].astype("int32"))
-
-    routed = asked.mapInPandas(route, columns.replace(id_type, asked.schema["vec_id"].dataType.simpleString(), 1))
-    visits = routed.groupBy("dim", "cell").agg(F.count("*").alias("m")).collect()
-    m = {(r["dim"], r["cell"]): r["m"] for r in visits}
-    sizes = [(r["dim"], r["cell"], r["n"], m.get((r["dim"], r["cell"]), 0)) for r in found]
-    return placed.drop("away"), routed, spark.createDataFrame(sizes, "dim int, cell int, n long, m long")
+                other = cell[None, :] != part["cell"].to_numpy()[:, None]
+                rows, at = np.nonzero(((d - radius <= bound + slack) | short) & other)
+                yield part.iloc[rows].drop(columns="reach").assign(cell=cell[at].astype("int32"))
+
+    def sizes(routed: DataFrame) -> DataFrame:
+        visits = routed.groupBy("dim", "cell").agg(F.count("*").alias("m")).collect()
+        m = {(r["dim"], r["cell"]): r["m"] for r in visits}
+        rows = [(r["dim"], r["cell"], r["n"], m.get((r["dim"], r["cell"]), 0)) for r in found]
+        return spark.createDataFrame(rows, "dim int, cell int, n long, m long")
+
+    def route(homes: DataFrame) -> DataFrame:
+        kept = homes.select("vec_id", "embedding", "dim", "cell", "reach")
+        return kept.mapInPandas(reached, typed(homes))
+
+    return placed.drop("away"), asked.mapInPandas(home, typed(asked)), sizes, route
 
 
 def _block_nearest(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:

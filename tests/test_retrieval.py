@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens import catalog
 from sitelens.operators import retrieval
@@ -50,8 +51,11 @@ def test_knn_visits_few_cells_of_clustered_data(spark):
     corpus = np.vstack([c + rng.normal(size=(50, 6)) for c in centres]).astype("float32")
     df = frame(spark, corpus)
     stored = retrieval._usable(df)
-    _, routed, sizes = retrieval._routed(stored, stored, 100, 4)
-    assert routed.count() < len(corpus) * sizes.count() / 8
+    _, homes, sizes, route = retrieval._routed(stored, stored, 100, 4)
+    assert homes.count() == len(corpus)
+    blind = route(homes.withColumn("reach", F.lit(None).cast("double"))).count()
+    assert homes.count() + blind < len(corpus) * sizes(homes).count() / 8
+    assert route(homes.withColumn("reach", F.lit(0.0))).count() < blind  # what is known of the k-th distance sends it to fewer
     got = retrieval.knn_l2(df, df, 4, 20)
     assert sorted((r.query_id, r.vec_id, r.rank) for r in got.collect()) == brute(corpus, corpus, 4)
 
