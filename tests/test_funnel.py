@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.funnel import page_ctr, page_ctr_pairwise
+from sitelens.operators.funnel import FUNNEL_DIMENSIONS, page_ctr
+from sitelens.operators.scope import in_scope
 from sitelens.plans import views
 from sitelens.plans.registry import CTR_LABELS, FUNNEL_PAGES
 from tests.conftest import rows
@@ -27,6 +29,41 @@ def hit(i, session, visitor, minute, page, label=None, market="US", brand="Alpha
     return (i, session, visitor, day + timedelta(minutes=minute), day.date(), brand, market, page, label)
 
 
+def page_ctr_pairwise(
+    hits: DataFrame,
+    sessions: DataFrame,
+    pages: list[str],
+    labels: list[str],
+    start: str,
+    end: str,
+    brand: str,
+    markets: list[str],
+) -> DataFrame:
+    """The same report from pairs of a view and a later hit, as many as the square of a session."""
+    attributes = sessions.where(in_scope(start, end)).select(
+        "session_id", "bounced_session", "device_category", "channel_grouping", "medium"
+    )
+    views = hits.where(in_scope(start, end, brand, markets) & F.col("page_path").isin(*pages)).join(
+        attributes, "session_id"
+    )
+    keys = ["visitor_id", "page_path", "visit_start_date"]
+    opened = views.select("session_id", "visitor_id", "visit_start_date", "bounced_session", F.col("hit_datetime").alias("at"))
+    pairs = hits.select("session_id", "hit_datetime", "page_path", "event_label").join(opened, "session_id")
+    later = pairs.where(F.col("hit_datetime") > F.col("at"))
+    clicked = later.where(F.col("event_label").isin(*labels)).select(*keys).distinct().withColumn("clicked", F.lit(1))
+    bounced = later.where(F.col("bounced_session") == 1).select(*keys).distinct().withColumn("bounced", F.lit(1))
+    return (
+        views.join(clicked, keys, "left")
+        .join(bounced, keys, "left")
+        .groupBy(*FUNNEL_DIMENSIONS)
+        .agg(
+            F.countDistinct("visitor_id").alias("total_page_visitors"),
+            F.countDistinct(F.when(F.col("clicked") == 1, F.col("visitor_id"))).alias("ctr_visitors"),
+            F.countDistinct(F.when(F.col("bounced") == 1, F.col("visitor_id"))).alias("total_bounced_visitor"),
+        )
+    )
+
+
 def test_by_hand(spark):
     hits = spark.createDataFrame(
         [
