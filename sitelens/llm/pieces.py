@@ -3,17 +3,20 @@
 The tokenizers cut a text into pieces before they look at the vocabulary, and
 no merge crosses a cut. A text is cut here only where the tokenizer cuts as
 well: before a space that follows a word, and between letters and the ASCII
-signs after them. Each distinct word goes to the tokenizer once per worker;
-its ids are kept as bytes. What is remembered is bounded in bytes: a full memory is
-emptied and fills again.
+signs after them. A word of letters is one piece and goes straight to the
+tokenizer's model, its letters written as the tokenizer writes them; all else
+takes the tokenizer's whole way. Ids are kept as bytes, a word's with and without the signs
+after it. What is remembered is bounded in bytes, in two generations: when the
+younger is full it becomes the elder, and of that only what is met again is
+carried on.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import string
+from collections.abc import Callable
 
 #: White space by Unicode's property, which the tokenizers' patterns use.
 SPACE = (
@@ -24,7 +27,7 @@ PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Besides the space and the line feed; any of them is rare.
 RARE = SPACE.replace(" ", "").replace("\n", "")
 RARE_ASCII = "\t\x0b\x0c\r"
-WORDS = re.compile(f"[^{SPACE}]+")
+WORDS, WHITE = re.compile(f"[^{SPACE}]+"), re.compile(f"[{SPACE}]")
 #: Python's split() takes these for white space, the tokenizers don't.
 CONTROL = re.compile("[\x1c-\x1f]")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -32,11 +35,26 @@ SURE = "؀"  # letters below are letters in every version of Unicode
 #: Bytes of memory for words and their parts, and what an entry takes beside its letters and ids.
 MEMORY, ENTRY = 256 << 20, 190
 
-
 #: Longer words are not remembered: they hardly come again.
 LONG = 200
 
 
+class Known(dict):
+    """Ids by text; one that is not there comes from the generation before, or is made."""
+
+    def __init__(self, make: Callable[[str], bytes], elder: dict[str, bytes]):
+        self.make, self.elder, self.held = make, elder, 0
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.elder.get(text)
+        if got is None:
+            got = self.make(text)
+        if len(text) < LONG:
+            self[text] = got
+            self.held += ENTRY + len(text) + len(got)
+        return got
+
+
 class Pieces:
     """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
 
@@ -46,39 +64,37 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.limit, self.held = spaced, limit, 0
-        self.width, self.kind = width, f"<u{width}"
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(names.values()) + 1, bool)
-        for name, i in names.items():
-            self.edge[i] = name.startswith("Ġ") if spaced else name.endswith("</w>")
+        self.model = self.tokenizer.model
+        self.spaced, self.limit = spaced, limit
+        self.ids = [i.to_bytes(width, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.letters = {ord(c): self.written(c) for c in map(chr, range(ord(SURE))) if c.isalpha() and c != "İ"}
+        self.opening = self.written(" ") if spaced else ""
+        plain = string.ascii_letters.translate(self.letters)
+        self.ascii = next((f for f in (str, str.lower) if f(string.ascii_letters) == plain), self.translated)
+        self.words, self.parts = Known(self.encode_word, {}), Known(self.encode_part, {})
+        self.before = 0
+
+    @property
+    def held(self) -> int:
+        """Bytes remembered, of both generations."""
+        return self.before + self.words.held + self.parts.held
+
+    def written(self, sign: str) -> str:
+        """How the tokenizer writes a sign before it asks the model."""
+        normalizer = self.tokenizer.normalizer
+        sign = normalizer.normalize_str(sign) if normalizer else sign
+        ((sign, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(sign)
+        return sign
 
     def encode(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
-        if got is None:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            got = np.array(ids, self.kind).tobytes()
-            if len(piece) < LONG:
-                self.parts[piece] = got
-                self.held += ENTRY + len(piece) + len(got)
-        return got
+        return b"".join([self.ids[i] for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
+
+    def translated(self, word: str) -> str:
+        return word.translate(self.letters)
 
-    def encode_letters(self, words: list[str]) -> None:
-        """Many words of sure letters in one call; tokens that open (or end) a word tell them apart."""
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            text = " " + " ".join(some) if self.spaced else " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != len(some):
-                raise ValueError("the tokenizer joins words across a space")
-            cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
-            cuts = [self.width * c for c in cuts]
-            raw = ids.astype(self.kind).tobytes()
-            self.held += len(some) * ENTRY + len(text) + len(raw)
-            self.parts.update(zip(map(self.lead, some), map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+    def encode_letters(self, word: str, opening: str) -> bytes:
+        word = self.ascii(word) if word.isascii() else self.translated(word)
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(opening + word)])
 
     def lead(self, word: str) -> str:
         return " " + word if self.spaced else word
@@ -90,26 +106,35 @@ class Pieces:
             return core, word[len(core) :]
         return None
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words, which are remembered unless they are very long."""
-        cut = {w: self.ends(w) for w in words}
-        new = {c[0] for c in cut.values() if c and c[0].isalpha() and len(c[0]) < LONG}
-        self.encode_letters([w for w in new if self.lead(w) not in self.parts])
-        learnt = {}
-        for word, c in cut.items():
-            if c:
-                learnt[word] = self.encode(self.lead(c[0])) + (self.encode(c[1]) if c[1] else b"")
-            elif self.spaced:
-                learnt[word] = b"".join(map(self.encode, PIECES.findall(" " + word)))
-            else:
-                learnt[word] = self.encode(word)
-        kept = {w: i for w, i in learnt.items() if len(w) < LONG}
-        self.words.update(kept)
-        self.held += sum(ENTRY + len(w) + len(i) for w, i in kept.items())
-        return learnt
-
-    def forget(self) -> None:
-        self.words, self.parts, self.held = {}, {}, 0
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word that a space stands before, if the tokenizer takes spaces into words."""
+        cut = self.ends(word)
+        if cut and cut[1]:
+            return self.words[cut[0]] + self.parts[cut[1]]
+        if cut and word.isalpha():
+            return self.encode_letters(word, self.opening)
+        if self.spaced and not cut and WHITE.search(word):
+            return self.encode_all(" " + word)
+        return self.encode(self.lead(word))
+
+    def encode_part(self, piece: str) -> bytes:
+        """Ids of a piece that no space stands before."""
+        cut = self.ends(piece)
+        if cut and cut[1]:
+            return self.parts[cut[0]] + self.parts[cut[1]]
+        if cut and piece.isalpha():
+            return self.encode_letters(piece, "")
+        return self.encode(piece)
+
+    def encode_all(self, text: str) -> bytes:
+        found = PIECES.findall(text)
+        return b"".join([self.words[p[1:]] if p[0] == " " and p[-1] not in SPACE else self.parts[p] for p in found])
+
+    def turn(self) -> None:
+        """What was met since the last turn is the elder generation now; the one before it is dropped."""
+        self.before = self.words.held + self.parts.held
+        self.words.elder, self.parts.elder = {}, {}
+        self.words, self.parts = Known(self.encode_word, self.words), Known(self.encode_part, self.parts)
 
     def split(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what comes first, and the words that follow."""
@@ -117,22 +142,17 @@ class Pieces:
             return b"", WORDS.findall(text) if CONTROL.search(text) else text.split()
         # Where a space follows white space, splitting at single spaces would cut a run in two.
         if "  " in text or "\n " in text or text[-1] == " " or any(c in text for c in (RARE_ASCII if text.isascii() else RARE)):
-            return b"".join(map(self.encode, PIECES.findall(text))), []
+            return self.encode_all(text), []
         first, *words = text.split(" ")
-        return b"".join(map(self.encode, PIECES.findall(first))), words
+        return self.encode_all(first), words
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.words.held + self.parts.held > self.limit // 2:
+            self.turn()
         first, words = self.split(text)
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            if self.held > self.limit:  # what is emptied is wanted again
-                self.forget()
-                ids = [None] * len(words)
-            learnt = self.learn({w for w, i in zip(words, ids) if i is None})
-            ids = [learnt[w] if i is None else i for w, i in zip(words, ids)]
-        return first + b"".join(ids)
+        return first + b"".join(map(self.words.__getitem__, words))
 
 
 _KEPT: dict[tuple[str, bool, int], Pieces] = {}

@@ -118,3 +118,28 @@ def test_memory_is_bounded_in_bytes():
         encode(" ".join(f"word{i}x{j}" for j in range(200)) + " " + "long" * 300)
         assert encode.held <= 400_000 and all(len(w) < pieces.LONG for w in encode.words)
         assert encode.held >= sum(map(len, encode.words)) + sum(map(len, encode.words.values()))
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_met_again_outlast_a_full_memory(name, spaced):
+    encode, asked = Pieces(tokenizer_path(name), spaced, limit=100_000), Counter()
+    own = encode.encode_letters
+
+    def counted(words, *more):
+        asked.update([words] if isinstance(words, str) else words)
+        return own(words, *more)
+
+    encode.encode_letters = counted
+    draw = random.Random(6)
+    for _ in range(30):
+        encode(" the common, words " + " ".join("".join(draw.choices("abcdefgh", k=12)) for _ in range(100)))
+    assert asked["common"] == 1 and asked["words"] == 1 and len(asked) > 2900
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_letter_is_written_as_the_library_writes_it(name, spaced):
+    encode, known = Pieces(tokenizer_path(name), spaced), library(name)
+    letters = [c for c in map(chr, range(0x660)) if c.isalpha()]
+    for a, b in zip(letters, letters[1:] + letters[:1]):
+        text = f"{a} a{a}, Z{a}{b}!\n{b}{a}. {a}{b}{a}"
+        assert np.frombuffer(encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, ascii(text)
