@@ -6,7 +6,8 @@ context lies in many parts. Texts are cut into batches. A batch sends each part
 its distinct words and pairs with their counts; the part adds them up over all
 batches, builds its levels in mapped memory, looks up what each batch asked and
 sends back a byte per pair. Each batch then scores its own texts. What is
-shuffled are arrays, no row per word.
+shuffled are arrays, no row per word, and these in planes of bytes: numbers by
+frequency, sorted hashes by their steps.
 
     P(w|v) = (1 - b) (c(vw) + k P(w)) / (c(v) + k) + b P(w)
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import arrow_rows, plain, table, written
 from sitelens.llm.elias_fano import Trie
-from sitelens.llm.jaccard import low48, opened48, packed48
+from sitelens.llm.jaccard import low48
+from sitelens.llm.planes import by_frequency, grown, grown_keys, shrunk, shrunk_keys
 from sitelens.llm.shingles import mixed, word_hashes
 
 PRIOR, BLEND, ADD = 20.0, 0.3, 0.1
@@ -44,7 +46,7 @@ ANSWER = "batch long, part int, data binary, words long, tokens long"
 
 
 def batches(documents: DataFrame, at_once: int = BATCH) -> DataFrame:
-    """Texts as numbers of their words in the sorted list of the batch's words; each text ends with END."""
+    """Texts as numbers of their words in the list of the batch's words, commonest first; each text ends with END."""
     schema = pa.schema(
         [("batch", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
         + [("lengths", pa.list_(pa.int32())), ("words", pa.binary()), ("stream", pa.binary())]
@@ -58,7 +60,8 @@ def batches(documents: DataFrame, at_once: int = BATCH) -> DataFrame:
 
         def one() -> pa.RecordBatch:
             words, stream = np.unique(np.concatenate(tokens), return_inverse=True)
-            row = (number, docs, held, lengths, words.tobytes(), zstandard.compress(stream.astype("<u4").tobytes()))
+            order, rank = by_frequency(stream, len(words))
+            row = (number, docs, held, lengths, shrunk(words[order], rising=True), shrunk(rank[stream]))
             return batch([row], schema)
 
         for b in frames:
@@ -80,9 +83,12 @@ def batches(documents: DataFrame, at_once: int = BATCH) -> DataFrame:
 
 
 def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a batch, its tokens as numbers, the tokens before them, and whether they are learnt from."""
-    words = np.frombuffer(row["words"], "<u8")
-    stream = np.frombuffer(zstandard.decompress(row["stream"]), "<u4").astype(np.int64)
+    """Words of a batch in order, its tokens as numbers there, the tokens before them, and whether they are learnt from."""
+    words = grown(row["words"], rising=True)
+    order = np.argsort(words)
+    words, place = words[order], np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    stream = place[grown(row["stream"], kind="<u4")]
     lengths = np.asarray(row["lengths"], np.int64)
     before = np.empty_like(stream)
     before[1:] = stream[:-1]
@@ -122,7 +128,7 @@ def _ask_words(parts: int):
                 of = range_of(words, parts)
                 cuts = np.flatnonzero(np.diff(of)) + 1
                 rows = [
-                    (int(of[i[0]]), row["batch"], words[i].tobytes(), counts[i].tobytes(), None, None)
+                    (int(of[i[0]]), row["batch"], shrunk(words[i], rising=True), shrunk(counts[i]), None, None)
                     for i in np.split(np.arange(len(words)), cuts)
                 ]
                 yield from arrow_rows(rows, schema)
@@ -151,10 +157,10 @@ def _ask_pairs(parts: int):
                             (
                                 int(part[i[0]]),
                                 row["batch"],
-                                packed48(short[after[i]]),
-                                counts[i].astype("<u4").tobytes(),
-                                packed48(short[context[i][first]]),
-                                np.diff(np.append(first, len(i))).astype("<u4").tobytes(),
+                                shrunk_keys(short[after[i]]),
+                                shrunk(counts[i]),
+                                shrunk(short[context[i][first]], rising=True),
+                                shrunk(np.diff(np.append(first, len(i)))),
                             )
                         ],
                         schema,
@@ -165,14 +171,14 @@ def _ask_pairs(parts: int):
 
 def answer_words(frame: pd.DataFrame) -> pd.DataFrame:
     """Learnt counts over all batches for the words of each; the part's totals stand on its first row."""
-    asked = [np.frombuffer(k, "<u8") for k in frame["keys"]]
+    asked = [grown(k, rising=True) for k in frame["keys"]]
     words, number = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in frame["counts"]])
+    counts = np.concatenate([grown(c, kind="<u4") for c in frame["counts"]])
     total = np.zeros(len(words), np.int64)
     np.add.at(total, number, counts)
     ends = np.cumsum([len(a) for a in asked])[:-1]
     rows = [
-        (b, p, total[i].astype("<u8").tobytes(), 0, 0)
+        (b, p, shrunk(total[i]), 0, 0)
         for b, p, i in zip(frame["batch"], frame["part"], np.split(number, ends))
     ]
     rows[0] = (*rows[0][:3], int((total > 0).sum()), int(total.sum()))
@@ -189,13 +195,13 @@ COUNTS = np.concatenate([np.arange(EXACT + 1.0), EXACT * STEP ** np.arange(1, 25
 
 def answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Codes for the pairs of each batch, from a trie over the pairs that any batch learnt."""
-    after = [opened48(k) for k in frame["keys"]]
+    after = [grown_keys(k) for k in frame["keys"]]
     context = [
-        np.repeat(opened48(f), np.frombuffer(s, "<u4").astype(np.int64)) for f, s in zip(frame["firsts"], frame["sizes"])
+        np.repeat(grown(f, rising=True), grown(s, kind="<u4")) for f, s in zip(frame["firsts"], frame["sizes"])
     ]
     sizes = np.cumsum([len(a) for a in after])[:-1]
     v, w = np.concatenate(context), np.concatenate(after)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in frame["counts"]]).astype(np.int64)
+    counts = np.concatenate([grown(c, kind="<u4") for c in frame["counts"]]).astype(np.int64)
     order = np.lexsort((w, v))
     v, w = v[order], w[order]
     new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
@@ -225,7 +231,7 @@ def _score(parts: int, total: int, known_words: int, prior: float, blend: float)
         stream = after[number]
         of_words = back[back["pairs"] == 0].sort_values("part")
         of_pairs = back[back["pairs"] == 1].sort_values("part")
-        c = np.concatenate([np.frombuffer(d, "<u8") for d in of_words["data"]]).astype(np.float64)
+        c = np.concatenate([grown(d) for d in of_words["data"]]).astype(np.float64)
         _, order = pair_order(words, context, after, parts)
         codes = np.empty(len(order), np.uint8)
         codes[order] = np.concatenate([np.frombuffer(zstandard.decompress(d), "u1") for d in of_pairs["data"]])

@@ -247,6 +247,36 @@ def test_language_model(spark):
     assert sorted(r.doc_id is None for r in unnamed) == [False, True]
 
 
+def test_numbers_in_planes_come_back():
+    from sitelens.llm import planes
+
+    draw = np.random.default_rng(8)
+    for n in (0, 1, 2, 5, 3000):
+        for most in (1, 200, 70_000, 1 << 48, (1 << 63) - 1):
+            numbers = draw.integers(0, most, n).astype(np.uint64) * np.uint64(1 + (most > 1 << 48))
+            assert (planes.grown(planes.shrunk(numbers)) == numbers).all()
+            for order in (numbers, np.sort(numbers)):
+                assert (planes.grown(planes.shrunk(order, rising=True), rising=True) == order).all()
+        for keys in (draw.integers(0, 1 << 48, n), draw.integers(0, 1 << 48, 40)[draw.integers(0, 40, n)]):
+            assert (planes.grown_keys(planes.shrunk_keys(keys.astype(np.uint64))) == keys).all()
+
+
+def test_what_a_model_shuffles_is_near_its_entropy(spark):
+    draw = np.random.default_rng(9)
+    words = np.minimum(draw.zipf(1.3, 200_000), 30_000)
+    texts = [(i, " ".join(f"w{w}" for w in own)) for i, own in enumerate(np.split(words, 100))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1)
+    kept = lm.batches(df).collect()
+    counts = np.unique(words, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / len(words))).sum() / 8
+    assert sum(len(r["words"]) for r in kept) < 0.9 * 8 * len(counts)
+    assert sum(len(r["stream"]) for r in kept) < 1.25 * entropy
+    asked = spark.createDataFrame(kept, lm.BATCHES).mapInArrow(lm._ask_pairs(4), lm.ASKED).collect()
+    pairs = len({*zip(words.tolist(), words[1:].tolist())})
+    assert sum(len(r[c]) for r in asked for c in ("keys", "counts", "firsts", "sizes")) < 0.7 * 10 * pairs
+
+
+
 @pytest.mark.parametrize(
     "page",
     [
