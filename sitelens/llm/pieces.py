@@ -108,6 +108,8 @@ class Pieces:
 
     def encode_word(self, word: str) -> bytes:
         """Ids of a word that a space stands before, if the tokenizer takes spaces into words."""
+        if word.isascii() and word.isalpha():
+            return self.encode_letters(word, self.opening)
         cut = self.ends(word)
         if cut and cut[1]:
             return self.words[cut[0]] + self.parts[cut[1]]
