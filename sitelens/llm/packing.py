@@ -50,8 +50,9 @@ def cut_documents(
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = memoryview(encode(text.as_py()) + last)
+            texts = (t.as_py() for t in b.column("text"))
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode.each(texts)):
+                ids = memoryview(ids + last)
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4

@@ -9,6 +9,10 @@ takes the tokenizer's whole way. Ids are kept as bytes, a word's with and withou
 after it. What is remembered is bounded in bytes, in two generations: when the
 younger is full it becomes the elder, and of that only what is met again is
 carried on.
+
+Texts are taken some at a time: Arrow cuts them at spaces and tells their words
+apart, each different one is looked up once, and Arrow puts the ids in the
+words' places.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from __future__ import annotations
 import os
 import re
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space by Unicode's property, which the tokenizers' patterns use.
 SPACE = (
@@ -33,8 +41,12 @@ CONTROL = re.compile("[\x1c-\x1f]")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SURE = "؀"  # letters below are letters in every version of Unicode
 #: Bytes of memory for words and their parts, and what an entry takes beside its letters and ids.
-MEMORY, ENTRY = 256 << 20, 190
+MEMORY, ENTRY = 192 << 20, 190
 
+#: Code points of the texts taken at a time.
+TAKEN = 8 << 20
+#: Different words looked up between two looks at the memory.
+MET = 10_000
 #: Longer words are not remembered: they hardly come again.
 LONG = 200
 
@@ -49,7 +61,8 @@ class Known(dict):
         got = self.elder.get(text)
         if got is None:
             got = self.make(text)
-        if len(text) < LONG:
+        # Words with signs after them or line feeds inside are put together of others again.
+        if len(text) < LONG and (text[-1:] not in SIGNS or len(text) == 1) and "\n" not in text[1:]:
             self[text] = got
             self.held += ENTRY + len(text) + len(got)
         return got
@@ -108,8 +121,12 @@ class Pieces:
 
     def encode_word(self, word: str) -> bytes:
         """Ids of a word that a space stands before, if the tokenizer takes spaces into words."""
+        if not word:
+            return b""
         if word.isascii() and word.isalpha():
             return self.encode_letters(word, self.opening)
+        if word[0] == "\n":  # only `split` writes such, for a line feed without a space before
+            return self.encode_all(word)
         cut = self.ends(word)
         if cut and cut[1]:
             return self.words[cut[0]] + self.parts[cut[1]]
@@ -133,28 +150,64 @@ class Pieces:
         return b"".join([self.words[p[1:]] if p[0] == " " and p[-1] not in SPACE else self.parts[p] for p in found])
 
     def turn(self) -> None:
-        """What was met since the last turn is the elder generation now; the one before it is dropped."""
+        """If memory is full, what was met since the last turn is the elder generation now; the one before it is dropped."""
+        if self.words.held + self.parts.held <= self.limit // 2:
+            return
         self.before = self.words.held + self.parts.held
         self.words.elder, self.parts.elder = {}, {}
         self.words, self.parts = Known(self.encode_word, self.words), Known(self.encode_part, self.parts)
 
-    def split(self, text: str) -> tuple[bytes, list[str]]:
-        """Ids of what comes first, and the words that follow."""
+    def split(self, text: str) -> tuple[bytes, str | None]:
+        """Ids of what comes first, and the words that follow, a space between any two."""
+        if not text:
+            return b"", None
+        self.turn()
         if not self.spaced:
-            return b"", WORDS.findall(text) if CONTROL.search(text) else text.split()
+            if any(c in text for c in (RARE_ASCII if text.isascii() else RARE)) or CONTROL.search(text):
+                return b"", " ".join(WORDS.findall(text))
+            return b"", text.replace("\n", " ")
         # Where a space follows white space, splitting at single spaces would cut a run in two.
-        if "  " in text or "\n " in text or text[-1] == " " or any(c in text for c in (RARE_ASCII if text.isascii() else RARE)):
-            return self.encode_all(text), []
-        first, *words = text.split(" ")
-        return self.encode_all(first), words
+        rare = RARE_ASCII if text.isascii() else RARE
+        if "  " in text or "\n " in text or " \n" in text or text[-1] == " " or any(c in text for c in rare):
+            return self.encode_all(text), None
+        # Two line feeds are a piece each before a word, but not three, nor two at the end.
+        if "\n\n\n" not in text and text[-2:] != "\n\n":
+            text = text.replace("\n", " \n")
+        first, gap, rest = text.partition(" ")
+        return self.encode_all(first), rest if gap else None
+
+    def together(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        firsts, rests = zip(*map(self.split, texts))
+        lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        # No words and the empty word alone read the same.
+        words = words.split(" ") if len(coded) else []
+        found: list[bytes] = []
+        for at in range(0, len(words), MET):
+            self.turn()
+            found += map(self.words.__getitem__, words[at : at + MET])
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data else b""
+        return (first + data[a:b] for first, a, b in zip(firsts, ends, ends[1:]))
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn; a null one has none."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(text or "")
+            if size >= TAKEN:
+                yield from self.together(held)
+                held, size = [], 0
+        if held:
+            yield from self.together(held)
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.words.held + self.parts.held > self.limit // 2:
-            self.turn()
-        first, words = self.split(text)
-        return first + b"".join(map(self.words.__getitem__, words))
+        return next(self.each([text]))
 
 
 _KEPT: dict[tuple[str, bool, int], Pieces] = {}

@@ -67,8 +67,9 @@ def _tokenise(path: str, spaced: bool, end: int, limit: int):
             return batch([(*row, met, counts[met])], schema)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encode(text.as_py()) + last
+            texts = (t.as_py() for t in b.column("text"))
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode.each(texts)):
+                ids += last
                 if held and size + len(ids) // width > limit:
                     yield block(False)
                     number, first, size = number + 1, first + size, 0

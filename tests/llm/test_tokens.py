@@ -4,8 +4,10 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -143,3 +145,35 @@ def test_every_letter_is_written_as_the_library_writes_it(name, spaced):
     for a, b in zip(letters, letters[1:] + letters[:1]):
         text = f"{a} a{a}, Z{a}{b}!\n{b}{a}. {a}{b}{a}"
         assert np.frombuffer(encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("taken", [1, 300, 1 << 20])
+def test_texts_taken_together_keep_their_ids(name, spaced, taken, monkeypatch):
+    monkeypatch.setattr(pieces, "TAKEN", taken)
+    draw = random.Random(7)
+    texts = [None, "", " ", "\n", "a", " a", "a\n\nb", "a\n\n\nb", "a\n", "a\n\n", "\n\na", "a \nb", "a\n b", "a.\nB, c", "\x00 \nb", "a\x1cb c"]
+    texts += ["".join(draw.choices("ab., \nßé\t" if i % 3 else "ab. \n", [9, 9, 1, 1, 7, 2, 1, 1, 0.2][: 9 if i % 3 else 5], k=30)) for i in range(300)]
+    draw.shuffle(texts)
+    known = library(name)
+    expected = [known.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in Pieces(tokenizer_path(name), spaced).each(texts)] == expected
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_task_looks_a_word_up_once_for_many_texts(name, spaced, monkeypatch):
+    looked = Counter()
+
+    class Counted(pieces.Known):
+        def __getitem__(self, word):
+            looked[word] += 1
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(pieces, "Known", Counted)
+    monkeypatch.setattr(pieces, "_KEPT", {})
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    docs = pa.record_batch({"doc_id": list(range(400)), "text": ["x" + " the common, words\nof all texts" * 20] * 400})
+    run = token_files._tokenise(tokenizer_path(name), spaced, 2, 1 << 18)
+    (block,) = run([docs])
+    assert block["tokens"][0].as_py() == 400 * (len(library(name).encode(docs["text"][0].as_py(), add_special_tokens=False).ids) + 1)
+    assert sum(looked.values()) < 2000  # of 56,400 words
