@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from sitelens.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["arrow_rows", "cut_lineage", "keyed", "lower_ascii", "plain", "shared_folder", "spare", "table", "word_bytes", "written"]
+__all__ = ["arrow_rows", "cut_lineage", "keyed", "lower_ascii", "make_room", "plain", "shared_folder", "spare", "table", "word_bytes", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: How to drop what a worker process remembers from task to task.
+FORGET: list[Callable[[], None]] = []
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -68,6 +70,13 @@ def keyed(df: DataFrame, key: str = "_key") -> DataFrame:
         return written(df).select("*", place.alias(key))
 
 
+def make_room() -> None:
+    """Drops what other operators remember in this worker process; it is reused by whatever stage comes next."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sitelens.llm.common import FORGET
+
 #: White space by Unicode's property, which the tokenizers' patterns use.
 SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -211,12 +213,14 @@ class Pieces:
 
 
 _KEPT: dict[tuple[str, bool, int], Pieces] = {}
+FORGET.append(_KEPT.clear)
 
 
 def pieces(path: str, spaced: bool, width: int = 4) -> Pieces:
-    """One per worker process; what it learnt serves the tasks that follow there."""
+    """One per worker process; what it learnt serves the tasks that follow there, until `make_room`."""
     key = (tokenizer_path(path), spaced, width)
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = Pieces(*key)
     return _KEPT[key]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sitelens.llm.common import plain, spare, table
+from sitelens.llm.common import make_room, plain, spare, table
 
 #: The bounded sample that the model is fitted on: documents of each label, and the longest text taken.
 SAMPLE = {1: 1200, 0: 2400}
@@ -170,7 +170,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: dict[int, int
     if not drawn:
         return []
     # As many rows as the sample asks for, whatever the tables hold.
-    ids = F.broadcast(documents.sparkSession.createDataFrame(drawn, "doc_id long, toxic int"))
+    # By Arrow: rows would be pickled anew by a second set of Python workers, which then stay on every executor.
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*drawn), (pa.int64(), pa.int32()))]
+    ids = F.broadcast(documents.sparkSession.createDataFrame(pa.table(columns, ["doc_id", "toxic"])))
     texts = plain(documents, doc_id="long", text="string").where(F.length("text").between(1, chars))
     known = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return [(r["text"], r["toxic"]) for r in known.orderBy("doc_id").collect()]
@@ -202,6 +204,7 @@ def score_documents(
     out = StructType(own.drop(working).schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         scorer = Scorer(*shared.value)
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for b in batches:

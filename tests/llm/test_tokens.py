@@ -9,9 +9,10 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.core.rdd import RDD
 from tokenizers import Tokenizer
 
-from sitelens.llm import packing, pieces, rans, token_files
+from sitelens.llm import packing, pieces, rans, token_files, toxicity
 from sitelens.llm.pieces import Pieces, tokenizer_path
 
 LETTERS = "ab1é '’s.,!“€²½ \n\t  Σσ́中あΩİ \x85☃😀_-tre'll\x1c\x00"
@@ -177,3 +178,28 @@ def test_a_task_looks_a_word_up_once_for_many_texts(name, spaced, monkeypatch):
     (block,) = run([docs])
     assert block["tokens"][0].as_py() == 400 * (len(library(name).encode(docs["text"][0].as_py(), add_special_tokens=False).ids) + 1)
     assert sum(looked.values()) < 2000  # of 56,400 words
+
+
+def test_a_worker_keeps_no_words_while_it_scores(spark, monkeypatch):
+    """The pipeline's workers go on from packing to scoring, with the same memory."""
+    df, found = spark.createDataFrame(DOCS, "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, out: found.append(run) or self)
+    packing.cut_documents(df)
+    toxicity.score_documents(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    docs = pa.record_batch({"doc_id": [1, 2], "text": ["some words here", None]})
+    assert list(found[0]([docs])) and pieces._KEPT
+    assert list(found[1]([docs])) and not pieces._KEPT
+
+
+def test_training_rows_start_no_python_workers(spark, monkeypatch):
+    """A second set of them, beside those of mapInArrow, would stay on every executor."""
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    expected = [(f"text {i}", i % 2) for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def refused(rdd):
+        raise AssertionError("rows pickled by Python workers")
+
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", refused)
+    assert toxicity.training_rows(df, labels, {1: 9, 0: 9}, 100) == expected
